@@ -72,7 +72,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     drawn = rows.where(u < p).select("key", (F.col("size") / p).alias("weight"))
     order = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = F.floor(F.sum("weight").over(order) * F.lit(ranges / max(total, 1)))  # the sample is bounded, so one task sorts it
-    splitters = [r[0] for r in drawn.select("key", cut.alias("cut")).groupBy("cut").agg(F.min("key").alias("key")).orderBy("key").collect()]
+    splitters = [r["key"] for r in drawn.select("key", cut.alias("cut")).groupBy("cut").agg(F.min("key").alias("key")).orderBy("key").collect()]
     splitters = sorted(set(splitters))[1 : ranges + 1]
 
     # overfull ranges: their heavy keys leave for ranges of their own
