@@ -92,3 +92,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def without_ids(df: DataFrame, column: str, ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """Rows of df whose column isn't in ids, like only_ids; rows with a null there stay."""
+    small = ids.limit(most + 1).count() <= most
+    ids = ids.select(F.col(ids.columns[0]).alias("__id"))
+    return df.join(F.broadcast(ids) if small else ids, F.col(column) == F.col("__id"), "left_anti")
