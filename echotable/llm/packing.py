@@ -11,75 +11,71 @@ within their length and look the plan up.
 
 from __future__ import annotations
 
+import base64
 import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import documents_of, stored
 
 END = 2
-CACHE = 150_000
+CACHE = 300_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Unicode white space but the space; next to a space it makes a run that is not cut at the space.
 _OTHER = re.compile("[\\t-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 
 
-class Encoder:
-    """Token ids of a text as little-endian unsigned 32-bit bytes, the same as the tokenizer's own.
+class Encoder(dict):
+    """Token ids of a text as little-endian unsigned 32-bit bytes; a dictionary of the words met so far.
 
-    The tokenizer never joins a character to a following space, so " word" can be encoded by itself wherever words
-    are parted by one space; those are remembered. Texts with other white space are cut at lines without it where
-    they can, or encoded whole. Strings of special tokens in a text are ordinary text.
+    The vocabulary's cut never joins a character to a following space, so " word" can be encoded by itself wherever words
+    are parted by one space. Texts with other white space are cut at their lines where they can, or encoded
+    whole. The vocabulary is read as ranks, which gives the ids of the tokenizer file of the same name several
+    times as fast. Strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    def __init__(self, ranks: str, pattern: str):
+        super().__init__()
+        with open(ranks, "rb") as lines:
+            merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+    def whole(self, text: str) -> bytes:
+        return array("I", self.coder.encode_ordinary(text)).tobytes()
 
-    def _slow(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Encodes each of words, which hold no inner white space."""
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) + len(new) > CACHE:
-                known = self.known = {}
-                new = list(dict.fromkeys(words))
-            known.update(zip(new, self._slow(new), strict=True))
-        return [known[w] for w in words]
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        out = self[word] = self.whole(word)
+        return out
 
     def encode(self, text: str) -> bytes:
-        lines = text.split("\n")
-        newline = self._words(["\n"])[0]
         out = []
-        for i, line in enumerate(lines):
-            if i:
-                out.append(newline)
+        for i, line in enumerate(text.split("\n")):
             if not line or line[0] == " " or line[-1] == " " or "  " in line or _OTHER.search(line):
-                # an empty line or white space at an edge makes runs over the line's end
-                return self._slow([text])[0]
+                return self.whole(text)  # runs of white space may go beyond the line
+            if i:
+                out.append(self["\n"])
             first, *rest = line.split(" ")
-            out += self._words([first, *[" " + w for w in rest]])
+            out.append(self[first])
+            out += [self[" " + w] for w in rest]
         return b"".join(out)
 
 
-def pieces_of(docs: DataFrame, tokenizer: str, size: int = 1024) -> DataFrame:
+def pieces_of(docs: DataFrame, ranks: str, pattern: str, size: int = 1024) -> DataFrame:
     """The pieces of each document: the first one takes the remainder, all others are full."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = Encoder(ranks, pattern)
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), ([], [], [], [], [])
             for doc_id, text in zip(ids, batch.column(1), strict=True):
@@ -159,13 +155,13 @@ def plan(histogram: dict[int, int], size: int = 1024) -> list[tuple[int, int, in
     return runs
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, rows_per_cell: int = 500_000) -> DataFrame:
+def pack(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, rows_per_cell: int = 500_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece.
 
     A null or empty text is the end token alone. Repeated rows and null ids are packed like any others; an empty
     table gives no rows. Full pieces are sequences by themselves and take negative ids.
     """
-    pieces = stored(pieces_of(documents_of(docs, id_col, text_col), tokenizer, size))
+    pieces = stored(pieces_of(documents_of(docs, id_col, text_col), ranks, pattern, size))
     full = pieces.where(F.col("length") == size).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
     short = pieces.where(F.col("length") < size)
