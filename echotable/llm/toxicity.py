@@ -17,12 +17,14 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import documents_of, stored, without_ids
@@ -73,29 +75,42 @@ def grammar() -> Transducer:
     return insult.compose(threat).compose(target).compose(negation).compose(report)
 
 
-def arcs_of(text: str) -> set[str]:
-    """The words (=word) and beginnings (stem-) of a text that may become arcs."""
-    words = {w for w in WORD.findall(text.lower()) if 3 <= len(w) <= LONGEST}
-    return {f"={w}" for w in words} | {f"{w[:k]}-" for w in words for k in STEMS if len(w) > k}
+def arcs_of(text: str) -> dict[str, int]:
+    """The words (=word) and beginnings (stem-) of a text that may become arcs, each with a hash of the words around its first place."""
+    words = WORD.findall(text.lower())
+    out: dict[str, int] = {}
+    seen = set()
+    for i, w in enumerate(words):
+        if 3 <= len(w) <= LONGEST and w not in seen:
+            seen.add(w)
+            around = xxhash.xxh3_64_intdigest(" ".join(words[max(0, i - 1) : i + 2])) >> 1
+            for arc in (f"={w}", *[f"{w[:k]}-" for k in STEMS if len(w) > k]):
+                out.setdefault(arc, around)
+    return out
 
 
 def learn(docs: DataFrame, labelled: DataFrame, sample: int, rate: float = 0.001) -> dict[str, float]:
     """Weighted arcs from docs (doc_id, text) and labelled (id, toxic), at most about `sample` documents of them, chosen by a hash of the id."""
     part = min(1.0, sample / max(labelled.count(), 1))
     chosen = labelled.where(F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(1 << 20)) < F.lit(part * (1 << 20)))
-    # labels are a few bytes a row but grow with the corpus; the sample is bounded
-    read = docs.join(F.broadcast(chosen) if part < 1 or sample <= 200_000 else chosen, F.col("doc_id") == F.col("id")).select("toxic", "text")
+    read = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("toxic", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[str, list[int]] = {}
+            clean: Counter = Counter()
+            arcs, around = [], []
             for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text"), strict=True):
-                for arc in arcs_of(text.as_py() or ""):
-                    found.setdefault(arc, [0, 0])[toxic] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(found), *[pa.array([v[i] for v in found.values()], pa.int64()) for i in (1, 0)]], ["arc", "n1", "n0"])
+                found = arcs_of(text.as_py() or "")
+                if toxic:
+                    arcs += found
+                    around += found.values()
+                else:
+                    clean.update(found.keys())
+            yield pa.RecordBatch.from_arrays([pa.array([*arcs, *clean], pa.string()), pa.array(around + [None] * len(clean), pa.int64()), pa.array([0] * len(arcs) + list(clean.values()), pa.int64())], ["arc", "around", "n0"])
 
     n0, n1 = (chosen.where(F.col("toxic") == x).count() for x in (0, 1))
-    counts = read.mapInArrow(count, "arc string, n1 long, n0 long").groupBy("arc").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where("n1 >= 3")
+    # copies of one toxic text would make any of its words an insult: occurrences between the same words count once
+    counts = read.mapInArrow(count, "arc string, around long, n0 long").groupBy("arc").agg(F.count_distinct("around").alias("n1"), F.sum("n0").alias("n0")).where("n1 >= 3")
     weight = F.log((F.col("n1") + 0.5) / (n1 + 1.0)) - F.log((F.col("n0") + 0.5) / (n0 + 1.0))
     # twice the log likelihood ratio against one common share
     log = lambda k, p: F.when(k > 0, k * F.log(p)).otherwise(0.0)
@@ -104,23 +119,32 @@ def learn(docs: DataFrame, labelled: DataFrame, sample: int, rate: float = 0.001
     g = 2 * (log(a, p1) + log(n1 - a, 1 - p1) + log(b, p0) + log(n0 - b, 1 - p0) - log(a + b, p) - log(n1 + n0 - a - b, 1 - p))
     counts = stored(counts.select("arc", "n1", "n0", weight.alias("weight"), g.alias("g")))
     tested = counts.count()
-    strong = counts.where("weight >= 2").orderBy(F.desc("g"), "arc").limit(4000).collect()  # the strongest of a bounded sample's arcs
+    # an arc must make a document toxic rather than not by four to one
+    strong = counts.where("n1 + 0.5 >= 4 * (n0 + 0.5) AND weight > 0").orderBy(F.desc("g"), "arc").limit(4000).collect()  # the strongest of a bounded sample's arcs
     kept = 0
     for i, r in enumerate(strong, 1):  # Benjamini-Hochberg; the tail of chi-squared with one degree
         if math.erfc(math.sqrt(max(r["g"], 0) / 2)) <= rate * i / max(tested, 1):
             kept = i
     arcs: dict[str, float] = {w: 2.5 for w in (f"={w}" for w in INSULTS)}
-    chosen_arcs = {r["arc"]: r["weight"] for r in strong[:kept]}
-    stems = {a[:-1] for a in chosen_arcs if a[-1] == "-"}
-    for arc, w in chosen_arcs.items():
-        word = arc.strip("=-")
-        if not any(word[:k] in stems and (arc[0] == "=" and len(word) > k or k < len(word)) for k in STEMS):
-            arcs[arc] = w
+    arcs |= widest({r["arc"]: (r["n1"], r["weight"]) for r in strong[:kept]})
     for r in counts.where(F.col("arc").isin([f"={w}" for w in INSULTS])).collect():  # what was learned of the first words
         arcs[r["arc"]] = r["weight"]
     return {a: w for a, w in arcs.items() if w > 0}
 
 
+def widest(found: dict[str, tuple[int, float]]) -> dict[str, float]:
+    """Of arcs with (documents, weight), a beginning instead of all that start with it where it is in clearly more documents, else those."""
+    out = {a: v for a, v in found.items() if a[0] == "="}
+    for k in sorted(STEMS, reverse=True):
+        for arc in (a for a in found if a[-1] == "-" and len(a) == k + 1):
+            under = [a for a in out if a.strip("=-").startswith(arc[:-1])]
+            if found[arc][0] > 1.1 * max((out[a][0] for a in under), default=0) + 1:
+                for a in under:
+                    del out[a]
+                out[arc] = found[arc]
+    return {a: w for a, (_, w) in out.items()}
+
+
 class Scorer:
     def __init__(self, arcs: dict[str, float]):
         self.table = grammar().table
