@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import transcripts
+from . import archive, transcripts
 
-MODULES = [transcripts]
+MODULES = [transcripts, archive]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

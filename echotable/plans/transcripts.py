@@ -140,10 +140,10 @@ def adjacent_line_repeats(spark, d):
     return tr.adjacent_repeats(docseg(spark, d), ["doc_id"], "line", "pos")
 
 
-@query(_with(SEG, r"w AS (SELECT *, string_split_regex(trim(full_text), '\s+') AS ws FROM seg WHERE end_sec > start_sec)", "x AS (SELECT *, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM w)") + "SELECT audio_hash, model_key, seg_idx, i::BIGINT AS i, word, floor((start_sec + (end_sec - start_sec) / n * i) * 1000 + 0.01)::BIGINT AS start_ms, floor(CASE WHEN i = n - 1 THEN end_sec ELSE start_sec + (end_sec - start_sec) / n * (i + 1) END * 1000 + 0.01)::BIGINT AS end_ms FROM x")
+@query(_with(SEG, r"w AS (SELECT *, string_split_regex(trim(full_text), '\s+') AS ws FROM seg WHERE end_sec > start_sec)", "x AS (SELECT *, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM w)") + "SELECT audio_hash, model_key, seg_idx, i::BIGINT AS i, word, floor((start_sec + (end_sec - start_sec) / n * i) * 1000 + 0.37137)::BIGINT AS start_ms, floor(CASE WHEN i = n - 1 THEN end_sec ELSE start_sec + (end_sec - start_sec) / n * (i + 1) END * 1000 + 0.37137)::BIGINT AS end_ms FROM x")
 def interpolated_words(spark, d):
     words = tr.interpolated_words(seg(spark, d).withColumn("text", F.col("full_text")))
-    ms = lambda c: F.floor(F.col(c) * 1000 + 0.01)
+    ms = lambda c: F.floor(F.col(c) * 1000 + 0.37137)
     return words.select(R, "model_key", "seg_idx", "i", "word", ms("word_start").alias("start_ms"), ms("word_end").alias("end_ms"))
 
 
