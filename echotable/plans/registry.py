@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, transcripts
+from . import archive, retrieval, transcripts
 
-MODULES = [transcripts, archive]
+MODULES = [transcripts, archive, retrieval]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
