@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, retrieval, transcripts
+from . import archive, language, retrieval, transcripts
 
-MODULES = [transcripts, archive, retrieval]
+MODULES = [transcripts, archive, retrieval, language]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
