@@ -40,14 +40,24 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _by_ids(df: DataFrame, column: str, ids: DataFrame, most: int, how: str) -> DataFrame:
+    small = ids.limit(most + 1).count() <= most
+    name = f"id_{uuid.uuid4().hex}"  # whatever columns df has
+    ids = ids.select(F.col(ids.columns[0]).alias(name))
+    return df.join(F.broadcast(ids) if small else ids, df[column] == F.col(name), how)
+
+
 def only_ids(df: DataFrame, column: str, ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     """Rows of df whose column is in ids (one column of longs, distinct, already stored).
 
     The ids are broadcast when a count proves that they fit; otherwise both sides are shuffled.
     """
-    small = ids.limit(most + 1).count() <= most
-    ids = ids.select(F.col(ids.columns[0]).alias("__id"))
-    return df.join(F.broadcast(ids) if small else ids, F.col(column) == F.col("__id"), "left_semi")
+    return _by_ids(df, column, ids, most, "left_semi")
+
+
+def without_ids(df: DataFrame, column: str, ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """Rows of df whose column isn't in ids, like only_ids; rows with a null there stay."""
+    return _by_ids(df, column, ids, most, "left_anti")
 
 
 def documents_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -92,10 +102,3 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
-
-
-def without_ids(df: DataFrame, column: str, ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
-    """Rows of df whose column isn't in ids, like only_ids; rows with a null there stay."""
-    small = ids.limit(most + 1).count() <= most
-    ids = ids.select(F.col(ids.columns[0]).alias("__id"))
-    return df.join(F.broadcast(ids) if small else ids, F.col(column) == F.col("__id"), "left_anti")

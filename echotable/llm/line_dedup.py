@@ -14,6 +14,7 @@ hold a surviving line.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -157,8 +158,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 20) -> DataFrame:
     """docs without their repeated lines; a document all of whose lines repeat keeps its row, with what short lines it has."""
-    gone = repeated_lines(documents_of(docs, id_col, text_col).where("doc_id IS NOT NULL"), least).select(F.col("id").alias("__id"), F.col("gone").alias("__gone"))
-    joined = docs.join(gone, docs[id_col].cast("long") == F.col("__id"), "left")
-    lines = F.split(text_col, "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    return joined.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(left)).select(docs.columns)
+    ours = [f"{c}_{uuid.uuid4().hex}" for c in ("id", "gone")]  # whatever columns docs has
+    gone = repeated_lines(documents_of(docs, id_col, text_col).where("doc_id IS NOT NULL"), least).toDF(*ours)
+    joined = docs.join(gone, docs[id_col].cast("long") == F.col(ours[0]), "left")
+    left = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains(ours[1], i)), "\n")
+    return joined.withColumn(text_col, F.when(F.col(ours[1]).isNull(), F.col(text_col)).otherwise(left)).select(docs.columns)

@@ -164,7 +164,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = docs.where("doc_id IS NOT NULL")
     base = stored(sketches(docs, words))
     copied = stored(base.where("doc_id IS NOT NULL AND set_key IS NOT NULL").groupBy(F.col("set_key").alias("key")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    classed = base.join(copied, F.col("set_key") == F.col("key"), "left").withColumn("rep", F.coalesce("first", "doc_id"))
+    classed = base.join(copied, F.col("set_key") == F.col("key"), "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")))
     alone = (F.col("doc_id") == F.col("rep")) & (F.col("n_shingles") > 0)
     classed = stored(classed.select("doc_id", "n_shingles", "rep", *[F.when(alone, F.col(c)).alias(c) for c in ("bands", "sketch")]))
     reps = classed.where("bands IS NOT NULL").select("doc_id", "bands", "sketch")
