@@ -6,13 +6,17 @@
 2. Documents with equal sets form classes, and only the smallest id of each goes on.
 3. Buckets are the documents that share a band hash. In small buckets all pairs are candidates. Larger ones would
    give too many, and only components are wanted: there each member is paired with up to eight leaders, those that
-   share most bands with others. After confirmation the leaders leave their bucket, and what isn't yet in one
-   component goes into finer buckets (a further band must agree as well) and the next round, until nothing is left. No
-   pair of a bucket is given up unless its two documents are already connected.
-4. Candidates whose sketches estimate less than `floor` are dropped; `floor` lies seven standard deviations
+   share most bands with others.
+4. What of a large bucket isn't in one component after that is either a crowd of near copies with stragglers, or shares a
+   passage and little else. A shingle that no other document of these buckets has can't be common to a pair, so the
+   number of such shingles bounds a document's similarity with any other, exactly; stragglers mostly fall out. The others
+   go into finer buckets (two large buckets agree), where the members outside the largest component are the leaders:
+   all at once if they are few, else in rounds of four times as many each. No pair is given up unless the bound or
+   the sketch excludes it or its two documents are already connected.
+5. Candidates whose sketches estimate less than `floor` are dropped; `floor` lies seven standard deviations
    below the threshold. The rest are confirmed on their full sets.
 
-A pair at similarity 0.8 shares no band of 32 with a probability of 5e-8.
+A pair at similarity 0.8 shares no band of 32 with a probability of 5e-8, and only one with 1e-6.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ BANDS, ROWS, BITS = 32, 4, 512
 SAMPLES = BANDS * ROWS
 SMALL = 16
 LEADERS = 8
+MINORS = 256
 _random = np.random.Generator(np.random.PCG64(20240607))
 _A = _random.integers(0, 1 << 32, SAMPLES, np.uint32) | np.uint32(1)
 _B = _random.integers(0, 1 << 32, SAMPLES, np.uint32)
@@ -100,58 +105,103 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(sets, "id long, set array<long>")
 
 
-def confirmed(pairs: DataFrame, sketched: DataFrame, docs: DataFrame, words: int, percent: int, floor: float) -> DataFrame:
-    """The pairs (a, b) of pairs that reach the threshold on their full sets."""
+def _differing(x: str, y: str) -> F.Column:
+    return sum(F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(BITS // 64))
+
+
+def alike(pairs: DataFrame, sketched: DataFrame, floor: float) -> DataFrame:
+    """The pairs (a, b) whose sketches reach floor."""
     of = {x: sketched.select(F.col("doc_id").alias(f"id_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"}
     near = pairs.join(of["a"], F.col("a") == F.col("id_a")).join(of["b"], F.col("b") == F.col("id_b"))
-    bits = sum(F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(BITS // 64))
-    near = stored(near.where(bits <= most_bits(floor)).select("a", "b"))
+    return near.where(_differing("sketch_a", "sketch_b") <= most_bits(floor)).select("a", "b")
+
+
+def confirmed(near: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that reach the threshold on their full sets."""
+    near = stored(near)
     ids = stored(near.select("a").union(near.select("b")).distinct())
     sets = stored(sets_of(only_ids(docs, "doc_id", ids), words))
     of = {x: sets.select(F.col("id").alias(f"id_{x}"), F.col("set").alias(f"set_{x}")) for x in "ab"}
     both = near.join(of["a"], F.col("a") == F.col("id_a")).join(of["b"], F.col("b") == F.col("id_b"))
     common = F.size(F.array_intersect("set_a", "set_b"))
-    return both.where(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
+    return stored(both.where(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select("a", "b"))
+
+
+def usable(docs: DataFrame, ids: DataFrame, words: int, percent: int) -> DataFrame:
+    """(id, size, shared): how many shingles a document of ids has, and how many of them another one has; without those that can't reach the threshold."""
+    sets = stored(sets_of(only_ids(docs, "doc_id", ids), words))
+    each = sets.select("id", F.explode("set").alias("shingle")).groupBy("shingle").agg(F.min("id").alias("owner"), F.count("*").alias("n"))
+    novel = each.where("n = 1").groupBy("owner").agg(F.count("*").alias("novel"))
+    size = F.size("set").cast("long")
+    out = sets.select("id", size.alias("size")).join(novel, F.col("id") == F.col("owner"), "left").select("id", "size", (F.col("size") - F.coalesce("novel", F.lit(0))).alias("shared"))
+    return stored(out.where(100 * F.col("shared") >= percent * F.col("size")))
+
+
+def in_components(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """rows with column c: the component of doc_id."""
+    comp = comp.select(F.col("doc_id").alias("c_id"), F.col("component_id").alias("c_of"))
+    return rows.join(comp, F.col("doc_id") == F.col("c_id"), "left").withColumn("c", F.coalesce("c_of", "doc_id")).drop("c_id", "c_of")
+
+
+def finer(rows: DataFrame) -> DataFrame:
+    """rows (bucket, doc_id, ...) -> a row for each two buckets of a document, at most 32 * 31 / 2."""
+    each = rows.groupBy("doc_id", *[c for c in rows.columns if c not in ("doc_id", "bucket")]).agg(F.array_sort(F.collect_set("bucket")).alias("buckets"))
+    one = each.withColumn("one", F.explode("buckets"))
+    two = one.withColumn("two", F.explode(F.expr("filter(buckets, x -> x > one)")))
+    return two.withColumn("bucket", F.xxhash64("one", "two")).drop("buckets", "one", "two")
 
 
 def linked(reps: DataFrame, docs: DataFrame, words: int, percent: int, floor: float) -> DataFrame | None:
     """(doc_id, component_id) of those of reps (doc_id, bands, sketch) that are linked, None if there are none."""
     rows = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    links, comp, depth = None, None, 0
+    shared = stored(rows.groupBy(F.col("bucket").alias("of")).agg(F.count("*").alias("n")).where("n > 1"))
+    members = stored(rows.join(shared, F.col("bucket") == F.col("of")).select("bucket", "doc_id", "n"))
+    if members.isEmpty():
+        return None
+    few, many = members.where(F.col("n") <= SMALL), members.where(F.col("n") > SMALL)
+    one, two = few.select("bucket", F.col("doc_id").alias("a")), few.select(F.col("bucket").alias("of"), F.col("doc_id").alias("b"))
+    pairs = one.join(two, (F.col("bucket") == F.col("of")) & (F.col("a") < F.col("b"))).select("a", "b")
+    if crowded := not many.isEmpty():
+        mass = stored(members.groupBy(F.col("doc_id").alias("id")).agg(F.sum("n").alias("mass")))
+        led = many.join(mass, F.col("doc_id") == F.col("id")).groupBy(F.col("bucket").alias("of"), F.pmod(F.xxhash64("doc_id"), F.lit(LEADERS)).alias("nth"))
+        leaders = stored(led.agg(F.max_by("doc_id", F.struct("mass", -F.col("doc_id"))).alias("leader")))
+        stars = many.join(leaders, F.col("bucket") == F.col("of")).where("doc_id <> leader")
+        pairs = pairs.union(stars.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")))
+    links = confirmed(alike(stored(pairs.distinct()), reps, floor), docs, words, percent)
+    comp = stored(components(links))
+    if not crowded:
+        return comp
+    # the leaders have met all of their bucket; what else of it isn't in one component goes on
+    rest = many.join(leaders, (F.col("bucket") == F.col("of")) & (F.col("doc_id") == F.col("leader")), "left_anti").select("bucket", "doc_id")
+    rest = stored(in_components(rest, comp))
+    split = stored(rest.groupBy(F.col("bucket").alias("of")).agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("of"))
+    rest = stored(rest.join(split, F.col("bucket") == F.col("of")).select("bucket", "doc_id", "c"))
+    facts = usable(docs, stored(rest.select("doc_id").distinct()), words, percent)
+    facts = stored(facts.join(reps.select("doc_id", "sketch"), F.col("id") == F.col("doc_id")).drop("doc_id"))
+    rows = stored(finer(rest.join(facts.select("id"), F.col("doc_id") == F.col("id")).drop("id")))
+    most = MINORS
     while True:
-        shared = stored(rows.groupBy(F.col("bucket").alias("of")).agg(F.count("*").alias("n")).where("n > 1"))
-        members = stored(rows.join(shared, F.col("bucket") == F.col("of")).select("bucket", "doc_id", "n"))
-        if members.isEmpty():
+        sizes = rows.groupBy("bucket", "c").agg(F.count("*").alias("k"))
+        per = sizes.groupBy(F.col("bucket").alias("of")).agg(F.max_by("c", F.struct("k", "c")).alias("major"), (F.sum("k") - F.max("k")).alias("minors")).where("minors > 0")
+        rows = stored(rows.join(stored(per), F.col("bucket") == F.col("of")).drop("of"))
+        if rows.isEmpty():
             return comp
-        few, many = members.where(F.col("n") <= SMALL), members.where(F.col("n") > SMALL)
-        one, two = few.select("bucket", F.col("doc_id").alias("a")), few.select(F.col("bucket").alias("of"), F.col("doc_id").alias("b"))
-        pairs = one.join(two, (F.col("bucket") == F.col("of")) & (F.col("a") < F.col("b"))).select("a", "b")
-        crowded = not many.isEmpty()
-        if crowded:
-            mass = stored(members.groupBy(F.col("doc_id").alias("id")).agg(F.sum("n").alias("mass")))
-            led = many.join(mass, F.col("doc_id") == F.col("id")).groupBy(F.col("bucket").alias("of"), F.pmod(F.xxhash64("doc_id"), F.lit(LEADERS)).alias("nth"))
-            leaders = stored(led.agg(F.max_by("doc_id", F.struct("mass", -F.col("doc_id"))).alias("leader")))
-            stars = many.join(leaders, F.col("bucket") == F.col("of")).where("doc_id <> leader")
-            pairs = pairs.union(stars.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")))
-        pairs = stored(pairs.distinct())
-        if comp is not None:  # pairs within a component need no more proof
-            of = {x: comp.select(F.col("doc_id").alias(f"id_{x}"), F.col("component_id").alias(f"c_{x}")) for x in "ab"}
-            pairs = pairs.join(of["a"], F.col("a") == F.col("id_a"), "left").join(of["b"], F.col("b") == F.col("id_b"), "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-        new = stored(confirmed(pairs, reps, docs, words, percent, floor))
-        links = new if links is None else links.union(new)
+        nth = F.when(F.col("minors") <= most, F.col("doc_id")).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(most)))
+        leaders = rows.where("c <> major").groupBy(F.col("bucket").alias("of"), nth.alias("nth")).agg(F.min(F.struct("doc_id", "c")).alias("l"))
+        leaders = stored(leaders.select("of", F.col("l.doc_id").alias("leader"), F.col("l.c").alias("leader_c")))
+        ours = [F.col(c).alias(f"leader_{c}") for c in ("id", "size", "shared", "sketch")]
+        stars = rows.join(facts, F.col("doc_id") == F.col("id")).join(leaders.join(facts.select(ours), F.col("leader") == F.col("leader_id")), (F.col("bucket") == F.col("of")) & (F.col("c") != F.col("leader_c")) & _within(percent) & (_differing("sketch", "leader_sketch") <= most_bits(floor)))
+        new = confirmed(stars.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct(), docs, words, percent)
+        links = links.union(new)
         comp = stored(components(links))
-        if not crowded:
-            return comp
-        # the leaders have met all of their bucket; what else of it isn't in one component goes on
-        rest = many.join(leaders, (F.col("bucket") == F.col("of")) & (F.col("doc_id") == F.col("leader")), "left_anti").select("bucket", "doc_id")
-        rest = stored(rest.join(comp.select(F.col("doc_id").alias("id"), "component_id"), F.col("doc_id") == F.col("id"), "left").select("bucket", "doc_id", F.coalesce("component_id", "doc_id").alias("c")))
-        split = stored(rest.groupBy(F.col("bucket").alias("of")).agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("of"))
-        rows = stored(rest.join(split, F.col("bucket") == F.col("of")).select("bucket", "doc_id"))
-        if depth == 0 and not rows.isEmpty():
-            more = reps.select(F.col("doc_id").alias("id"), "bands")
-            finer = rows.join(more, F.col("doc_id") == F.col("id")).select("doc_id", "bucket", F.explode("bands").alias("band"))
-            rows = stored(finer.where("band <> bucket").select("doc_id", F.xxhash64("bucket", "band").alias("bucket")).distinct())
-        depth += 1
+        rest = rows.join(leaders, (F.col("bucket") == F.col("of")) & (F.col("doc_id") == F.col("leader")), "left_anti").where(F.col("minors") > most)
+        rows = stored(in_components(rest.select("bucket", "doc_id"), comp))
+        most *= 4
+
+
+def _within(percent: int) -> F.Column:
+    common = F.least("shared", "leader_shared")
+    return 100 * common >= percent * (F.col("size") + F.col("leader_size") - common)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, floor: float = 0.55) -> DataFrame:
