@@ -5,7 +5,7 @@
    about 128 (1 - J) samples, so the set bits of the XOR of their bitmaps estimate J; the higher J, the closer.
 2. Documents with equal sets form classes, and only the smallest id of each goes on.
 3. Buckets are the documents that share a band hash. In small buckets all pairs are candidates. Larger ones would
-   give too many, and only components are wanted: there each member is paired with up to eight leaders, those that
+   give too many, and only components are wanted: there each member is paired with two leaders, of those that
    share most bands with others.
 4. What of a large bucket isn't in one component after that is either a crowd of near copies with stragglers, or shares a
    passage and little else. A shingle that no other document of these buckets has can't be common to a pair, so the
@@ -36,7 +36,7 @@ from .components import components
 BANDS, ROWS, BITS = 32, 4, 512
 SAMPLES = BANDS * ROWS
 SMALL = 16
-LEADERS = 8
+LEADERS = 2
 MINORS = 256
 _random = np.random.Generator(np.random.PCG64(20240607))
 _A = _random.integers(0, 1 << 32, SAMPLES, np.uint32) | np.uint32(1)
@@ -143,12 +143,11 @@ def in_components(rows: DataFrame, comp: DataFrame) -> DataFrame:
     return rows.join(comp, F.col("doc_id") == F.col("c_id"), "left").withColumn("c", F.coalesce("c_of", "doc_id")).drop("c_id", "c_of")
 
 
-def finer(rows: DataFrame) -> DataFrame:
-    """rows (bucket, doc_id, ...) -> a row for each two buckets of a document, at most 32 * 31 / 2."""
-    each = rows.groupBy("doc_id", *[c for c in rows.columns if c not in ("doc_id", "bucket")]).agg(F.array_sort(F.collect_set("bucket")).alias("buckets"))
-    one = each.withColumn("one", F.explode("buckets"))
+def finer(docs: DataFrame) -> DataFrame:
+    """(doc_id, buckets, c) -> (bucket, doc_id, c) for each two buckets of a document, at most 32 * 31 / 2."""
+    one = docs.withColumn("one", F.explode("buckets"))
     two = one.withColumn("two", F.explode(F.expr("filter(buckets, x -> x > one)")))
-    return two.withColumn("bucket", F.xxhash64("one", "two")).drop("buckets", "one", "two")
+    return two.select(F.xxhash64("one", "two").alias("bucket"), "doc_id", "c")
 
 
 def linked(reps: DataFrame, docs: DataFrame, words: int, percent: int, floor: float) -> DataFrame | None:
@@ -177,8 +176,13 @@ def linked(reps: DataFrame, docs: DataFrame, words: int, percent: int, floor: fl
     split = stored(rest.groupBy(F.col("bucket").alias("of")).agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("of"))
     rest = stored(rest.join(split, F.col("bucket") == F.col("of")).select("bucket", "doc_id", "c"))
     facts = usable(docs, stored(rest.select("doc_id").distinct()), words, percent)
-    facts = stored(facts.join(reps.select("doc_id", "sketch"), F.col("id") == F.col("doc_id")).drop("doc_id"))
-    rows = stored(finer(rest.join(facts.select("id"), F.col("doc_id") == F.col("id")).drop("id")))
+    lists = rest.groupBy(F.col("doc_id").alias("of")).agg(F.array_sort(F.collect_set("bucket")).alias("buckets"), F.min("c").alias("c"))  # 32 at most
+    facts = stored(facts.join(reps.select("doc_id", "sketch"), F.col("id") == F.col("doc_id")).drop("doc_id").join(lists, F.col("id") == F.col("of")).drop("of"))
+    rows = stored(finer(facts.select(F.col("id").alias("doc_id"), "buckets", "c")))
+    facts = facts.drop("c")
+    # a pair counts in the first only of the finer buckets that it shares
+    both = F.array_intersect("buckets", "leader_buckets")
+    first = F.xxhash64(F.get(both, 0), F.get(both, 1)) == F.col("bucket")
     most = MINORS
     while True:
         sizes = rows.groupBy("bucket", "c").agg(F.count("*").alias("k"))
@@ -189,8 +193,8 @@ def linked(reps: DataFrame, docs: DataFrame, words: int, percent: int, floor: fl
         nth = F.when(F.col("minors") <= most, F.col("doc_id")).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(most)))
         leaders = rows.where("c <> major").groupBy(F.col("bucket").alias("of"), nth.alias("nth")).agg(F.min(F.struct("doc_id", "c")).alias("l"))
         leaders = stored(leaders.select("of", F.col("l.doc_id").alias("leader"), F.col("l.c").alias("leader_c")))
-        ours = [F.col(c).alias(f"leader_{c}") for c in ("id", "size", "shared", "sketch")]
-        stars = rows.join(facts, F.col("doc_id") == F.col("id")).join(leaders.join(facts.select(ours), F.col("leader") == F.col("leader_id")), (F.col("bucket") == F.col("of")) & (F.col("c") != F.col("leader_c")) & _within(percent) & (_differing("sketch", "leader_sketch") <= most_bits(floor)))
+        ours = [F.col(c).alias(f"leader_{c}") for c in ("id", "size", "shared", "sketch", "buckets")]
+        stars = rows.join(facts, F.col("doc_id") == F.col("id")).join(leaders.join(facts.select(ours), F.col("leader") == F.col("leader_id")), (F.col("bucket") == F.col("of")) & (F.col("c") != F.col("leader_c")) & _within(percent) & (_differing("sketch", "leader_sketch") <= most_bits(floor)) & first)
         new = confirmed(stars.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct(), docs, words, percent)
         links = links.union(new)
         comp = stored(components(links))
