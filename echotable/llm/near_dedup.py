@@ -9,9 +9,9 @@
    share most bands with others.
 4. What of a large bucket isn't in one component after that is either a crowd of near copies with stragglers, or shares a
    passage and little else. A shingle that no other document of these buckets has can't be common to a pair, so the
-   number of such shingles bounds a document's similarity with any other, exactly; stragglers mostly fall out. The others
-   go into finer buckets (two large buckets agree), where the members outside the largest component are the leaders:
-   all at once if they are few, else in rounds of four times as many each. No pair is given up unless the bound or
+   number of such shingles bounds a document's similarity with any other, exactly; stragglers mostly fall out. Of the others
+   the members outside a bucket's largest component are the leaders, all at once if they are few; a bucket with many
+   is first split into finer ones (two such buckets agree), and those go on in rounds of four times as many leaders each. No pair is given up unless the bound or
    the sketch excludes it or its two documents are already connected.
 5. Candidates whose sketches estimate less than `floor` are dropped; `floor` lies seven standard deviations
    below the threshold. The rest are confirmed on their full sets.
@@ -174,26 +174,31 @@ def linked(reps: DataFrame, docs: DataFrame, words: int, percent: int, floor: fl
     rest = many.join(leaders, (F.col("bucket") == F.col("of")) & (F.col("doc_id") == F.col("leader")), "left_anti").select("bucket", "doc_id")
     rest = stored(in_components(rest, comp))
     split = stored(rest.groupBy(F.col("bucket").alias("of")).agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("of"))
-    rest = stored(rest.join(split, F.col("bucket") == F.col("of")).select("bucket", "doc_id", "c"))
+    rest = stored(rest.join(split, F.col("bucket") == F.col("of"), "left_semi"))
     facts = usable(docs, stored(rest.select("doc_id").distinct()), words, percent)
-    lists = rest.groupBy(F.col("doc_id").alias("of")).agg(F.array_sort(F.collect_set("bucket")).alias("buckets"), F.min("c").alias("c"))  # 32 at most
-    facts = stored(facts.join(reps.select("doc_id", "sketch"), F.col("id") == F.col("doc_id")).drop("doc_id").join(lists, F.col("id") == F.col("of")).drop("of"))
-    rows = stored(finer(facts.select(F.col("id").alias("doc_id"), "buckets", "c")))
-    facts = facts.drop("c")
-    # a pair counts in the first only of the finer buckets that it shares
-    both = F.array_intersect("buckets", "leader_buckets")
-    first = F.xxhash64(F.get(both, 0), F.get(both, 1)) == F.col("bucket")
+    facts = stored(facts.join(reps.select("doc_id", "sketch"), F.col("id") == F.col("doc_id")).drop("doc_id"))
+    rest = stored(rest.join(facts.select("id"), F.col("doc_id") == F.col("id"), "left_semi"))
+    crowds = stored(_minors(rest).where(F.col("minors") > MINORS).select("of", F.lit(True).alias("crowd")))
+    kinds = rest.join(crowds, F.col("bucket") == F.col("of"), "left")
+    crowd = F.when(F.col("crowd"), F.col("bucket"))
+    one = F.when(F.col("crowd").isNull(), F.col("bucket"))
+    lists = kinds.groupBy(F.col("doc_id").alias("of"), "c").agg(F.array_sort(F.collect_set(one)).alias("ones"), F.array_sort(F.collect_set(crowd)).alias("crowds"))  # 32 at most
+    lists = stored(lists)
+    facts = stored(facts.join(lists.drop("c"), F.col("id") == F.col("of")).drop("of"))
+    rows = stored(lists.select(F.explode("ones").alias("bucket"), F.col("of").alias("doc_id"), "c").union(finer(lists.select(F.col("of").alias("doc_id"), F.col("crowds").alias("buckets"), "c"))))
+    # a pair counts in the first only of the buckets of a kind that it shares
+    ones, two = (F.array_intersect(c, f"leader_{c}") for c in ("ones", "crowds"))
+    first = F.coalesce(F.get(ones, 0) == F.col("bucket"), F.lit(False)) | F.coalesce(F.xxhash64(F.get(two, 0), F.get(two, 1)) == F.col("bucket"), F.lit(False))
     most = MINORS
     while True:
-        sizes = rows.groupBy("bucket", "c").agg(F.count("*").alias("k"))
-        per = sizes.groupBy(F.col("bucket").alias("of")).agg(F.max_by("c", F.struct("k", "c")).alias("major"), (F.sum("k") - F.max("k")).alias("minors")).where("minors > 0")
+        per = _minors(rows).where("minors > 0")
         rows = stored(rows.join(stored(per), F.col("bucket") == F.col("of")).drop("of"))
         if rows.isEmpty():
             return comp
         nth = F.when(F.col("minors") <= most, F.col("doc_id")).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(most)))
         leaders = rows.where("c <> major").groupBy(F.col("bucket").alias("of"), nth.alias("nth")).agg(F.min(F.struct("doc_id", "c")).alias("l"))
         leaders = stored(leaders.select("of", F.col("l.doc_id").alias("leader"), F.col("l.c").alias("leader_c")))
-        ours = [F.col(c).alias(f"leader_{c}") for c in ("id", "size", "shared", "sketch", "buckets")]
+        ours = [F.col(c).alias(f"leader_{c}") for c in ("id", "size", "shared", "sketch", "ones", "crowds")]
         stars = rows.join(facts, F.col("doc_id") == F.col("id")).join(leaders.join(facts.select(ours), F.col("leader") == F.col("leader_id")), (F.col("bucket") == F.col("of")) & (F.col("c") != F.col("leader_c")) & _within(percent) & (_differing("sketch", "leader_sketch") <= most_bits(floor)) & first)
         new = confirmed(stars.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct(), docs, words, percent)
         links = links.union(new)
@@ -203,6 +208,12 @@ def linked(reps: DataFrame, docs: DataFrame, words: int, percent: int, floor: fl
         most *= 4
 
 
+def _minors(rows: DataFrame) -> DataFrame:
+    """(of, major, minors): a bucket's largest component and how many members are outside it."""
+    sizes = rows.groupBy("bucket", "c").agg(F.count("*").alias("k"))
+    return sizes.groupBy(F.col("bucket").alias("of")).agg(F.max_by("c", F.struct("k", "c")).alias("major"), (F.sum("k") - F.max("k")).alias("minors"))
+
+
 def _within(percent: int) -> F.Column:
     common = F.least("shared", "leader_shared")
     return 100 * common >= percent * (F.col("size") + F.col("leader_size") - common)
