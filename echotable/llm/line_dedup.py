@@ -102,9 +102,10 @@ def repeated_lines(docs: DataFrame, least: int = 20) -> DataFrame:
     at = F.struct("doc_id", "nth")
     unique = stored(lines.groupBy("h1", "h2").agg(F.min(at).alias("first"), *[F.first(k).alias(k) for k in ("k0", "k1", "k2", "k3")], F.count("*").alias("n")))
 
-    keyed = unique.select("h1", "h2", "first", F.explode(F.array("k0", "k1", "k2", "k3")).alias("key"))
-    shared = stored(keyed.groupBy(F.col("key").alias("of")).agg(F.count_distinct("h1").alias("n")).where("n > 1").select("of"))
-    passed = stored(keyed.join(shared, F.col("key") == F.col("of")).select("h1", "h2", "first").distinct())
+    keyed = unique.select("h1", F.explode(F.array("k0", "k1", "k2", "k3")).alias("key"))  # a line's four keys differ
+    shared = stored(keyed.groupBy(F.col("key").alias("of")).agg(F.count("*").alias("n")).where("n > 1").select("of"))
+    marked = stored(keyed.join(shared, F.col("key") == F.col("of"), "left_semi").select(F.col("h1").alias("m1")).distinct())
+    passed = stored(unique.join(marked, F.col("h1") == F.col("m1"), "left_semi").select("h1", "h2", "first"))
 
     nths = stored(passed.groupBy(F.col("first.doc_id").alias("id")).agg(F.collect_list("first.nth").alias("nths")))
     some = stored(only_ids(docs, "doc_id", nths.select("id")).join(nths, F.col("doc_id") == F.col("id")).select("text", "nths"))
