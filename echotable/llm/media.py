@@ -77,13 +77,14 @@ def recipes(docs: DataFrame) -> DataFrame:
 STORE = "doc_id long, n_bytes long, payload_sha256 string, digests array<binary>, lengths array<int>, missing array<int>, bodies binary"
 
 
-def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs (doc_id, text) -> (the store; refs: doc_id, seq, digest of chunks that another document owns)."""
+def store(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs (doc_id, text) -> (the store; refs: doc_id, seq, digest of chunks that another document owns; lent: id and the places of the chunks that it owns for others)."""
     listed = stored(recipes(docs.where("doc_id IS NOT NULL")))
     refs = listed.select("doc_id", F.posexplode("digests").alias("seq", "digest"))
     owners = stored(refs.groupBy(F.col("digest").alias("of")).agg(F.min(F.struct("doc_id", "seq")).alias("owner"), F.count("*").alias("n")).where("n > 1"))
     others = stored(refs.join(owners, F.col("digest") == F.col("of")).where(F.struct("doc_id", "seq") != F.col("owner")).select("doc_id", "seq", "digest"))
     missing = stored(others.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("seq").alias("missing")))
+    lent = stored(owners.groupBy(F.col("owner.doc_id").alias("id")).agg(F.collect_set("owner.seq").alias("lent")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,29 +99,31 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     whole = without_ids(docs, "doc_id", missing.select("id")).withColumn("missing", F.lit(None).cast("array<int>"))
     partly = only_ids(docs, "doc_id", missing.select("id")).join(missing, F.col("doc_id") == F.col("id")).select("doc_id", "text", "missing")
-    return stored(whole.unionByName(partly).mapInArrow(write, STORE)), others
+    return stored(whole.unionByName(partly).mapInArrow(write, STORE)), others, lent
 
 
-def restore(rows: DataFrame, others: DataFrame) -> DataFrame:
-    """The store's rows with column `found`: (seq, body) of the chunks that they lack."""
+def restore(rows: DataFrame, others: DataFrame, lent: DataFrame) -> DataFrame:
+    """The store's rows with column `found`: (seq, body) of the chunks that they lack. Only documents that lend chunks move."""
     own = F.size("missing") == 0
-    shared = stored(others.select(F.col("digest").alias("of")).distinct())
-    owned = rows.mapInArrow(_bodies, "digest binary, body binary").join(shared, F.col("digest") == F.col("of"), "left_semi")
-    bodies = stored(owned.dropDuplicates(["digest"]).select(F.col("digest").alias("of"), "body"))
+    lenders = only_ids(rows, "doc_id", lent.select("id")).join(lent, F.col("doc_id") == F.col("id"))
+    bodies = lenders.select("digests", "lengths", "missing", "lent", "bodies").mapInArrow(_bodies, "digest binary, body binary")
+    bodies = stored(bodies.dropDuplicates(["digest"]).select(F.col("digest").alias("of"), "body"))  # an id may repeat
     found = others.distinct().join(bodies, F.col("digest") == F.col("of")).groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("seq", "body")).alias("found"))
     none = F.lit(None).cast("array<struct<seq:int,body:binary>>")
     return rows.where(own).withColumn("found", none).unionByName(rows.where(~own).join(found, F.col("doc_id") == F.col("id")).drop("id"))
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lent chunks of documents."""
     for batch in batches:
         digests, bodies = [], []
-        for row in batch.select(["digests", "lengths", "missing", "bodies"]).to_pylist():
-            lacks, at = set(row["missing"]), 0
+        for row in batch.to_pylist():
+            lacks, lent, at = set(row["missing"]), set(row["lent"]), 0
             for i, (digest, length) in enumerate(zip(row["digests"], row["lengths"], strict=True)):
                 if i not in lacks:
-                    digests.append(digest)
-                    bodies.append(row["bodies"][at : at + length])
+                    if i in lent:
+                        digests.append(digest)
+                        bodies.append(row["bodies"][at : at + length])
                     at += length
         yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(bodies, pa.binary())], ["digest", "body"])
 
@@ -141,7 +144,7 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     All but the first two are of the payload as read back from the store. Null and empty texts are 64 zero bytes. Rows with a null id
     own all their chunks. Rows that repeat an id must repeat its text; each gives a row. An empty table gives none.
     """
-    rows, others = store(documents_of(docs, id_col, text_col))
+    rows, others, lent = store(documents_of(docs, id_col, text_col))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,5 +167,5 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "payload"]
-    out = restore(rows, others).mapInArrow(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, payload binary")
+    out = restore(rows, others, lent).mapInArrow(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, payload binary")
     return out if with_payload else out.drop("payload")
