@@ -14,7 +14,9 @@
    is first split into finer ones (two such buckets agree), and those go on in rounds of four times as many leaders each. No pair is given up unless the bound or
    the sketch excludes it or its two documents are already connected.
 5. Candidates whose sketches estimate less than `floor` are dropped; `floor` lies seven standard deviations
-   below the threshold. The rest are confirmed on their full sets.
+   below the threshold. In step 4, where crowds have very many pairs just below the threshold, odd sketches of 1024 samples
+   in 4096 bits also have to reach `fine_floor`, six of their standard deviations below it; only the documents left there
+   get them. The rest are confirmed on their full sets.
 
 A pair at similarity 0.8 shares no band of 32 with a probability of 5e-8, and only one with 1e-6.
 """
@@ -35,13 +37,15 @@ from .components import components
 
 BANDS, ROWS, BITS = 32, 4, 512
 SAMPLES = BANDS * ROWS
+FINE_SAMPLES, FINE_BITS = 1024, 4096
 SMALL = 16
 LEADERS = 2
 MINORS = 256
 _random = np.random.Generator(np.random.PCG64(20240607))
 _A = _random.integers(0, 1 << 32, SAMPLES, np.uint32) | np.uint32(1)
 _B = _random.integers(0, 1 << 32, SAMPLES, np.uint32)
-_NTH = np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32)
+_FINE_A = _random.integers(0, 1 << 32, FINE_SAMPLES, np.uint32) | np.uint32(1)
+_FINE_B = _random.integers(0, 1 << 32, FINE_SAMPLES, np.uint32)
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -52,11 +56,11 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(grams(hashes, min(words, len(hashes))))
 
 
-def minhash(shingled: np.ndarray) -> np.ndarray:
+def minhash(shingled: np.ndarray, a: np.ndarray = _A, b: np.ndarray = _B) -> np.ndarray:
     x = (shingled >> np.uint64(32)).astype(np.uint32)
-    least = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(x), 1024):
-        np.minimum(least, (_A[:, None] * x[None, i : i + 1024] + _B[:, None]).min(axis=1), out=least)
+    least, step = np.full(len(a), 0xFFFFFFFF, np.uint32), (1 << 17) // len(a)
+    for i in range(0, len(x), step):
+        np.minimum(least, (a[:, None] * x[None, i : i + step] + b[:, None]).min(axis=1), out=least)
     return least
 
 
@@ -68,15 +72,16 @@ def band_hashes(samples: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """Parities of how many samples fall on each bit, as eight longs."""
-    at = mixed(samples.astype(np.uint64) + _NTH) & np.uint64(BITS - 1)
-    return np.packbits((np.bincount(at.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+def odd_sketch(samples: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Parities of how many samples fall on each bit, as bits / 64 longs."""
+    nth = np.arange(len(samples), dtype=np.uint64) << np.uint64(32)
+    at = mixed(samples.astype(np.uint64) + nth) & np.uint64(bits - 1)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
-def most_bits(floor: float) -> int:
-    """How many bits may differ if the estimate 1 + BITS / (4 SAMPLES) ln(1 - 2 bits / BITS) is to reach floor."""
-    return math.floor(BITS / 2 * (1 - math.exp(-4 * SAMPLES / BITS * (1 - floor))))
+def most_bits(floor: float, samples: int = SAMPLES, bits: int = BITS) -> int:
+    """How many of `bits` may differ if the estimate 1 + bits / (4 samples) ln(1 - 2 differing / bits) is to reach floor."""
+    return math.floor(bits / 2 * (1 - math.exp(-4 * samples / bits * (1 - floor))))
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
@@ -105,6 +110,22 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(sets, "id long, set array<long>")
 
 
+def fine_sketches(sets: DataFrame) -> DataFrame:
+    """(id, set) -> (sketched, fine): an odd sketch of eight times as many samples and bits."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fine = [odd_sketch(minhash(np.asarray(s.values).view(np.uint64), _FINE_A, _FINE_B), FINE_BITS) for s in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fine, pa.list_(pa.int64()))], ["sketched", "fine"])
+
+    return sets.select("id", "set").mapInArrow(sketch, "sketched long, fine array<long>")
+
+
+def _finely_differing(x: str, y: str) -> F.Column:
+    # 64 longs: unrolled like the short sketch they would make a method too long to be compiled
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, k: n + k)
+
+
 def _differing(x: str, y: str) -> F.Column:
     return sum(F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(BITS // 64))
 
@@ -128,13 +149,15 @@ def confirmed(near: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
 
 
 def usable(docs: DataFrame, ids: DataFrame, words: int, percent: int) -> DataFrame:
-    """(id, size, shared): how many shingles a document of ids has, and how many of them another one has; without those that can't reach the threshold."""
+    """(id, size, shared, fine): how many shingles a document of ids has, how many of them another one has, and a fine sketch; without those that can't reach the threshold."""
     sets = stored(sets_of(only_ids(docs, "doc_id", ids), words))
     each = sets.select("id", F.explode("set").alias("shingle")).groupBy("shingle").agg(F.min("id").alias("owner"), F.count("*").alias("n"))
     novel = each.where("n = 1").groupBy("owner").agg(F.count("*").alias("novel"))
     size = F.size("set").cast("long")
     out = sets.select("id", size.alias("size")).join(novel, F.col("id") == F.col("owner"), "left").select("id", "size", (F.col("size") - F.coalesce("novel", F.lit(0))).alias("shared"))
-    return stored(out.where(100 * F.col("shared") >= percent * F.col("size")))
+    out = stored(out.where(100 * F.col("shared") >= percent * F.col("size")))
+    fine = fine_sketches(only_ids(sets, "id", out.select("id")))
+    return stored(out.join(fine, F.col("id") == F.col("sketched")).drop("sketched"))
 
 
 def in_components(rows: DataFrame, comp: DataFrame) -> DataFrame:
@@ -150,7 +173,7 @@ def finer(docs: DataFrame) -> DataFrame:
     return two.select(F.xxhash64("one", "two").alias("bucket"), "doc_id", "c")
 
 
-def linked(reps: DataFrame, docs: DataFrame, words: int, percent: int, floor: float) -> DataFrame | None:
+def linked(reps: DataFrame, docs: DataFrame, words: int, percent: int, floor: float, fine_floor: float) -> DataFrame | None:
     """(doc_id, component_id) of those of reps (doc_id, bands, sketch) that are linked, None if there are none."""
     rows = reps.select("doc_id", F.explode("bands").alias("bucket"))
     shared = stored(rows.groupBy(F.col("bucket").alias("of")).agg(F.count("*").alias("n")).where("n > 1"))
@@ -198,8 +221,9 @@ def linked(reps: DataFrame, docs: DataFrame, words: int, percent: int, floor: fl
         nth = F.when(F.col("minors") <= most, F.col("doc_id")).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(most)))
         leaders = rows.where("c <> major").groupBy(F.col("bucket").alias("of"), nth.alias("nth")).agg(F.min(F.struct("doc_id", "c")).alias("l"))
         leaders = stored(leaders.select("of", F.col("l.doc_id").alias("leader"), F.col("l.c").alias("leader_c")))
-        ours = [F.col(c).alias(f"leader_{c}") for c in ("id", "size", "shared", "sketch", "ones", "crowds")]
-        stars = rows.join(facts, F.col("doc_id") == F.col("id")).join(leaders.join(facts.select(ours), F.col("leader") == F.col("leader_id")), (F.col("bucket") == F.col("of")) & (F.col("c") != F.col("leader_c")) & _within(percent) & (_differing("sketch", "leader_sketch") <= most_bits(floor)) & first)
+        ours = [F.col(c).alias(f"leader_{c}") for c in ("id", "size", "shared", "sketch", "fine", "ones", "crowds")]
+        near = (_differing("sketch", "leader_sketch") <= most_bits(floor)) & first & (_finely_differing("fine", "leader_fine") <= most_bits(fine_floor, FINE_SAMPLES, FINE_BITS))
+        stars = rows.join(facts, F.col("doc_id") == F.col("id")).join(leaders.join(facts.select(ours), F.col("leader") == F.col("leader_id")), (F.col("bucket") == F.col("of")) & (F.col("c") != F.col("leader_c")) & _within(percent) & near)
         new = confirmed(stars.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct(), docs, words, percent)
         links = links.union(new)
         comp = stored(components(links))
@@ -219,7 +243,7 @@ def _within(percent: int) -> F.Column:
     return 100 * common >= percent * (F.col("size") + F.col("leader_size") - common)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, floor: float = 0.55) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, floor: float = 0.55, fine_floor: float = 0.72) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id is that).
 
     Texts without words are linked with nothing. Rows with a null id are linked with nothing, have a null component
@@ -233,7 +257,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alone = (F.col("doc_id") == F.col("rep")) & (F.col("n_shingles") > 0)
     classed = stored(classed.select("doc_id", "n_shingles", "rep", *[F.when(alone, F.col(c)).alias(c) for c in ("bands", "sketch")]))
     reps = classed.where("bands IS NOT NULL").select("doc_id", "bands", "sketch")
-    comp = linked(reps, named, words, percent, floor)
+    comp = linked(reps, named, words, percent, floor, fine_floor)
     if comp is None:
         comp = docs.sparkSession.createDataFrame([], "doc_id long, component_id long")
     comp = comp.select(F.col("doc_id").alias("id"), "component_id")
