@@ -4,11 +4,12 @@ Two lines are alike if their edit distance is at most one after lower-casing and
 character in turn gives a line's neighbourhood; alike lines share a member of it. Emitting it for every line would
 give hundreds of rows a line, so a filter that loses nothing comes first. Of two lines at distance one, of which the
 longer has M characters, either the first M // 2 characters or the last M - M // 2 are equal. Only lines that share
-such a half with another line emit their variants. The variants are joined by hash, each match is verified by its
-edit distance, and of alike lines the earliest stays.
+such a half with another line emit their variants, each with the index deleted. Lines that reach a variant by the
+same index differ in that character alone, so all but the earliest of them go. The line equal to the variant is alike
+all that reach it: those after it go, and it goes if one is before it. No other lines are alike.
 
-Lines are represented by 128-bit hashes until the filter has passed; texts are read again only of the documents that
-hold a surviving line.
+Lines and shared variants are represented by 128-bit hashes; texts are read again only of the documents that hold a
+line that passed the filter.
 """
 
 from __future__ import annotations
@@ -42,9 +43,11 @@ def halves(line: str) -> list[int]:
     return [_hash(part, 2 * longer + side) for longer in (m, m + 1) for side, part in enumerate((line[: longer // 2], line[m - (longer - longer // 2) :]))]
 
 
-def variants(line: str) -> set[str]:
-    """The line and all lines with one character deleted."""
-    return {line} | {line[:i] + line[i + 1 :] for i in range(len(line))}
+def variants(line: str) -> Iterator[tuple[int, str]]:
+    """The line, as index -1, and for each index the line without that character."""
+    yield -1, line
+    for i in range(len(line)):
+        yield i, line[:i] + line[i + 1 :]
 
 
 def _signed(values: list[int]) -> pa.Array:
@@ -71,29 +74,50 @@ def lines_of(docs: DataFrame, least: int) -> DataFrame:
     return docs.mapInArrow(read, "doc_id long, nth int, h1 long, h2 long, k0 long, k1 long, k2 long, k3 long")
 
 
-def _variant_rows(docs: DataFrame, least: int) -> DataFrame:
-    """docs with column `nths`: for those of its lines a row for each variant, with the line itself."""
+def _chosen(batch: pa.RecordBatch) -> Iterator[tuple[int, int, str]]:
+    """doc_id, number and normal form of the lines in column `nths`; rows that repeat an id may have fewer lines."""
+    for doc_id, text, nths in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("nths").to_pylist(), strict=True):
+        lines = (text or "").split("\n")
+        for nth in nths:
+            if nth < len(lines):
+                yield doc_id, nth, normal(lines[nth])
+
+
+def _variants_met(docs: DataFrame) -> DataFrame:
+    """docs with column `nths`: for those of its lines a row for each different variant."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, nths in zip(batch.column("text").to_pylist(), batch.column("nths").to_pylist(), strict=True):
-                lines = text.split("\n")
-                for nth in nths:
-                    line = normal(lines[nth])
-                    found = np.array([_hash(v) for v in variants(line)], np.uint64).view(np.int64)
-                    n = len(found)
-                    yield pa.RecordBatch.from_arrays([pa.array(found), _signed([_hash(line)] * n), _signed([_hash(line, 1)] * n)], ["variant", "h1", "h2"])
+            for _, _, line in _chosen(batch):
+                found = np.unique(np.fromiter((_hash(v) for _, v in variants(line)), np.uint64, len(line) + 1))
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["variant"])
+
+    return docs.mapInArrow(read, "variant long")
 
-    return docs.mapInArrow(read, "variant long, h1 long, h2 long")
 
+def _variant_rows(docs: DataFrame) -> DataFrame:
+    """docs with column `nths`: for those of its lines a row for each index deleted, and one for the line itself."""
 
-def _line_rows(docs: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines = [normal(t.split("\n")[n]) for t, nths in zip(batch.column("text").to_pylist(), batch.column("nths").to_pylist(), strict=True) for n in nths]
-            yield pa.RecordBatch.from_arrays([_signed([_hash(x) for x in lines]), _signed([_hash(x, 1) for x in lines]), pa.array(lines, pa.string())], ["l1", "l2", "line"])
+            for doc_id, nth, line in _chosen(batch):
+                ones, twos = zip(*((_hash(v), _hash(v, 1)) for _, v in variants(line)), strict=True)
+                n = len(ones)
+                columns = [_signed(ones), _signed(twos), pa.array(np.arange(-1, n - 1, dtype=np.int32)), pa.array(np.full(n, doc_id, np.int64)), pa.array(np.full(n, nth, np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["variant", "v2", "cut", "doc_id", "nth"])
 
-    return docs.mapInArrow(read, "l1 long, l2 long, line string")
+    return docs.mapInArrow(read, "variant long, v2 long, cut int, doc_id long, nth int")
+
+
+def _near(met: DataFrame) -> DataFrame:
+    """variant, v2, cut, doc_id, nth -> doc_id, nth of the lines that are alike an earlier one."""
+    at = F.struct("doc_id", "nth")
+    lead = stored(met.groupBy("variant", "v2", "cut").agg(F.min(at).alias("lead")))
+    whole = lead.groupBy("variant", "v2").agg(F.min(F.when(F.col("cut") == -1, F.col("lead"))).alias("own"), F.min(F.when(F.col("cut") >= 0, F.col("lead"))).alias("others"))
+    # the earliest line that each one is alike to here, itself included
+    least = F.when(F.col("cut") == -1, F.least("lead", "others")).otherwise(F.least("lead", "own"))
+    least = lead.join(stored(whole), ["variant", "v2"]).select("variant", "v2", "cut", least.alias("least"))
+    return met.join(stored(least), ["variant", "v2", "cut"]).where(at > F.col("least")).select("doc_id", "nth").distinct()
 
 
 def repeated_lines(docs: DataFrame, least: int = 20) -> DataFrame:
@@ -108,37 +132,13 @@ def repeated_lines(docs: DataFrame, least: int = 20) -> DataFrame:
     passed = stored(unique.join(marked, F.col("h1") == F.col("m1"), "left_semi").select("h1", "h2", "first"))
 
     nths = stored(passed.groupBy(F.col("first.doc_id").alias("id")).agg(F.collect_list("first.nth").alias("nths")))
-    some = stored(only_ids(docs, "doc_id", nths.select("id")).join(nths, F.col("doc_id") == F.col("id")).select("text", "nths"))
-    neighbours = _variant_rows(some, least)
-    # of each variant only the pairs that matter: the lines that reach it, against the others
-    often = stored(neighbours.groupBy(F.col("variant").alias("of")).agg(F.count("*").alias("n")).where("n > 1").select("of"))
-    met = stored(neighbours.join(often, F.col("variant") == F.col("of")).select("variant", "h1", "h2"))
-    firsts = passed.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), "first")
-    met = stored(met.join(firsts, (F.col("h1") == F.col("p1")) & (F.col("h2") == F.col("p2"))).select("variant", "h1", "h2", "first"))
-    texts = stored(_line_rows(some))
-    line_of = {x: texts.select(F.col("l1").alias(f"l1_{x}"), F.col("l2").alias(f"l2_{x}"), F.col("line").alias(f"line_{x}")) for x in "ab"}
-    near = None
-    # the earliest line of a variant proves most others alike; the rest go on among themselves
-    while True:
-        lead = stored(met.groupBy(F.col("variant").alias("of")).agg(F.min(F.struct("first", "h1", "h2")).alias("lead")))
-        pairs = met.join(lead, F.col("variant") == F.col("of")).where("first > lead.first")
-        pairs = stored(pairs.select("variant", F.col("h1").alias("b1"), F.col("h2").alias("b2"), "first", F.col("lead.h1").alias("a1"), F.col("lead.h2").alias("a2")))
-        if pairs.isEmpty():
-            break
-        pair = pairs.select("a1", "a2", "b1", "b2").distinct()
-        both = pair.join(line_of["a"], (F.col("a1") == F.col("l1_a")) & (F.col("a2") == F.col("l2_a"))).join(line_of["b"], (F.col("b1") == F.col("l1_b")) & (F.col("b2") == F.col("l2_b")))
-        new = stored(both.where(F.levenshtein("line_a", "line_b", 1) >= 0).select(F.col("b1").alias("h1"), F.col("b2").alias("h2")).distinct())
-        near = new if near is None else stored(near.union(new).distinct())
-        met = stored(pairs.select("variant", F.col("b1").alias("h1"), F.col("b2").alias("h2"), "first").join(new, ["h1", "h2"], "left_anti"))
+    some = stored(only_ids(docs, "doc_id", nths.select("id")).join(nths, F.col("doc_id") == F.col("id")).select("doc_id", "text", "nths"))
+    often = stored(_variants_met(some).groupBy(F.col("variant").alias("of")).agg(F.count("*").alias("n")).where("n > 1").select("of"))
+    near = _near(stored(_variant_rows(some).join(often, F.col("variant") == F.col("of"), "left_semi")))
     # a line goes if it isn't the first of its text, or if its text is like an earlier one
-    facts = unique.select(F.col("h1").alias("u1"), F.col("h2").alias("u2"), "first", "n")
-    if near is None:
-        facts = facts.withColumn("near", F.lit(False))
-    else:
-        facts = facts.join(near.withColumn("near", F.lit(True)), (F.col("u1") == F.col("h1")) & (F.col("u2") == F.col("h2")), "left").drop("h1", "h2").withColumn("near", F.coalesce("near", F.lit(False)))
-    facts = stored(facts.where("near OR n > 1"))
+    facts = stored(unique.where("n > 1").select(F.col("h1").alias("u1"), F.col("h2").alias("u2"), "first"))
     gone = lines.select("doc_id", "nth", "h1", "h2").join(facts, (F.col("h1") == F.col("u1")) & (F.col("h2") == F.col("u2")))
-    gone = gone.where(F.col("near") | (F.struct("doc_id", "nth") > F.col("first")))
+    gone = gone.where(F.struct("doc_id", "nth") > F.col("first")).select("doc_id", "nth").union(near)
     return stored(gone.groupBy(F.col("doc_id").alias("id")).agg(F.array_sort(F.collect_set("nth")).alias("gone")))
 
 

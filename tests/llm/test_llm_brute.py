@@ -169,6 +169,25 @@ def test_lines(spark):
         assert left[i] == ("\n".join(x for n, x in enumerate(text.split("\n")) if n not in set(got[i])) if text is not None else None)
 
 
+def test_lines_in_chains(spark):
+    """Characters put in, left out and replaced, one after another, in every order: lines that went are still partners."""
+    base = "the quick brown foxes jump over it"
+    put, twice = [base[:k] + "#" + base[k:] for k in (3, 9, 17)], [base[:4] + "%%" + base[4:], base[:4] + "%" + base[4:]]
+    orders = [[put[0], base, *put[1:]], [*put, base], [base, *put], [*twice, base], [base[:5] + base[6:], base, base[:9] + base[10:], put[2]]]
+    rng = np.random.default_rng(4)
+    for _ in range(25):  # chains of edits
+        chain = [base]
+        for _ in range(12):
+            x, k = chain[int(rng.integers(0, len(chain)))], int(rng.integers(0, 30))
+            chain.append([x[:k] + "#" + x[k:], x[:k] + x[k + 1 :], x[:k] + "o" + x[k + 1 :]][int(rng.integers(0, 3))])
+        orders.append([chain[k] for k in rng.permutation(len(chain))])
+    docs = [(i, "\n".join(f"{i:04d}{'abcdefghijklmnopqrstuvwxyz'[i % 26] * 3} {x}" for x in order)) for i, order in enumerate(orders)]
+    docs.append((900, None))
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.dedup_lines(frame(spark, docs)).collect()}
+    assert got == lines_brute(docs)
+    assert got[0] == [1, 2, 3]
+
+
 def test_media(spark):
     from echotable.llm import media
 
