@@ -1,11 +1,11 @@
 """Benchmark passages in training texts, by spaced seeds.
 
-A mask of 12 words of which eight count (1) and four don't (0) gives a hash of the words at its ones. A copied
+A mask of words of which some count (1) and some don't (0) gives a hash of the words at its ones. A copied
 passage with words replaced still agrees with the benchmark item wherever a mask's ones miss the replaced words;
 several masks make that likely. Hashes of benchmark and documents are joined; a hit gives the item and a diagonal, the
-difference of the two positions. Around each hit the aligned words are compared: matches and mismatches make a local
-alignment without gaps, the stretch with the best sum of +1 for equal and -2 for other words, joined over
-nearby diagonals where words were put in or left out. A document holds an item if enough words agree.
+difference of the two positions. Along each diagonal hit all aligned words are compared, and what agrees is joined over
+nearby diagonals where words were put in or left out. A document holds an item if enough words agree. A run of six
+equal words is always hit, so a block of words replaced in a passage leaves its longer part to be found.
 
 The benchmark side is an index in each task: its hashes, sorted. It is bounded by `block` hashes (16 MB);
 a larger benchmark is handled in blocks of items, each against all documents.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .base import documents_of, hashed, mixed, stored, without_ids, word_list
 
-MASKS = ("110110111100", "111010010111", "101101110011", "111111110000")
+MASKS = ("110110111100", "111010010111", "101101110011", "111111000000")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -43,15 +43,6 @@ def _words(text: str | None) -> np.ndarray:
     return hashed(word_list(text, lower=True))
 
 
-def _runs(equal: np.ndarray) -> tuple[int, int, int]:
-    """The stretch [from, to) of greatest sum, +1 for equal and -2 for others, and how many are equal in it."""
-    sums = np.r_[0, np.cumsum(np.where(equal, 1, -2))]
-    gain = sums - np.minimum.accumulate(sums)
-    to = int(np.argmax(gain))
-    start = int(np.argmin(sums[: to + 1]))
-    return start, to, int(equal[start:to].sum())
-
-
 class Index:
     """Items of a benchmark by their seed hashes. Items shorter than a mask are found by all their words."""
 
@@ -91,18 +82,16 @@ class Index:
         out = []
         for item, shifts in diagonals.items():
             want = self.items[item]
-            stretches = []
+            agreeing = []
             for shift in shifts:
                 first, end = max(0, -shift), min(len(want), len(words) - shift)
-                i, j, equal = _runs(want[first:end] == words[first + shift : end + shift])
-                stretches.append((shift + first + i, shift + first + j, first + i, first + j, equal))
+                agreeing.append((shift, first + np.flatnonzero(want[first:end] == words[first + shift : end + shift])))
             best = (0, 0, 0)
-            for s in stretches:  # with the parts before and after it on other diagonals, within an item's length
-                near = [x for x in stretches if abs((x[0] - x[2]) - (s[0] - s[2])) <= len(want) // 4]
-                covered = np.zeros(len(want), bool)
-                for x in near:
-                    covered[x[2] : x[3]] |= want[x[2] : x[3]] == words[x[0] : x[1]]
-                best = max(best, (int(covered.sum()), -min(x[0] for x in near), max(x[1] for x in near)))
+            for s, _ in agreeing:  # with the parts on other diagonals, within an item's length
+                near = [(shift, at) for shift, at in agreeing if abs(shift - s) <= len(want) // 4 and len(at)]
+                if near:
+                    ours, theirs = np.unique(np.concatenate([at for _, at in near])), np.unique(np.concatenate([shift + at for shift, at in near]))
+                    best = max(best, (min(len(ours), len(theirs)), -int(theirs[0]), int(theirs[-1]) + 1))  # a word of either counts once
             if best[0] >= min(self.least, len(want)) and best[0] >= self.part * len(want):
                 out.append((item, -best[1], best[2], best[0]))
         return out

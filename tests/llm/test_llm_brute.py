@@ -131,6 +131,22 @@ def test_decontamination(spark):
     assert {(r["doc_id"], r["item_id"]) for r in blocks} == got
 
 
+def test_decontamination_blocks(spark):
+    """A block of words replaced in the middle of a passage, or by more or fewer words."""
+    items, docs = [], []
+    for item, (n, block) in enumerate([(18, 4), (37, 8), (53, 11), (14, 2), (59, 20)]):
+        w = [f"item{item}w{k}" for k in range(n)]
+        at = (n - block) // 2
+        items.append((item, " ".join(w)))
+        for k, other in enumerate((block, block + 2, block - 1)):
+            docs.append((10 * item + k, " ".join([f"a{x}" for x in range(30)] + w[:at] + [f"b{x}" for x in range(other)] + w[at + block :] + [f"c{x}" for x in range(30)])))
+    docs.append((900, " ".join(items[1][1].split()[:18])))  # less than half
+    rows = decontamination.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["item_id"]): (r["first_word"], r["end_word"], r["n_equal"]) for r in rows}
+    assert {d for d, _ in got} == {d for d, _ in docs if d != 900}
+    assert got[0, 0] == (30, 48, 14) and got[10, 1] == (30, 67, 29) and got[20, 2] == (30, 83, 42)
+
+
 def within_one(a, b):
     if abs(len(a) - len(b)) > 1:
         return False
