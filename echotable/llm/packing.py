@@ -12,6 +12,7 @@ within their length and look the plan up.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from array import array
@@ -40,11 +41,13 @@ class Encoder(dict):
     The vocabulary's cut never joins a character to a following space, so " word" can be encoded by itself wherever words
     are parted by one space. Texts with other white space are cut at their lines where they can, or encoded
     whole. The vocabulary is read as ranks, which gives the ids of the tokenizer file of the same name several
-    times as fast. Strings of special tokens in a text are ordinary text.
+    times as fast. Texts are cut at the strings in `added`, which have ids of their own; without any all is ordinary text.
     """
 
-    def __init__(self, ranks: str, pattern: str):
+    def __init__(self, ranks: str, pattern: str, added: dict[str, int] | None = None):
         super().__init__()
+        self.added = {t: array("I", [i]).tobytes() for t, i in (added or {}).items()}
+        self.cut = re.compile(f"({'|'.join(map(re.escape, sorted(self.added, key=len, reverse=True)))})") if self.added else None
         with open(ranks, "rb") as lines:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
@@ -59,6 +62,13 @@ class Encoder(dict):
         return out
 
     def encode(self, text: str) -> bytes:
+        if self.cut and self.cut.search(text):
+            return b"".join(self.added[t] if k % 2 else self.part(t) for k, t in enumerate(self.cut.split(text)))
+        return self.part(text)
+
+    def part(self, text: str) -> bytes:
+        if not text:
+            return b""
         out = []
         for i, line in enumerate(text.split("\n")):
             if not line or line[0] == " " or line[-1] == " " or "  " in line or _OTHER.search(line):
@@ -71,11 +81,20 @@ class Encoder(dict):
         return b"".join(out)
 
 
-def pieces_of(docs: DataFrame, ranks: str, pattern: str, size: int = 1024) -> DataFrame:
+def added_tokens(tokenizer: str) -> dict[str, int]:
+    """The tokens that a tokenizer file adds to its vocabulary. Only plain ones: found wherever they stand, nothing stripped."""
+    with open(tokenizer, encoding="utf-8") as file:
+        found = json.load(file)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in found):
+        raise ValueError(f"{tokenizer} has added tokens of other kinds")
+    return {t["content"]: t["id"] for t in found}
+
+
+def pieces_of(docs: DataFrame, ranks: str, pattern: str, size: int = 1024, added: dict[str, int] | None = None) -> DataFrame:
     """The pieces of each document: the first one takes the remainder, all others are full."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(ranks, pattern)
+        encoder = Encoder(ranks, pattern, added)
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), ([], [], [], [], [])
             for doc_id, text in zip(ids, batch.column(1), strict=True):
@@ -155,13 +174,14 @@ def plan(histogram: dict[int, int], size: int = 1024) -> list[tuple[int, int, in
     return runs
 
 
-def pack(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, rows_per_cell: int = 500_000) -> DataFrame:
+def pack(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, rows_per_cell: int = 500_000, added: dict[str, int] | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece.
 
+    `added`: strings that are tokens of their own, with their ids.
     A null or empty text is the end token alone. Repeated rows and null ids are packed like any others; an empty
     table gives no rows. Full pieces are sequences by themselves and take negative ids.
     """
-    pieces = stored(pieces_of(documents_of(docs, id_col, text_col), ranks, pattern, size))
+    pieces = stored(pieces_of(documents_of(docs, id_col, text_col), ranks, pattern, size, added))
     full = pieces.where(F.col("length") == size).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
     short = pieces.where(F.col("length") < size)

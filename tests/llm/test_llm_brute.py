@@ -261,6 +261,27 @@ def test_packing(spark):
     assert len(bins) == len(free)
 
 
+def test_packing_added_tokens(spark):
+    """The registered query and the tokenizer's default setting: its added token is one id wherever it stands."""
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    docs = [(1, f"a {end} b"), (2, end), (3, f"{end}{end} x  {end}  y\n{end}\n"), (4, f"word{end}word <|endoftext| > <{end}>"), (5, "plain text"), (6, f"tail \n\n{end}"), (7, None)]
+    added = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    assert added == {end: 50256}
+    got = packing.pack(frame(spark, docs), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=added).collect()
+    want = {i: [*t.encode(text or "", add_special_tokens=False).ids, 2] for i, text in docs}
+    assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in got} == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
+
+
+def test_packing_queries_know_added_tokens(spark, tmp_path):
+    import corpus_pipeline as c
+
+    frame(spark, [(1, "a <|endoftext|> b")], clash=False).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for out in (queries.op9_best_fit_packing(spark, str(tmp_path)), c.pack(spark, docs, str(tmp_path))):
+        assert [r["length"] for r in out.collect()] == [4 + 1]
+
+
 def near_brute(docs, words, percent):
     sets = {}
     for i, text in docs:
