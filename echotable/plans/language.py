@@ -131,7 +131,7 @@ def snippets_and_ids(spark, d):
 @query()
 def text_similarity(spark, d):
     s = seg(spark, d)
-    a, b = (s.where(F.col("model_key") == m).select("audio_hash", "seg_idx", F.substring("full_text", 1, 400).alias(m)) for m in ("user", "assistant"))
+    a, b = (s.where(F.col("model_key") == m).select("audio_hash", "seg_idx", F.col("full_text").alias(m)) for m in ("user", "assistant"))
     j = a.join(b.withColumn("seg_idx", F.col("seg_idx") - 1), ["audio_hash", "seg_idx"])
     return j.select("audio_hash", "seg_idx", F.round(tx.similarity("user", "assistant"), 6).alias("similarity"))
 

@@ -39,3 +39,14 @@ def test_runs(spark, name):
     df = registry.queries()[name](spark, DATA)
     assert df.schema == registry.queries()[name](spark, DATA).schema
     df.collect()
+
+
+def test_similarity_of_whole_texts(spark, tmp_path):
+    import difflib
+
+    same = " ".join(f"word{k}" for k in range(80))
+    a, b = same + " and then one end" * 9, same + " but quite another close" * 7
+    rows = [(1, 0, "user", a), (1, 1, "assistant", b)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = [r["similarity"] for r in registry.queries()["text_similarity"](spark, str(tmp_path)).collect()]
+    assert got == [round(difflib.SequenceMatcher(None, a, b).ratio(), 6)] and got[0] < 1
