@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Ids that one broadcast may hold: 2 million longs are 16 MB. Beyond it the same join is shuffled.
@@ -40,24 +40,44 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _by_ids(df: DataFrame, column: str, ids: DataFrame, most: int, how: str) -> DataFrame:
-    small = ids.limit(most + 1).count() <= most
-    name = f"id_{uuid.uuid4().hex}"  # whatever columns df has
-    ids = ids.select(F.col(ids.columns[0]).alias(name))
-    return df.join(F.broadcast(ids) if small else ids, df[column] == F.col(name), how)
+def measured(df: DataFrame, **figures: Column) -> tuple[DataFrame, dict]:
+    """stored(df) and aggregates of its rows, all in the one job that writes them."""
+    seen = Observation()
+    out = stored(df.observe(seen, *[c.alias(name) for name, c in figures.items()]))
+    return out, seen.get
 
 
-def only_ids(df: DataFrame, column: str, ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
-    """Rows of df whose column is in ids (one column of longs, distinct, already stored).
+def _by_ids(df: DataFrame, columns: str | list[str], ids: DataFrame, most: int, how: str, n: int | None) -> DataFrame:
+    columns = [columns] if isinstance(columns, str) else columns
+    most //= len(columns)
+    small = (ids.limit(most + 1).count() if n is None else n) <= most
+    names = [f"id_{uuid.uuid4().hex}" for _ in columns]  # whatever columns df has
+    ids = ids.select([F.col(c).alias(name) for c, name in zip(ids.columns, names, strict=False)])
+    on = [df[c] == F.col(name) for c, name in zip(columns, names, strict=True)]
+    return df.join(F.broadcast(ids) if small else ids, on, how)
 
-    The ids are broadcast when a count proves that they fit; otherwise both sides are shuffled.
+
+def only_ids(df: DataFrame, columns: str | list[str], ids: DataFrame, most: int = BROADCAST_IDS, n: int | None = None) -> DataFrame:
+    """Rows of df whose columns are in ids (its first columns, longs, distinct, already stored).
+
+    The ids are broadcast when their number, counted here or given as n, proves that they fit; otherwise both sides are shuffled.
     """
-    return _by_ids(df, column, ids, most, "left_semi")
+    return _by_ids(df, columns, ids, most, "left_semi", n)
+
+
+def without_ids(df: DataFrame, columns: str | list[str], ids: DataFrame, most: int = BROADCAST_IDS, n: int | None = None) -> DataFrame:
+    """Rows of df whose columns aren't in ids, like only_ids; rows with a null there stay."""
+    return _by_ids(df, columns, ids, most, "left_anti", n)
+
+
+def text_hash(text_col: str) -> Column:
+    """With the id it names a row: rows of one id that differ in their text are different documents."""
+    return F.xxhash64(F.col(text_col).cast("string"))
 
 
-def without_ids(df: DataFrame, column: str, ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
-    """Rows of df whose column isn't in ids, like only_ids; rows with a null there stay."""
-    return _by_ids(df, column, ids, most, "left_anti")
+def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """documents_of with `row`, which tells rows of one id apart unless they repeat the text too."""
+    return documents_of(docs, id_col, text_col).withColumn("row", text_hash("text"))
 
 
 def documents_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -162,11 +162,12 @@ def lines_brute(docs):
         gone = []
         for nth, line in enumerate((text or "").split("\n")):
             line = re.sub("[\x20\x09-\x0d]+", " ", line).strip(" ").lower()
-            if len(line) < 20:
+            if not line:
                 continue
             if line not in seen:
-                seen[line] = any(within_one(line, x) for n in (-1, 0, 1) for x in firsts[len(line) + n])
-                firsts[len(line)].append(line)
+                seen[line] = len(line) >= 20 and any(within_one(line, x) for n in (-1, 0, 1) for x in firsts[len(line) + n])
+                if len(line) >= 20:
+                    firsts[len(line)].append(line)
                 if seen[line]:
                     gone.append(nth)
             else:
@@ -225,9 +226,8 @@ def test_media(spark):
 
 def test_packing(spark):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     docs = texts() + [(60_001, " two  spaces \n\n and\ttabs <|endoftext|> x"), (60_002, "line one \n line two   end "), (60_003, "\n\n"), (60_004, "it's we'll 123 4567 a\r\nb")]
-    got = packing.pack(frame(spark, docs), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    got = packing.pack(frame(spark, docs), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))).collect()
     of = defaultdict(dict)
     bins = defaultdict(list)
     for r in got:
@@ -402,3 +402,30 @@ def test_pipeline(spark):
         before = now
     assert {r["doc_id"] for r in c.STAGES[-1][1](spark, docs, DATA).collect()} == set(before)
     assert {r["doc_id"] for r in c.run(spark, DATA).collect()} == set(before)
+
+
+def test_rows_of_one_id(spark):
+    """Rows that share an id and not their text are judged by their own text."""
+    rng = np.random.default_rng(8)
+    w, z = (" ".join(f"{c}{x}" for x in rng.integers(0, 9999, 60)) for c in "wz")
+    got = substring_dedup.remove_repeats(frame(spark, [(1, w), (8, w + " tail"), (8, z), (8, z)])).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in got) == [(1, 60, 0), (8, 60, 0), (8, 60, 0), (8, 61, 60)]
+    full = substring_dedup.remove_repeats(frame(spark, [(1, w), (8, w), (8, z), (8, z)]), with_text=True).collect()
+    assert sorted((r["doc_id"], r["kept_text"]) for r in full) == sorted([(1, w), (8, ""), (8, z), (8, z)])
+
+    line, other = "a line that several documents have in common", "a line of which there is nothing else like it"
+    docs = [(1, line), (8, line), (8, other), (8, f"{line}\n{other}!\nshort"), (9, "short")]
+    left = sorted((r["doc_id"], r["text"]) for r in line_dedup.drop_lines(frame(spark, docs)).collect())
+    assert left[0] == (1, line) and left[1] == (8, "") and left[4] == (9, "")
+    assert sum(other in t for _, t in left) == 1  # one of the two alike stays
+
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(frame(spark, [(1, w), (8, w), (8, z), (8, z), (9, z)])).collect())
+    assert got == [(1, 56, 1, True), (8, 56, 1, False), (8, 56, 8, True), (8, 56, 8, True), (9, 56, 8, False)]
+    kept = sorted((r["doc_id"], r["text"]) for r in near_dedup.keep_one(frame(spark, [(1, w), (8, w), (8, z), (8, z), (8, z + " more"), (9, z), (3, None), (3, None)])).collect())
+    assert [i for i, _ in kept] == [1, 3, 3, 8] and kept[3][1].startswith(z)
+
+    from echotable.llm import media
+
+    got = media.media(frame(spark, [(1, w), (8, w), (8, z), (8, z), (None, z)]), with_payload=True).collect()
+    assert sorted(bytes(r["payload"]).rstrip(b"\0").decode() for r in got) == sorted([w, w, z, z, z])
+    assert len({(r["media_sha256"], r["media_bytes"]) for r in got}) == 2

@@ -70,5 +70,6 @@ def test_stages_keep_columns(spark, rows, tmp_path):
         assert out.columns == docs.columns, name
         docs = out
     assert pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).columns[:2] == ["doc_id", "piece"]
-    left = {r["doc_id"] for r in docs.select("doc_id").collect()}
-    assert left == ({1, 2, 3, 4, 5, 6, 7, 8, 9, -3, None} if rows else set())  # 8 lost its line before, 10 is like 6
+    left = [r["doc_id"] for r in docs.select("doc_id").collect()]
+    # of 8 one text is its own and the two that repeat lost their line before; 10 is like 6
+    assert sorted(left, key=str) == (sorted([1, 2, 3, 4, 5, 6, 7, 8, 8, 8, 9, -3, None, None], key=str) if rows else [])
