@@ -7,7 +7,7 @@ table bounded by the labellers. The posterior of its pattern is a document's wea
 
 Posterior labels train a linear scorer over hashed features, word shapes and their pairs, so that documents
 on which the labellers are silent are judged by what they look like. It is fitted on a sample of bounded size,
-drawn by a hash of the id, and scores every document.
+drawn by a hash of id and features, and scores every document.
 """
 
 from __future__ import annotations
@@ -133,7 +133,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
     """doc_id, score (0 to 1, of being good), keep (score >= 0.5), posterior (of the votes alone), pattern.
 
     Labels are made by the labellers; none are read. Null and empty texts get votes as any other, which makes them bad. Rows with a
-    null or repeated id are scored like any others. An empty table gives no rows. `sample` bounds the rows of the fit.
+    null or repeated id are scored like any others. Equal texts get equal scores. An empty table gives no rows. `sample` bounds
+    the rows of the fit, whatever ids or texts repeat.
     """
     docs = documents_of(docs, id_col, text_col)
 
@@ -153,8 +154,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
     seen = stored(docs.mapInArrow(read, "doc_id long, pattern string, slots array<int>, values array<float>"))
     patterns = {r[0]: r[1] for r in seen.groupBy("pattern").count().collect()}  # at most 3 ** LABELLERS
     posterior, _, _ = estimate(patterns)
-    part = min(1.0, sample / max(sum(patterns.values()), 1))
-    drawn = seen.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id", "pattern"), F.lit(1 << 20)) < F.lit(part * (1 << 20))).select("slots", "values", "pattern").collect()
+    # the rows with the least hashes of id and features, never more than `sample`, whatever repeats
+    drawn = seen.select("slots", "values", "pattern").orderBy(F.xxhash64(F.lit("fit"), "doc_id", "slots", "values"), F.hash("slots")).limit(sample).collect()
     weights, bias = fit([(r[0], r[1], posterior[r[2]]) for r in drawn])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

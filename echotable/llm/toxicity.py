@@ -5,10 +5,13 @@ arcs: the weight is the smoothed log ratio of how often toxic and other document
 a likelihood-ratio test with false-discovery control over all that were counted, and an arc that another one
 contains is left out. A short list of insults starts the lexicon; what is learned of them replaces it.
 
-Grammar. A clause is read as a string of word classes: insult, threat, target, negation, reported speech, other.
-Five small transducers read it side by side, each with its own states and factors: the insult and threat transducers give the weights, a target
-near by raises them, a negation shortly before and a verb of saying lower them. Their composition is one
-machine whose state is the tuple of theirs. What a document says is the sum over its clauses, never of words alone.
+Grammar. A clause is read as a string of word classes: insult, threat, target, negation, reported speech, other. Five
+transducers are composed into one: each reads what the one before writes. Negation marks insults and threats shortly
+after a negation, reported speech those after a verb of saying, the insult transducer lets through only insults that
+stand with another word, the threat transducer only threats, and the target transducer gives the factor of a match: an insult
+counts more with a target near by, a threat only with one. A clause scores the sum of its matches in the log semiring, in
+which two like ones add little to one, and nothing without a match: an insult alone says nothing. What a document
+says is the sum over its clauses.
 
 Calibration. Two numbers map that sum to a score, by logistic regression on a histogram of the labelled documents' sums.
 """
@@ -17,9 +20,9 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import documents_of, stored, without_ids
+from .base import rows_of, stored, text_hash, without_ids
 
 # Fixed word lists: English, French, German, Spanish.
 INSULTS = "idiot moron stupid loser scum trash pathetic worthless disgusting imbecile imbécile crétin connard ordure idiota estúpido imbécil basura dummkopf trottel abschaum arschloch".split()
@@ -36,43 +39,91 @@ TARGETS = "you your yours they them he she him her these those tu te vous toi vo
 NEGATIONS = "not never no without isn't aren't don't doesn't wasn't pas jamais sans nicht nie kein keine ohne nunca jamás sin".split()
 REPORTS = "said says say called calls wrote writes quoted quotes claimed claims dit disait écrit sagte sagt schrieb dijo dice escribió".split()
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-_CLASSES = {w: c for c, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS)) for w in words}
+#: Symbols of the grammar: I insult, H threat, T target, N negation, R reported speech, O other.
+_CLASSES = {w: c for c, words in (("T", TARGETS), ("N", NEGATIONS), ("R", REPORTS), ("H", THREATS)) for w in words}
 CLAUSE = re.compile(r"[.!?;:\n]+")
+CLAUSE_END = re.compile(r"[.!?;:\n\s]*$")
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-LONGEST = 24
 STEMS = (4, 5, 6)
 
+Symbol = tuple[str, bool, bool]  # what it is, negated, reported
 
-class Transducer:
-    """States 0..n-1, from 0; step(state, word class) -> (next state, factor on the weights of insults and threats)."""
 
-    def __init__(self, states: int, step: Callable[[int, int], tuple[int, float]]):
-        self.table = [[step(s, c) for c in range(6)] for s in range(states)]
+class Transducer:
+    """arcs[state][symbol] = (next state, symbol written, factor), from state 0."""
+
+    def __init__(self, arcs: list[dict]):
+        self.arcs = arcs
+
+    @classmethod
+    def of(cls, symbols: list, start, step: Callable) -> Transducer:
+        """All that step(state, symbol) -> (state, symbol written, factor) reaches from start."""
+        numbers, arcs, todo = {start: 0}, [], [start]
+        for state in todo:  # grows
+            row = {}
+            for symbol in symbols:
+                to, out, factor = step(state, symbol)
+                if to not in numbers:
+                    numbers[to] = len(numbers)
+                    todo.append(to)
+                row[symbol] = (numbers[to], out, factor)
+            arcs.append(row)
+        return cls(arcs)
 
     def compose(self, other: Transducer) -> Transducer:
-        """Both read the same word; factors multiply. The pair of states (s, t) is s * len(other) + t."""
-        n = len(other.table)
-        pairs = {s * n + t: (s, t) for s, t in product(range(len(self.table)), range(n))}
+        """The other reads what this one writes; factors multiply."""
 
-        def step(at: int, c: int) -> tuple[int, float]:
-            (s, x), (t, y) = self.table[pairs[at][0]][c], other.table[pairs[at][1]][c]
-            return s * n + t, x * y
+        def step(pair, symbol):
+            s, middle, x = self.arcs[pair[0]][symbol]
+            t, out, y = other.arcs[pair[1]][middle]
+            return (s, t), out, x * y
 
-        return Transducer(len(pairs), step)
+        return Transducer.of(list(self.arcs[0]), (0, 0), step)
 
 
 def grammar() -> Transducer:
-    strong = (INSULT, THREAT)
-    # an insult after another in one clause counts less: the first says most of it
-    insult = Transducer(2, lambda s, c: (1 if c == INSULT else s, 0.7 if c == INSULT and s else 1.0))
-    # a threat counts in full only where somebody has been addressed in the clause
-    threat = Transducer(2, lambda s, c: (1 if c == TARGET else s, (1.0 if s else 0.3) if c == THREAT else 1.0))
-    # a target up to four words before; states count down
-    target = Transducer(5, lambda s, c: (4 if c == TARGET else max(0, s - 1), 1.25 if s and c in strong else 1.0))
-    negation = Transducer(4, lambda s, c: (3 if c == NEGATION else max(0, s - 1), 0.35 if s and c in strong else 1.0))
-    report = Transducer(2, lambda s, c: (1 if c == REPORT else s, 0.5 if s and c in strong else 1.0))
-    return insult.compose(threat).compose(target).compose(negation).compose(report)
+    """Reads word classes; the factor of a position, if not 0, matches the last insult or threat up to there."""
+    strong = [(k, n, r) for k in "IH" for n in (False, True) for r in (False, True)]
+    plain = [(k, False, False) for k in "OTNR"]
+    words = plain + strong
+
+    def negation(left, symbol):  # a negation reaches three words
+        k, n, r = symbol
+        return (3 if k == "N" else max(0, left - 1)), (k, n or (k in "IH" and left > 0), r), 1.0
+
+    def report(said, symbol):  # a verb of saying reaches to the end of the clause
+        k, n, r = symbol
+        return said or k == "R", (k, n, r or (k in "IH" and said)), 1.0
+
+    def insult(state, symbol):  # "" at the start of a clause, "w" after a word, or the insult that waits for one
+        k = symbol[0]
+        if state not in ("", "w"):  # the first word was an insult: with this one it's a match
+            return "w", ("IT" if k == "T" else "I", *state[1:]) if k != "H" else symbol, 1.0
+        if k == "I":
+            return (symbol, ("O", False, False), 1.0) if state == "" else ("w", symbol, 1.0)
+        return "w", symbol, 1.0
+
+    def threat(_, symbol):  # threats and insults alike go on as matches; negations and verbs of saying have done their work
+        return 0, (("O", False, False) if symbol[0] in "NR" else symbol), 1.0
+
+    def target(state, symbol):  # words since a target, what waits for one and for how many words
+        (near, waits, left), (k, n, r) = state, symbol
+        factor = (0.35 if n else 1.0) * (0.5 if r else 1.0)
+        seen = 6 if "T" in k else max(0, near - 1)
+        if k == "I" and not seen:
+            return (seen, (1.25, factor), 2), "m", factor
+        if k in ("I", "IT"):
+            return (seen, None, 0), "m", 1.25 * factor
+        if k == "H":
+            return ((seen, None, 0), "m", factor) if seen else ((0, (1.0, factor), 4), "", 0.0)
+        if k == "T" and waits:
+            return (seen, None, 0), "m", waits[0] * waits[1]
+        return (seen, waits if left > 1 else None, max(0, left - 1)), "", 0.0
+
+    heard = [(k, n, r) for k in ("I", "IT", "H") for n in (False, True) for r in (False, True)] + [(k, False, False) for k in "OT"]
+    machine = Transducer.of(plain + [(k, False, False) for k in "IH"], 0, negation).compose(Transducer.of(words, False, report))
+    machine = machine.compose(Transducer.of(words, "", insult)).compose(Transducer.of(heard + [s for s in plain if s[0] in "NR"], 0, threat))
+    return machine.compose(Transducer.of(heard, (0, None, 0), target))
 
 
 def arcs_of(text: str) -> dict[str, int]:
@@ -81,7 +132,7 @@ def arcs_of(text: str) -> dict[str, int]:
     out: dict[str, int] = {}
     seen = set()
     for i, w in enumerate(words):
-        if 3 <= len(w) <= LONGEST and w not in seen:
+        if len(w) >= 3 and w not in seen:
             seen.add(w)
             around = xxhash.xxh3_64_intdigest(" ".join(words[max(0, i - 1) : i + 2])) >> 1
             for arc in (f"={w}", *[f"{w[:k]}-" for k in STEMS if len(w) > k]):
@@ -119,8 +170,9 @@ def learn(docs: DataFrame, labelled: DataFrame, sample: int, rate: float = 0.001
     g = 2 * (log(a, p1) + log(n1 - a, 1 - p1) + log(b, p0) + log(n0 - b, 1 - p0) - log(a + b, p) - log(n1 + n0 - a - b, 1 - p))
     counts = stored(counts.select("arc", "n1", "n0", weight.alias("weight"), g.alias("g")))
     tested = counts.count()
-    # an arc must make a document toxic rather than not by four to one
-    strong = counts.where("n1 + 0.5 >= 4 * (n0 + 0.5) AND weight > 0").orderBy(F.desc("g"), "arc").limit(4000).collect()  # the strongest of a bounded sample's arcs
+    # an arc must make a document toxic rather than not by four to one; below `least` no arc can pass the procedure at its rate
+    least = max(0.0, 2 * -math.log(rate) - 8)
+    strong = counts.where("n1 + 0.5 >= 4 * (n0 + 0.5) AND weight > 0").where(F.col("g") >= least).orderBy(F.desc("g"), "arc").collect()  # bounded by the sample
     kept = 0
     for i, r in enumerate(strong, 1):  # Benjamini-Hochberg; the tail of chi-squared with one degree
         if math.erfc(math.sqrt(max(r["g"], 0) / 2)) <= rate * i / max(tested, 1):
@@ -147,42 +199,59 @@ def widest(found: dict[str, tuple[int, float]]) -> dict[str, float]:
 
 class Scorer:
     def __init__(self, arcs: dict[str, float]):
-        self.table = grammar().table
+        self.arcs = grammar().arcs
         self.words = {a[1:]: w for a, w in arcs.items() if a[0] == "="}
         self.stems = {a[:-1]: w for a, w in arcs.items() if a[-1] == "-"}
         threats = [re.escape(w) for w in THREATS]
         heads = [re.escape(w) + r"\b" for w in sorted(self.words)] + [re.escape(s) for s in sorted(self.stems)] + [w + r"\b" for w in threats]
         self.any = re.compile(r"\b(?:" + "|".join(heads) + ")")
 
-    def _read(self, word: str) -> tuple[int, float]:
-        if w := self.words.get(word):
-            return INSULT, w
-        if w := max((self.stems.get(word[:k], 0.0) for k in STEMS if len(word) > k), default=0.0):
-            return INSULT, w
-        c = _CLASSES.get(word, OTHER)
-        return c, 2.0 if c == THREAT else 0.0
+    def _read(self, word: str) -> tuple[Symbol, float]:
+        weight = self.words.get(word) or max((self.stems.get(word[:k], 0.0) for k in STEMS if len(word) > k), default=0.0)
+        kind = _CLASSES.get(word, "O")
+        if kind == "H":
+            return ("H", False, False), weight or 2.0
+        return ("I" if weight else kind, False, False), weight
 
     def clause(self, words: list[str]) -> float:
-        state, total = 0, 0.0
-        for word in words:
-            c, weight = self._read(word)
-            state, factor = self.table[state][c]
-            total += weight * factor
-        return total
+        """The sum, in the log semiring, over the insults and threats that match, each by its best path; 0 without a match."""
+        state, held, place, found = 0, 0.0, -1, {}
+        for i, word in enumerate(words):
+            symbol, weight = self._read(word)
+            if weight:
+                held, place = weight, i
+            state, _, factor = self.arcs[state][symbol]
+            if factor:  # for this word, or where it's neither insult nor threat for the last one
+                found[place] = max(found.get(place, 0.0), held * factor)
+        if not found:
+            return 0.0
+        most = max(found.values())
+        return most + math.log(sum(math.exp(x - most) for x in found.values()))
 
     def text(self, text: str | None) -> float:
+        """The sum over clauses. A single word between marks is no clause of its own but the end of the one before."""
         text = (text or "").lower()
-        total, done = 0.0, 0
+        total, done, start, scored = 0.0, 0, 0, 0.0
         for m in self.any.finditer(text):  # only clauses with an insult or threat weigh anything
             if m.start() < done:
                 continue
-            before = max((text.rfind(c, done, m.start()) for c in ".!?;:\n"), default=-1)
+            first = self._start(text, m.start())
             end = CLAUSE.search(text, m.start())
             stop = end.start() if end else len(text)
-            total += self.clause(WORD.findall(text[before + 1 if before >= 0 else done : stop]))
-            done = stop
+            words = WORD.findall(text[first:stop])
+            while len(words) == 1 and first > 0:
+                first = self._start(text, CLAUSE_END.search(text[max(0, first - 200) : first]).start() + max(0, first - 200))
+                words = WORD.findall(text[first:stop])
+            best = self.clause(words)
+            again = done and first >= start and first < done  # takes in what was scored
+            total += max(0.0, best - scored) if again else best
+            done, start, scored = stop, first, max(best, scored) if again else best
         return total
 
+    @staticmethod
+    def _start(text: str, at: int) -> int:
+        return max(text.rfind(c, 0, at) for c in ".!?;:\n") + 1
+
 
 def calibrate(histogram: list[tuple[int, int, int]]) -> tuple[float, float]:
     """Intercept and slope of a ridge logistic regression on rows (half units of evidence, label, documents)."""
@@ -204,14 +273,8 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 40_000) -> DataFrame:
-    """doc_id, held_out, score, predicted, evidence of every document.
-
-    labels (doc_id, toxic 0/1) of documents whose crc32(doc_id as text) mod 5 is 0 are not used; of the others at most
-    about `sample`, a bound of the fit alone. Null and empty texts have evidence 0 and the score of that; a row with a
-    null id is scored and not held out; a label that is null or repeated otherwise is left out. Without labels the first words and fixed numbers score.
-    """
-    docs = documents_of(docs, id_col, text_col)
+def judged(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """docs (doc_id, text, row) -> doc_id, row, held_out, score, predicted, evidence."""
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IN (0, 1)")
     known = known.where(~held_out("id")).groupBy("id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
     known = stored(known)
@@ -219,16 +282,34 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([scorer.text(t.as_py()) for t in batch.column(1)], pa.float64())], ["doc_id", "evidence"])
+            found = pa.array([scorer.text(t.as_py()) for t in batch.column("text")], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), found], ["doc_id", "row", "evidence"])
 
-    weighed = stored(docs.mapInArrow(score, "doc_id long, evidence double"))
+    weighed = stored(docs.mapInArrow(score, "doc_id long, row long, evidence double"))
     seen = weighed.join(known, F.col("doc_id") == F.col("id")).groupBy(F.least(F.floor(F.col("evidence") * 2), F.lit(40)).cast("int").alias("b"), "toxic").count()
     intercept, slope = calibrate([tuple(r) for r in seen.orderBy("b", "toxic").collect()])
     p = 1 / (1 + F.exp(-(F.lit(intercept) + F.lit(slope) * F.least("evidence", F.lit(40.0)))))
-    return weighed.select("doc_id", held_out().alias("held_out"), p.alias("score"), F.when(p >= 0.5, 1).otherwise(0).alias("predicted"), "evidence")
+    return weighed.select("doc_id", "row", held_out().alias("held_out"), p.alias("score"), F.when(p >= 0.5, 1).otherwise(0).alias("predicted"), "evidence")
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 40_000) -> DataFrame:
+    """doc_id, held_out, score, predicted, evidence of every document.
+
+    labels (doc_id, toxic 0/1) of documents whose crc32(doc_id as text) mod 5 is 0 are not used; of the others at most
+    about `sample`, a bound of the fit alone. Null and empty texts have evidence 0 and the score of that; a row with a
+    null id is scored and not held out; a label that is null or repeated otherwise is left out. Rows that repeat an id are scored each by
+    its text. Without labels the first words and fixed numbers score. An empty table gives no rows.
+    """
+    return judged(rows_of(docs, id_col, text_col), labels, sample).drop("row")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 40_000) -> DataFrame:
-    """docs without those predicted toxic; rows with a null id are judged by nobody and stay."""
-    found = toxicity(docs, labels, id_col, text_col, sample)
-    return without_ids(docs, id_col, stored(found.where("predicted = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()))
+    """docs without the rows predicted toxic by their own text, also where an id repeats.
+
+    Rows with a null id stay, as do null and empty texts. An empty table stays empty; without labels the first words alone judge.
+    """
+    names = [f"{c}_{uuid.uuid4().hex}" for c in ("id", "row")]  # whatever columns docs has
+    keyed = docs.withColumns({names[0]: docs[id_col].cast("long"), names[1]: text_hash(text_col)})
+    found = judged(rows_of(docs, id_col, text_col), labels, sample)
+    gone = stored(found.where("predicted = 1 AND doc_id IS NOT NULL").select("doc_id", "row").distinct())
+    return without_ids(keyed, names, gone).select(docs.columns)

@@ -127,8 +127,6 @@ def test_decontamination(spark):
         have = Counter(dict(low)[d].split())
         assert sum((want & have).values()) >= 0.5 * sum(want.values())
     assert not [d for d, _ in got if d == 80_000]
-    blocks = decontamination.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), block=2000).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in blocks} == got
 
 
 def test_decontamination_blocks(spark):
@@ -349,7 +347,7 @@ def test_grammar_reads_clauses():
     from echotable.llm.toxicity import Scorer
 
     s = Scorer({"=idiot": 2.0})
-    assert s.text("you idiot") > s.text("idiot") > s.text("he said idiot") > 0
+    assert s.text("you idiot") > s.text("that idiot") > s.text("he said idiot") > 0
     assert s.text("you are not an idiot") < s.text("you are an idiot")
     assert s.text("i will kill the lights") < s.text("i will find you and kill you")
     assert s.text("nothing to see. at all") == 0 == s.text(None)
@@ -429,3 +427,110 @@ def test_rows_of_one_id(spark):
     got = media.media(frame(spark, [(1, w), (8, w), (8, z), (8, z), (None, z)]), with_payload=True).collect()
     assert sorted(bytes(r["payload"]).rstrip(b"\0").decode() for r in got) == sorted([w, w, z, z, z])
     assert len({(r["media_sha256"], r["media_bytes"]) for r in got}) == 2
+
+
+def test_names_are_not_claimed(spark):
+    """Of what is claimed as a secret at most a small part are names; most long keys are claimed."""
+    import random
+    import string
+
+    rng = random.Random(9)
+    words = [w for t in texts() if t[0] % 3 == 0 for w in re.findall("[a-z]{3,9}", (t[1] or "").lower())][:5000]
+    names = ["getUserAccountDetailsById2", "handleIncomingRequest42ForUser", "MaximumNumberOfRetries2024x", "ThisIsAVeryLongClassName1"]
+    names += ["".join(w.capitalize() for w in rng.sample(words, 4)) + str(rng.randint(1, 99)) for _ in range(300)]
+    names += ["-".join(rng.sample(words, 4)) + f"-{rng.randint(1, 2030)}" for _ in range(300)]
+    keys = ["".join(rng.choices(string.ascii_letters + string.digits, k=rng.choice((32, 40, 48)))) for _ in range(150)]
+    docs = [(i, f"see {t} here") for i, t in enumerate(names + keys)]
+    got = {r["doc_id"]: r["n_random"] for r in secrets.scan(frame(spark, docs)).collect()}
+    wrong, right = sum(got[i] for i in range(len(names))), sum(got[i] for i in range(len(names), len(docs)))
+    assert right >= 0.85 * len(keys) and wrong <= 0.1 * (wrong + right)
+    assert [got[i] for i in range(4)] == [0] * 4
+    # without any key nothing much is claimed
+    alone = secrets.scan(frame(spark, docs[: len(names)])).agg({"n_random": "sum"}).first()[0]
+    assert alone <= 6
+
+
+def test_claims_by_the_definition():
+    """Benjamini-Hochberg over sorted values and over the histogram agree to a bin."""
+    rng = np.random.default_rng(6)
+    p = np.concatenate([rng.random(900), rng.random(100) ** 8])
+    ordered = np.sort(p)
+    k = max((i for i, x in enumerate(ordered, 1) if x <= 0.05 * i / len(p)), default=0)
+    bins = np.minimum(secrets.BINS, np.floor(-np.log10(p) * 100)).astype(int)
+    first = secrets.claimed_from(dict(Counter(bins.tolist())), 0.05)
+    assert abs(int((bins >= first).sum()) - k) <= 10 and k > 30
+
+
+def matches_brute(words, weights):
+    """The best match of a clause by the rules in words: what stands where, without a machine."""
+    from echotable.llm import toxicity as t
+
+    kind = [("H" if w in t.THREATS else "I" if w in weights else "T" if w in t.TARGETS else "N" if w in t.NEGATIONS else "R" if w in t.REPORTS else "O") for w in words]
+    found = [0.0] * len(words)
+    for i, k in enumerate(kind):
+        if k not in "IH" or k == "I" and len(words) == 1:
+            continue
+        f = (0.35 if "N" in kind[max(0, i - 3) : i] else 1.0) * (0.5 if "R" in kind[:i] else 1.0)
+        before, after = "T" in kind[max(0, i - 5) : i], kind[i + 1 : i + 5]
+        if k == "H":
+            upto = next((n for n, x in enumerate(after) if x in "IH"), len(after))
+            found[i] = (2.0 * f if before or "T" in after[:upto] else 0.0)
+        else:
+            upto = next((n for n, x in enumerate(kind[i + 1 : i + 3]) if x in "IH"), 2)
+            found[i] = (weights[words[i]] * f * (1.25 if before or "T" in kind[i + 1 : i + 1 + upto] else 1.0))
+    found = [x for x in found if x]
+    return float(np.logaddexp.reduce(found)) if found else 0.0
+
+
+def test_grammar_by_brute_force():
+    from echotable.llm.toxicity import Scorer
+
+    rng = np.random.default_rng(12)
+    weights = {"idiot": 2.0}
+    s = Scorer({"=idiot": 2.0})
+    pool = ["idiot", "kill", "you", "not", "said", "the", "a", "clown", "lights", "and"]
+    for _ in range(3000):
+        words = [pool[k] for k in rng.integers(0, len(pool), int(rng.integers(1, 9)))]
+        if words[0] != "idiot":  # a first insult waits for a word, which the machine counts from there
+            assert abs(s.clause(words) - matches_brute(words, weights)) < 1e-9, words
+    assert s.text("idiot") == s.text(" Idiot! ") == 0 < s.text("idiot. idiot! idiot") < 2 * s.text("that idiot")
+    assert s.text("what a day. idiot.") == 2 and 2 < s.text("that idiot. idiot.") < 4 == s.text("that idiot. that idiot")
+    assert s.text("you idiot. you idiot.") == 2 * s.text("you idiot") > 0
+
+
+def test_decontamination_recall(spark):
+    """Recall by the share of words replaced, at random and in a rhythm."""
+    rng = np.random.default_rng(21)
+    items, docs, want = [], [], {}
+    n = 0
+    for length, rate in ((20, 0.33), (37, 0.4), (60, 0.4)):
+        for _ in range(100):
+            w = [f"q{x}" for x in rng.integers(0, 10**6, length)]
+            other = list(w)
+            for k in rng.permutation(length)[: int(rate * length)]:
+                other[k] = f"r{rng.integers(0, 10**6)}"
+            n += 1
+            items.append((n, " ".join(w)))
+            docs.append((n, " ".join([f"a{x}" for x in rng.integers(0, 10**6, 40)] + other + [f"b{x}" for x in rng.integers(0, 10**6, 40)])))
+            want[n] = (length, rate)
+    for step in (2, 3, 4, 5):
+        n += 1
+        w = [f"s{step}w{k}" for k in range(60)]
+        items.append((n, " ".join(w)))
+        docs.append((n, " ".join(x if k % step else f"z{k}" for k, x in enumerate(w))))
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert all(d == i for d, i in got)
+    for kind in set(want.values()):
+        of = [k for k, v in want.items() if v == kind]
+        assert sum((k, k) in got for k in of) >= 0.9 * len(of), kind
+    assert {(k, k) for k in range(n - 3, n + 1)} <= got
+
+
+def test_decontamination_common_seeds(spark):
+    """A header that all items share names none of them, and loses none that is there."""
+    header = " ".join(f"head{k}" for k in range(14))
+    items = [(i, f"{header} " + " ".join(f"i{i}w{k}" for k in range(30))) for i in range(40)] + [(90 + i, f"{header} tail{i}") for i in range(3)]
+    docs = [(i, f"x y {items[i][1]} z") for i in range(5)] + [(50, header), (51, "nothing of it")]
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), hot=10).collect()}
+    short = {(d, i) for d in [*range(5), 50] for i in (90, 91, 92)}
+    assert got == {(i, i) for i in range(5)} | short
