@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .catalog import numbered
 
 
 def errors(df: DataFrame, reference: str, hypothesis: str) -> DataFrame:
@@ -28,13 +31,12 @@ def summary(scored: DataFrame, keys: list[str]) -> DataFrame:
 
 def split_dev(recordings: DataFrame, key: str, part: float, seed: int) -> DataFrame:
     """(key, split): ceil(part n) recordings, at least one and not all, go to dev; which ones a seeded hash of the key decides."""
-    import math
-
     r = recordings.select(key).distinct()
     n = r.count()
     take = min(max(1, math.ceil(round(part * n, 9))), max(n - 1, 0))
-    dev = r.orderBy(F.xxhash64(F.lit(seed), key), key).limit(take).withColumn("__dev", F.lit(True))
-    return r.join(dev, key, "left").select(key, F.when(F.col("__dev"), "dev").otherwise("train").alias("split"))
+    # places in the order of the hash, numbered range by range, so that no task sorts them all
+    placed = numbered(r, [F.xxhash64(F.lit(seed), key), F.col(key)])
+    return placed.select(key, F.when(F.col("nth") < take, "dev").otherwise("train").alias("split"))
 
 
 def worst(scored: DataFrame, key: str) -> DataFrame:

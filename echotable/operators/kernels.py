@@ -2,41 +2,55 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-
-
-def repeats(items: list, size: int) -> list[tuple[int, int]]:
-    """(start, times) of blocks of `size` items that follow themselves; the search goes on behind a find."""
-    out, i, n = [], 0, len(items)
-    while i + 2 * size <= n:
-        times = 1
-        while items[i : i + size] == items[i + times * size : i + (times + 1) * size]:
-            times += 1
-        if times > 1:
-            out.append((i, times))
-            i += times * size
-        else:
-            i += 1
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def repeats(items: list | np.ndarray, size: int) -> list[tuple[int, int]]:
+    """(start, times) of blocks of `size` items that follow themselves; the search goes on behind a find. Long lists are best given as numbers.
+
+    A block that repeats is a run of places at which the items equal those `size` further on; a run of r places holds
+    r // size repetitions after the first block.
+    """
+    if len(items) < 2 * size:
+        return []
+    items = items if isinstance(items, np.ndarray) else pd.factorize(np.array(items, object))[0]
+    edge = np.flatnonzero(np.diff(np.r_[False, items[:-size] == items[size:], False]))
+    out, at = [], 0
+    for start, end in edge.reshape(-1, 2).tolist():
+        start = max(start, at)
+        if end - start >= size:
+            times = (end - start) // size + 1
+            out.append((start, times))
+            at = start + times * size
     return out
 
 
+CELL = 64
+
+
 def distinct_findings(found: list[tuple[int, int, int]], share: float = 0.8) -> list[tuple[int, int, int]]:
     """Of findings (start, size, times) the weightier ones; one that shares so much of the shorter span with a kept one is left out."""
     kept: list[tuple[int, int, int]] = []
+    near: dict[int, list[tuple[int, int]]] = {}  # spans kept, by the cells that they touch
     for start, size, times in sorted(found, key=lambda f: (-f[1] * f[2], -f[2], -f[1], f[0])):
         end = start + size * times
-        if all(min(end, s + z * t) - max(start, s) < share * min(end - start, z * t) for s, z, t in kept):
+        cells = range(start // CELL, (end - 1) // CELL + 1)
+        if all(min(end, e) - max(start, s) < share * min(end - start, e - s) for c in cells for s, e in near.get(c, ())):
             kept.append((start, size, times))
+            for c in cells:
+                near.setdefault(c, []).append((start, end))
     return kept
 
 
-FOUND = "doc_id long, unit string, start long, size long, times long, impact long"
+FOUND = "doc_id long, unit string, start long, size long, times long, impact long, chars long"
 
 
 def repetitions(texts: DataFrame, units: dict[str, tuple[int, int]] | None = None) -> DataFrame:
-    """Repeated blocks of characters, words and lines of each (doc_id, text), after suppression; impact is times * size, weighted 1, 2, 3."""
-    units = units or {"word": (1, 8), "line": (1, 16)}
+    """Repeated blocks of characters, words and lines of each (doc_id, text), after suppression; impact is times * characters, weighted 1, 2, 3."""
+    units = units or {"char": (2, 32), "word": (1, 8), "line": (1, 16)}
     weight = {"char": 1, "word": 2, "line": 3}
 
     def kernel(parts):
@@ -45,14 +59,32 @@ def repetitions(texts: DataFrame, units: dict[str, tuple[int, int]] | None = Non
             for doc_id, text in zip(p["doc_id"], p["text"], strict=True):
                 text = text or ""
                 for unit, (lo, hi) in units.items():
-                    items = {"char": lambda t: list(t), "word": lambda t: t.lower().split(), "line": lambda t: [x.strip().lower() for x in t.split("\n") if x.strip()]}[unit](text)
+                    said = {"char": lambda t: list(t), "word": lambda t: t.lower().split(), "line": lambda t: [x.strip().lower() for x in t.split("\n") if x.strip()]}[unit](text)
+                    items = pd.factorize(np.array(said, object))[0] if said else np.zeros(0, int)
                     found = [(s, size, times) for size in range(lo, hi + 1) for s, times in repeats(items, size)]
-                    rows += [(doc_id, unit, s, z, t, weight[unit] * z * t) for s, z, t in distinct_findings(found)]
-            yield pd.DataFrame(rows, columns=["doc_id", "unit", "start", "size", "times", "impact"])
+                    ends = np.cumsum([0, *(len(x) for x in said)])
+                    for s, z, t in distinct_findings(found):
+                        chars = int(ends[s + z] - ends[s])
+                        rows.append((doc_id, unit, s, z, t, weight[unit] * t * max(1, chars), t * chars))
+            yield pd.DataFrame(rows, columns=["doc_id", "unit", "start", "size", "times", "impact", "chars"])
 
     return texts.select("doc_id", "text").mapInPandas(kernel, FOUND)
 
 
+def scores(found: DataFrame) -> DataFrame:
+    """Findings -> doc_id, score (sum of impacts), findings, covered (characters in repeats)."""
+    return found.groupBy("doc_id").agg(F.sum("impact").alias("score"), F.count("*").alias("findings"), F.sum("chars").alias("covered"))
+
+
+def severity(score: Column, coverage: Column) -> Column:
+    """None, low, medium or high: by the share of the text in repeats first, then by score."""
+    # fixed values: shares, and the scores that part the level from the one above
+    out = F.when(score == 0, "none").when(coverage >= 0.08, "high")
+    for share, more, least, less in ((0.03, "high", 2000, "medium"), (0.015, "medium", 500, "low"), (0.005, "medium", 1500, "low")):
+        out = out.when(coverage >= share, F.when(score >= least, more).otherwise(less))
+    return out.otherwise(F.when(score >= 3500, "medium").otherwise("low"))
+
+
 def match_words(left: list[tuple[float, float, str]], right: list[tuple[float, float, str]], tolerance: float) -> list[tuple[int, int]]:
     """One-to-one pairs of equal words: a pointer walks along the right side, and each left word takes the nearest free of three around it."""
     used, out, j = set(), [], 0
@@ -85,11 +117,11 @@ def word_matches(words: DataFrame, a: str, b: str, tolerance: float = 0.3) -> Da
 
 
 def pack_regions(regions: list[tuple[float, float]], most: float = 30.0) -> list[list[tuple[float, float]]]:
-    """Consecutive regions in bins of at most so many seconds of speech."""
-    out: list[list[tuple[float, float]]] = []
+    """Consecutive regions in bins of at most so many seconds of speech. No regions make one empty bin, and a first region beyond the limit leaves one before it."""
+    out: list[list[tuple[float, float]]] = [[]]
     total = 0.0
     for s, e in regions:
-        if not out or total + e - s > most:
+        if total + e - s > most:
             out.append([])
             total = 0.0
         out[-1].append((s, e))
@@ -146,10 +178,58 @@ def spans_of_segments(segments: DataFrame) -> DataFrame:
 
 
 def packed_regions(segments: DataFrame, most: float = 30.0) -> DataFrame:
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
+    def kernel(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         p = p[p["end_sec"] > p["start_sec"]].sort_values(["start_sec", "end_sec"])
         bins = pack_regions(list(zip(p["start_sec"], p["end_sec"], strict=True)), most)
-        rows = [(p["audio_hash"].iloc[0], k, b[0][0], max(e for _, e in b), len(b), sum(e - s for s, e in b)) for k, b in enumerate(bins)]
+        rows = [(key[0], k, b[0][0] if b else None, max((e for _, e in b), default=None), len(b), sum((e - s for s, e in b), 0.0)) for k, b in enumerate(bins)]
         return pd.DataFrame(rows, columns=["audio_hash", "bin", "start_sec", "end_sec", "regions", "speech_sec"])
 
     return segments.groupBy("audio_hash").applyInPandas(kernel, "audio_hash string, bin long, start_sec double, end_sec double, regions long, speech_sec double")
+
+
+def segments_of_words(words: DataFrame, gap: float, most: float) -> DataFrame:
+    """Words of each (audio_hash, model_key) -> segments: cut where the gap is longer or the segment would last longer.
+
+    Where a segment ends depends on where it began, so a recording is one group.
+    """
+    least = max(1.0, most)
+
+    def kernel(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["word_start", "word_end", "seg_idx", "i"])
+        rows, first, last = [], None, None
+        for s, e, w in zip(p["word_start"], p["word_end"], p["word"], strict=True):
+            if first is None or max(0.0, s - last) > max(0.0, gap) or max(0.0, e - first) > least:
+                rows.append([*key, len(rows), s, e, []])
+                first = s
+            rows[-1][4], last = e, e
+            rows[-1][5].append(w)
+        return pd.DataFrame([(*r[:3], round(r[3], 6), round(r[4], 6), " ".join(r[5])) for r in rows], columns=["audio_hash", "model_key", "ordinal", "start_sec", "end_sec", "text"])
+
+    return words.groupBy("audio_hash", "model_key").applyInPandas(kernel, "audio_hash string, model_key string, ordinal long, start_sec double, end_sec double, text string")
+
+
+def overlap_sweep(a: list[tuple[float, float]], b: list[tuple[float, float]]) -> tuple[float, list[int], list[int]]:
+    """Shared seconds of two lists of spans and how many of the other list each one meets; the span that ends first makes way."""
+    i = j = 0
+    shared, met_a, met_b = 0.0, [0] * len(a), [0] * len(b)
+    while i < len(a) and j < len(b):
+        together = min(a[i][1], b[j][1]) - max(a[i][0], b[j][0])
+        if together > 0:
+            shared, met_a[i], met_b[j] = shared + together, met_a[i] + 1, met_b[j] + 1
+        if a[i][1] <= b[j][1]:
+            i += 1
+        else:
+            j += 1
+    return shared, met_a, met_b
+
+
+def word_overlaps(words: DataFrame, a: str, b: str) -> DataFrame:
+    """Per recording: seconds that words of two models share, and how many words meet none or several of the other's."""
+    left, right = words.where(words.model_key == a), words.where(words.model_key == b)
+
+    def kernel(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        side = lambda p: list(p.sort_values(["word_start", "word_end"])[["word_start", "word_end"]].itertuples(index=False, name=None)) if len(p) else []
+        shared, met_a, met_b = overlap_sweep(side(x), side(y))
+        return pd.DataFrame([((x if len(x) else y)["audio_hash"].iloc[0], shared, sum(n == 0 for n in met_a), sum(n > 1 for n in met_a), sum(n == 0 for n in met_b), sum(n > 1 for n in met_b))], columns=["audio_hash", "shared_sec", "left_none", "left_several", "right_none", "right_several"])
+
+    return left.groupBy("audio_hash").cogroup(right.groupBy("audio_hash")).applyInPandas(kernel, "audio_hash string, shared_sec double, left_none long, left_several long, right_none long, right_several long")

@@ -83,14 +83,21 @@ def lookup(chunks: DataFrame, ids: list[str], key: str) -> DataFrame:
     return chunks.join(F.broadcast(wanted), key).orderBy("rank")
 
 
+#: Blocks of queries and of documents.
+Q_BLOCKS, D_BLOCKS = 4, 64
+
+
 def max_sim(queries: DataFrame, chunks: DataFrame, query: str, doc: str) -> DataFrame:
     """Late interaction: the sum over query vectors of the best dot product with a chunk's vectors.
 
-    The query side is broadcast: it is the few vectors of stated queries.
+    Both sides are dealt into blocks and pairs of blocks joined by equality, so that neither has to fit anywhere: each
+    task meets one block of each. Spark broadcasts the queries where it finds them small.
     """
-    q = queries.select(query, F.col("q_nth"), F.col("vector").alias("qv"))
+    ids = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(query, "q_nth", F.col("vector").alias("qv"), F.pmod(F.xxhash64("q_nth"), F.lit(Q_BLOCKS)).cast("int").alias("qb"), ids(D_BLOCKS).alias("db"))
+    chunks = chunks.select(doc, "vector", F.pmod(F.xxhash64(doc, "vector"), F.lit(D_BLOCKS)).cast("int").alias("db"), ids(Q_BLOCKS).alias("qb"))
     dot = F.aggregate(F.zip_with("qv", "vector", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    best = chunks.select(doc, "vector").crossJoin(F.broadcast(q)).groupBy(query, "q_nth", doc).agg(F.max(dot).alias("m"))
+    best = chunks.join(q, ["qb", "db"]).groupBy(query, "q_nth", doc).agg(F.max(dot).alias("m"))
     return best.groupBy(query, doc).agg(F.sum("m").alias("score"))
 
 

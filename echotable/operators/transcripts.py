@@ -110,7 +110,8 @@ def adjacent_repeats(df: DataFrame, keys: list[str], text: str, order: str) -> D
 def interpolated_words(df: DataFrame) -> DataFrame:
     """Evenly spaced times for the words of a segment; the last one ends with it."""
     words = F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != "")
-    rows = df.where("end_sec > start_sec").select("audio_hash", "model_key", "seg_idx", "start_sec", "end_sec", F.size(words).alias("n"), F.posexplode(words).alias("i", "word"))
+    cut = df.where("end_sec > start_sec").select("audio_hash", "model_key", "seg_idx", "start_sec", "end_sec", F.explode(F.array(words)).alias("words"))  # explode, so that the array is made once
+    rows = cut.select("audio_hash", "model_key", "seg_idx", "start_sec", "end_sec", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
     step = (F.col("end_sec") - F.col("start_sec")) / F.col("n")
     return rows.select("audio_hash", "model_key", "seg_idx", F.col("i").cast("long").alias("i"), "word", F.round(F.col("start_sec") + step * F.col("i"), 6).alias("word_start"), F.when(F.col("i") == F.col("n") - 1, F.col("end_sec")).otherwise(F.round(F.col("start_sec") + step * (F.col("i") + 1), 6)).alias("word_end"))
 

@@ -106,9 +106,9 @@ def catalog_filtered_display(spark, d):
 
 @query("SELECT c_custkey, c_name FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_orderpriority = '1-URGENT') OR NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
 def visible_or_unlinked(spark, d):
-    for t in ("customer", "orders"):
-        read(spark, d, t).createOrReplaceTempView(f"et_{t}")
-    return spark.sql("SELECT c_custkey, c_name FROM et_customer c WHERE EXISTS (SELECT 1 FROM et_orders o WHERE o.o_custkey = c.c_custkey AND o_orderpriority = '1-URGENT') OR NOT EXISTS (SELECT 1 FROM et_orders o WHERE o.o_custkey = c.c_custkey)")
+    c, o = read(spark, d, "customer").select("c_custkey", "c_name"), read(spark, d, "orders")
+    linked = o.groupBy(F.col("o_custkey").alias("k")).agg(F.max(F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
+    return c.join(linked, F.col("c_custkey") == F.col("k"), "left").where(F.coalesce("urgent", F.lit(True))).select("c_custkey", "c_name")
 
 
 @query("SELECT o_custkey, count(*) AS recordings, count(*) FILTER (o_orderstatus = 'F') AS verified FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey AND c.c_acctbal > 0 JOIN nation n ON n.n_nationkey = c.c_nationkey WHERE n.n_regionkey IN (1, 2) GROUP BY o_custkey")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -44,9 +42,9 @@ def asr_error_rates(spark, d):
 ASCII = "translate(text, 'éèêëàâçôûùîïöäüßñóíáúÉÈÊÀÇÔÖÄÜÑÓÍÁÚ', 'eeeeaacouuiioausnoiauEEEACOOAUNOIAU')"
 
 
-@query(f"WITH r AS (SELECT role, regexp_replace({ASCII}, '[^\\x20-\\x7E]', '', 'g') AS x FROM conversations), p AS (SELECT role, substr(x, 1, 300) AS x, replace(substr(x, 1, 300), 'th', 'z') AS y FROM r) SELECT role, count(*) AS n, sum(levenshtein(x, y))::BIGINT AS errors, sum(length(x))::BIGINT AS chars, round(sum(levenshtein(x, y)) / nullif(sum(length(x)), 0), 4) AS cer FROM p GROUP BY role")
+@query(f"WITH r AS (SELECT role, regexp_replace({ASCII}, '[^\\x20-\\x7E]', '', 'g') AS x FROM conversations), p AS (SELECT role, x, replace(x, 'th', 'z') AS y FROM r) SELECT role, count(*) AS n, sum(levenshtein(x, y))::BIGINT AS errors, sum(length(x))::BIGINT AS chars, round(sum(levenshtein(x, y)) / nullif(sum(length(x)), 0), 4) AS cer FROM p GROUP BY role")
 def asr_character_errors(spark, d):
-    x = F.substring(F.regexp_replace(F.translate("text", "éèêëàâçôûùîïöäüßñóíáúÉÈÊÀÇÔÖÄÜÑÓÍÁÚ", "eeeeaacouuiioausnoiauEEEACOOAUNOIAU"), r"[^\x20-\x7E]", ""), 1, 300)
+    x = F.regexp_replace(F.translate("text", "éèêëàâçôûùîïöäüßñóíáúÉÈÊÀÇÔÖÄÜÑÓÍÁÚ", "eeeeaacouuiioausnoiauEEEACOOAUNOIAU"), r"[^\x20-\x7E]", "")
     t = read(spark, d, "conversations").select("role", x.alias("x")).withColumn("y", F.replace("x", F.lit("th"), F.lit("z")))
     t = t.withColumns({"errors": F.levenshtein("x", "y"), "chars": F.length("x")})
     return t.groupBy("role").agg(F.count("*").alias("n"), F.sum("errors").alias("errors"), F.sum("chars").alias("chars"), asr.rate("errors", "chars").alias("cer"))
@@ -90,8 +88,9 @@ def repetition_findings(spark, d):
 
 @query()
 def repetition_scores(spark, d):
-    r = kernels.repetitions(read(spark, d, "documents"))
-    return r.groupBy("doc_id").agg(F.sum("impact").alias("score"), F.count("*").alias("findings")).withColumn("severity", F.when(F.col("score") >= 200, "high").when(F.col("score") >= 40, "medium").otherwise("low"))
+    t = read(spark, d, "documents")
+    n = t.select(F.col("doc_id").alias("id"), F.length("text").alias("chars")).groupBy("id").agg(F.max("chars").alias("chars"))
+    return kernels.scores(kernels.repetitions(t)).join(n, F.col("doc_id") == F.col("id")).withColumn("severity", kernels.severity(F.col("score"), F.col("covered") / F.col("chars"))).select("doc_id", "score", "findings", "severity")
 
 
 @query()
@@ -110,16 +109,16 @@ def packed_speech_regions(spark, d):
     return kernels.packed_regions(seg(spark, d))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 1000000)), '[.,;:!?%&#$|*\s]+', ' ', 'g')) AS plain, length(text) AS n FROM documents WHERE lang = 'en'")
+@query(r"SELECT doc_id, trim(regexp_replace(lower(text), '[.,;:!?%&#$|*\s]+', ' ', 'g')) AS plain, length(text) AS n FROM documents")
 def plain_text(spark, d):
-    t = read(spark, d, "documents").where("lang = 'en'")
+    t = read(spark, d, "documents")
     return t.select("doc_id", F.trim(F.regexp_replace(F.lower("text"), r"[.,;:!?%&#$|*\s]+", " ")).alias("plain"), F.length("text").cast("long").alias("n"))
 
 
 @query()
 def normalized_forms(spark, d):
     t = read(spark, d, "conversations")
-    return t.select("conv_id", "turn", tx.normal(F.col("text")).alias("normal"), tx.asr_normal(tx.composed("text")).alias("asr"), tx.folded("text").alias("folded"), F.array_join(tx.query_tokens(F.col("text")), " ").alias("tokens"), tx.snippet(F.col("text"), 80).alias("snippet"))
+    return t.select("conv_id", "turn", tx.normal(F.col("text")).alias("normal"), tx.asr_normal(tx.composed("text")).alias("asr"), tx.folded("text").alias("folded"), F.array_join(tx.query_tokens(tx.compatible("text")), " ").alias("tokens"), tx.snippet(F.col("text"), 80).alias("snippet"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN length(text) > 80 THEN rtrim(substr(text, 1, 80)) || '…' ELSE text END AS snippet, sha256(concat_ws('|', 'archive', role, conv_id::VARCHAR, (turn * 5000)::BIGINT::VARCHAR, 'v1')) AS chunk_id FROM conversations")
@@ -136,26 +135,25 @@ def text_similarity(spark, d):
     return j.select("audio_hash", "seg_idx", F.round(tx.similarity("user", "assistant"), 6).alias("similarity"))
 
 
-def _stream(spark, build, d, mode):
-    """Runs a stream over all there is into a table in memory, for tests."""
+def _stream(spark, build, d, mode, keys):
+    """Runs a stream over all there is into Parquet, and reads what it said last of each key."""
     events = spark.readStream.schema(read(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    name = "s" + uuid.uuid4().hex
-    q = build(events).writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    folder = st.shared_folder(spark)
+    st.to_parquet(build(events), f"{folder}/out", f"{folder}/state", mode).awaitTermination()
+    return st.latest(spark.read.parquet(f"{folder}/out"), keys)
 
 
 @query("SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def stream_hourly(spark, d):
-    return _stream(spark, st.tumbling, d, "complete").withColumn("total", F.round("total", 6))
+    return _stream(spark, st.tumbling, d, "complete", ["start", "event_type"]).withColumn("total", F.round("total", 6))
 
 
 @query("WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM e) SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", user_id, count(*) AS n FROM r GROUP BY user_id, run")
 def stream_sessions(spark, d):
-    return _stream(spark, st.sessions, d, "complete")
+    return _stream(spark, st.sessions, d, "complete", ["start", "user_id"])
 
 
 @query("WITH p AS (SELECT user_id, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) = event_type THEN 0 ELSE 1 END AS new FROM events) SELECT user_id, sum(new)::BIGINT AS plays FROM p GROUP BY user_id")
 def stream_plays(spark, d):
-    return _stream(spark, st.plays, d, "update")
+    return _stream(spark, st.plays, d, "update", ["user_id"])

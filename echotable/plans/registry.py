@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, language, retrieval, transcripts
+from . import archive, language, records, retrieval, transcripts
 
-MODULES = [transcripts, archive, retrieval, language]
+MODULES = [transcripts, archive, retrieval, language, records]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

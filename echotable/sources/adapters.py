@@ -19,14 +19,14 @@ def seg(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("role").alias("model_key"),
         F.col("turn").cast("long").alias("seg_idx"),
         start.alias("start_sec"),
-        (start + F.least(F.length("text"), F.lit(400)) / F.lit(20.0)).alias("end_sec"),
-        F.lower(F.substring(F.trim("text"), 1, 1)).alias("text"),
+        (start + F.length("text") / F.lit(20.0)).alias("end_sec"),
+        F.col("text"),
         F.col("text").alias("full_text"),
     )
 
 
 SEG = """seg AS (SELECT sha256('conv-' || conv_id::VARCHAR) AS audio_hash, role AS model_key, turn::BIGINT AS seg_idx, turn * 5.0::DOUBLE AS start_sec,
- turn * 5.0::DOUBLE + least(length(text), 400) / 20.0::DOUBLE AS end_sec, lower(substr(trim(text), 1, 1)) AS text, text AS full_text FROM conversations)"""
+ turn * 5.0::DOUBLE + length(text) / 20.0::DOUBLE AS end_sec, text, text AS full_text FROM conversations)"""
 
 
 def docseg(spark: SparkSession, sf_dir: str) -> DataFrame:

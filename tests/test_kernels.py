@@ -38,7 +38,7 @@ def test_repeats_and_suppression():
 def test_pack_regions():
     bins = kernels.pack_regions([(0, 10), (11, 21), (22, 32), (40, 80)], 20)
     assert bins == [[(0, 10), (11, 21)], [(22, 32)], [(40, 80)]]
-    assert kernels.pack_regions([]) == []
+    assert kernels.pack_regions([]) == [[]] and kernels.pack_regions([(0, 50)]) == [[], [(0, 50)]]
 
 
 def test_split_at_gaps_covers_all_in_order():
@@ -110,8 +110,8 @@ def test_subtitles_skip_and_renumber(spark):
 
 
 def test_text_functions(spark):
-    df = spark.createDataFrame([("  Um, well,  so<|x|> it IS . ", "ﬁ Ｓtraße,")], "a string, b string")
-    r = df.select(tx.without_fillers(tx.without_control(F.col("a"))).alias("a"), tx.folded("b").alias("b"), tx.word(F.lit("«Hey!»")).alias("c")).first()
+    df = spark.createDataFrame([("  Ehm, well,  so<|x|>it IS . ", "ﬁ Ｓtraße,")], "a string, b string")
+    r = df.select(tx.without_fillers(tx.without_control(F.col("a"))).alias("a"), tx.folded("b").alias("b"), tx.word(F.lit("„Hey!>")).alias("c")).first()
     assert (r.a, r.b, r.c) == ("well, so it IS.", "fi strasse", "hey")
 
 
@@ -191,3 +191,70 @@ def test_incremental_rollup(spark, tmp_path):
     st.incremental(st.source(spark, str(src), 1), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     last = sorted((tmp_path / "out").glob("v*"))[-1]
     assert spark.read.parquet(str(last)).agg(F.sum("n")).first()[0] == batch.count()
+
+
+def distance_plain(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_distance_by_the_table():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(400):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 40))] for _ in range(2))
+        assert tx.distance(a, b) == distance_plain(a, b)
+    long = [str(rng.random()) for _ in range(300)]
+    assert tx.distance(long, long[:100] + long[150:]) == 50 and tx.distance([], long) == tx.distance(long, []) == 300
+
+
+def repeats_plain(items, size):
+    out, i = [], 0
+    while i < len(items):
+        n = 1
+        while n * size + size <= len(items) - i and items[i : i + size] == items[i + n * size : i + n * size + size]:
+            n += 1
+        if n > 1:
+            out.append((i, n))
+        i += n * size if n > 1 else 1
+    return out
+
+
+def test_repeats_by_comparing_blocks():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(500):
+        items = [rng.choice("ab") for _ in range(rng.randint(0, 30))]
+        for size in (1, 2, 3, 4):
+            assert kernels.repeats(items, size) == repeats_plain(items, size)
+
+
+def test_severity_ladder(spark):
+    df = spark.createDataFrame([(0, 0.5), (10, 0.09), (2500, 0.04), (10, 0.04), (600, 0.02), (10, 0.02), (1600, 0.006), (10, 0.006), (4000, 0.0), (10, 0.0)], "s long, c double")
+    got = [r[0] for r in df.select(kernels.severity(F.col("s"), F.col("c"))).collect()]
+    assert got == ["none", "high", "high", "medium", "medium", "low", "medium", "low", "medium", "low"]
+
+
+def test_overlap_sweep_and_word_segments(spark):
+    assert kernels.overlap_sweep([(0, 2), (3, 4)], [(1, 3.5), (5, 6)]) == (1.5, [1, 1], [2, 0])
+    assert kernels.overlap_sweep([], [(0, 1)]) == (0.0, [], [0])
+    words = [("a", "m", 0, i, w, s, s + 0.4) for i, (w, s) in enumerate([("one", 0.0), ("two", 0.5), ("far", 3.0), ("last", 3.5)])]
+    df = spark.createDataFrame(words, "audio_hash string, model_key string, seg_idx long, i long, word string, word_start double, word_end double")
+    got = [(r["start_sec"], r["end_sec"], r["text"]) for r in kernels.segments_of_words(df, 1.0, 30.0).orderBy("ordinal").collect()]
+    assert got == [(0.0, 0.9, "one two"), (3.0, 3.9, "far last")]
+
+
+def test_dev_split_counts(spark):
+    from echotable.operators import asr
+
+    df = spark.createDataFrame([(i,) for i in range(101)] * 2, "k long")
+    rows = asr.split_dev(df, "k", 0.1, 7).collect()
+    assert len(rows) == 101 and sum(r["split"] == "dev" for r in rows) == 11
+    assert {r["split"] for r in asr.split_dev(df.where("k < 1"), "k", 0.1, 7).collect()} == {"train"}
