@@ -225,11 +225,11 @@ def overlap_sweep(a: list[tuple[float, float]], b: list[tuple[float, float]]) ->
 
 def word_overlaps(words: DataFrame, a: str, b: str) -> DataFrame:
     """Per recording: seconds that words of two models share, and how many words meet none or several of the other's."""
-    left, right = words.where(words.model_key == a), words.where(words.model_key == b)
 
-    def kernel(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        side = lambda p: list(p.sort_values(["word_start", "word_end"])[["word_start", "word_end"]].itertuples(index=False, name=None)) if len(p) else []
-        shared, met_a, met_b = overlap_sweep(side(x), side(y))
-        return pd.DataFrame([((x if len(x) else y)["audio_hash"].iloc[0], shared, sum(n == 0 for n in met_a), sum(n > 1 for n in met_a), sum(n == 0 for n in met_b), sum(n > 1 for n in met_b))], columns=["audio_hash", "shared_sec", "left_none", "left_several", "right_none", "right_several"])
+    def kernel(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["word_start", "word_end"])
+        side = lambda m: list(p.loc[p["model_key"] == m, ["word_start", "word_end"]].itertuples(index=False, name=None))
+        shared, met_a, met_b = overlap_sweep(side(a), side(b))
+        return pd.DataFrame([(key[0], shared, sum(n == 0 for n in met_a), sum(n > 1 for n in met_a), sum(n == 0 for n in met_b), sum(n > 1 for n in met_b))], columns=["audio_hash", "shared_sec", "left_none", "left_several", "right_none", "right_several"])
 
-    return left.groupBy("audio_hash").cogroup(right.groupBy("audio_hash")).applyInPandas(kernel, "audio_hash string, shared_sec double, left_none long, left_several long, right_none long, right_several long")
+    return words.where(F.col("model_key").isin(a, b)).groupBy("audio_hash").applyInPandas(kernel, "audio_hash string, shared_sec double, left_none long, left_several long, right_none long, right_several long")
