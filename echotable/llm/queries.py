@@ -24,7 +24,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,4 +56,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The rows by their definitions, without the operators' filters: every window, every pair of lines, every shared shingle."""
+    return {"op4_substring_dedup": _OP4, "op7_line_dedup": _OP7, "op10_minhash_near_dedup": _OP10}
+
+
+_OP4 = r"""WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+win AS (SELECT doc_id, i, sha256(array_to_string(ws[i:i+49], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d)),
+first AS (SELECT k, min(doc_id) AS f FROM win GROUP BY k HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT doc_id, i FROM win JOIN first USING (k) WHERE doc_id > f),
+isl AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 OR lag(i) OVER (PARTITION BY doc_id ORDER BY i) IS NULL THEN 1 ELSE 0 END AS new FROM hit)),
+span AS (SELECT doc_id, min(i) - 1 AS a, max(i) + 49 AS b FROM isl GROUP BY doc_id, g),
+cut AS (SELECT doc_id, list([a, b] ORDER BY a) AS spans, sum(b - a) AS n FROM span GROUP BY doc_id),
+word AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS p FROM d WHERE doc_id IN (SELECT doc_id FROM cut)),
+left_over AS (SELECT w.doc_id, coalesce(string_agg(w, ' ' ORDER BY p), '') AS t FROM word w WHERE NOT EXISTS (SELECT 1 FROM span s WHERE s.doc_id = w.doc_id AND p >= a AND p < b) GROUP BY w.doc_id)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(CASE WHEN n IS NULL THEN array_to_string(ws, ' ') ELSE coalesce(t, '') END) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN left_over USING (doc_id)"""
+
+_OP7 = r"""WITH l AS (SELECT doc_id, i - 1 AS nth, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+u AS (SELECT t, min({'d': doc_id, 'n': nth}) AS first, length(t) AS m FROM l WHERE t <> '' GROUP BY t),
+h AS (SELECT t, first, m, unnest([substr(t, 1, m // 2) || chr(1), chr(1) || substr(t, m // 2 + 1), substr(t, 1, (m + 1) // 2) || chr(2), chr(2) || substr(t, m - (m + 1 - (m + 1) // 2) + 1)]) AS k, unnest([m, m, m + 1, m + 1]) AS longer, unnest([1, 2, 1, 2]) AS side FROM u WHERE m >= 20),
+kk AS (SELECT t, first, m, longer, side, replace(replace(k, chr(1), ''), chr(2), '') AS k FROM h),
+near AS (SELECT DISTINCT b.t, b.first FROM kk a JOIN kk b ON a.longer = b.longer AND a.side = b.side AND a.k = b.k AND a.first < b.first AND abs(a.m - b.m) <= 1 AND len(list_filter(range(1, least(a.m, b.m) + 1), lambda i: substr(a.t, 1, i) = substr(b.t, 1, i))) + len(list_filter(range(1, least(a.m, b.m) + 1), lambda i: right(a.t, i) = right(b.t, i))) >= greatest(a.m, b.m) - 1),
+gone AS (SELECT l.doc_id, l.nth FROM l JOIN u ON u.t = l.t WHERE {'d': l.doc_id, 'n': l.nth} > u.first UNION SELECT first.d, first.n FROM near),
+per AS (SELECT doc_id, list(nth::INT ORDER BY nth) AS removed FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS n_lines, coalesce(len(removed), 0) AS n_removed, coalesce(removed, []::INT[]) AS removed FROM documents d LEFT JOIN per USING (doc_id)"""
+
+_OP10 = r"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i+least(3, len(ws) - 1)], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 2))) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+hs AS (SELECT sh.doc_id, hash(s) AS s, n FROM sh JOIN n USING (doc_id)),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y FROM hs a JOIN hs b ON a.s = b.s AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, e.y FROM reach JOIN e ON e.x = reach.b),
+c AS (SELECT a, min(b) AS component FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id"""
