@@ -114,19 +114,19 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
 
     read = [*KEY, "text", "missing"]
     whole = without_ids(docs, KEY, missing, n=lacking["n"]).withColumn("missing", F.lit(None).cast("array<int>"))
-    partly = only_ids(docs, KEY, missing, n=lacking["n"]).join(missing, _same("id", "id_row"))
+    partly = only_ids(docs, KEY, missing, n=lacking["n"]).join(missing.hint("merge"), _same("id", "id_row"))
     return stored(whole.select(read).unionByName(partly.select(read)).mapInArrow(write, STORE)), others, lent, lending["n"]
 
 
 def restore(rows: DataFrame, others: DataFrame, lent: DataFrame, n_lent: int) -> DataFrame:
     """The store's rows with column `found`: (seq, body) of the chunks that they lack. Only documents that lend chunks move."""
     own = F.size("missing") == 0
-    lenders = only_ids(rows, KEY, lent, n=n_lent).join(lent, _same("id", "id_row"))
+    lenders = only_ids(rows, KEY, lent, n=n_lent).join(lent.hint("merge"), _same("id", "id_row"))  # lists of places have no bound, so they are never broadcast
     bodies = lenders.select("form", "missing", "lent", "bodies").mapInArrow(_bodies, "digest binary, body binary")
     bodies = stored(bodies.dropDuplicates(["digest"]).select(F.col("digest").alias("of"), "body"))  # rows may repeat
     found = others.distinct().join(bodies, F.col("digest") == F.col("of")).groupBy(F.col("doc_id").alias("id"), F.col("row").alias("id_row")).agg(F.collect_list(F.struct("seq", "body")).alias("found"))
     none = F.lit(None).cast("array<struct<seq:int,body:binary>>")
-    return rows.where(own).withColumn("found", none).unionByName(rows.where(~own).join(found, _same("id", "id_row")).drop("id", "id_row"))
+    return rows.where(own).withColumn("found", none).unionByName(rows.where(~own).join(found.hint("merge"), _same("id", "id_row")).drop("id", "id_row"))
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
