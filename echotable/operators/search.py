@@ -87,17 +87,23 @@ def lookup(chunks: DataFrame, ids: list[str], key: str) -> DataFrame:
 Q_BLOCKS, D_BLOCKS = 4, 64
 
 
-def max_sim(queries: DataFrame, chunks: DataFrame, query: str, doc: str) -> DataFrame:
-    """Late interaction: the sum over query vectors of the best dot product with a chunk's vectors.
+def in_blocks(queries: DataFrame, rows: DataFrame, query: str, row: str) -> DataFrame:
+    """Every query with every row: both sides are dealt into blocks and pairs of blocks joined by equality.
 
-    Both sides are dealt into blocks and pairs of blocks joined by equality, so that neither has to fit anywhere: each
-    task meets one block of each. Spark broadcasts the queries where it finds them small.
+    Neither side has to fit anywhere, as each task meets one block of each; Spark broadcasts the queries where it finds
+    them small. Aggregate or cut what comes out right after it.
     """
     ids = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select(query, "q_nth", F.col("vector").alias("qv"), F.pmod(F.xxhash64("q_nth"), F.lit(Q_BLOCKS)).cast("int").alias("qb"), ids(D_BLOCKS).alias("db"))
-    chunks = chunks.select(doc, "vector", F.pmod(F.xxhash64(doc, "vector"), F.lit(D_BLOCKS)).cast("int").alias("db"), ids(Q_BLOCKS).alias("qb"))
+    q = queries.withColumns({"qb": F.pmod(F.xxhash64(query), F.lit(Q_BLOCKS)).cast("int"), "db": ids(D_BLOCKS)})
+    r = rows.withColumn("db", F.pmod(F.xxhash64(row), F.lit(D_BLOCKS)).cast("int")).withColumn("qb", ids(Q_BLOCKS))
+    return r.join(q.select("qb", "db", *[c for c in queries.columns if c not in rows.columns]), ["qb", "db"]).drop("qb", "db")
+
+
+def max_sim(queries: DataFrame, chunks: DataFrame, query: str, doc: str) -> DataFrame:
+    """Late interaction: the sum over query vectors of the best dot product with a chunk's vectors."""
+    q = queries.select(query, "q_nth", F.col("vector").alias("qv"))
     dot = F.aggregate(F.zip_with("qv", "vector", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    best = chunks.join(q, ["qb", "db"]).groupBy(query, "q_nth", doc).agg(F.max(dot).alias("m"))
+    best = in_blocks(q, chunks.select(doc, "vector"), "q_nth", "vector").groupBy(query, "q_nth", doc).agg(F.max(dot).alias("m"))
     return best.groupBy(query, doc).agg(F.sum("m").alias("score"))
 
 

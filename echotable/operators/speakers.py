@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.sinks import stored
+
 
 def norm(v: str) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
@@ -47,43 +47,88 @@ def pairs(pooled: DataFrame, cut: float) -> DataFrame:
     return j.select(F.col("a_file_id").alias("a_file"), "a_speaker", F.col("b_file_id").alias("b_file"), "b_speaker", d.alias("distance"), (d <= cut).alias("close"))
 
 
-def average_linkage(vectors: np.ndarray, files: np.ndarray, cut: float) -> np.ndarray:
-    """Cluster numbers: the nearest clusters by mean distance merge until it exceeds the cut. Pairs of one file count as far apart."""
-    n = len(vectors)
-    v = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    d = np.clip(1 - v @ v.T, 0, 2)
-    d[files[:, None] == files[None, :]] = max(cut + 1, 2.0)
-    np.fill_diagonal(d, np.inf)
-    size, label, live = np.ones(n), np.arange(n), np.ones(n, bool)
-    while live.sum() > 1:
-        i, j = divmod(int(np.argmin(d)), n)
-        if d[i, j] > cut:
-            break
-        i, j = min(i, j), max(i, j)
-        # the mean over all pairs is the size-weighted mean of the two rows
-        row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = row, row
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        live[j] = False
-        label[label == j] = i
-    return np.unique(label, return_inverse=True)[1]
+def meetings(rows: DataFrame, keys: list[str], per_block: int = 1000) -> DataFrame:
+    """Each two speakers of different files under equal keys, once: a_ and b_ file_id, speaker, vector, a the smaller.
 
+    The rows of a key are dealt into blocks of about `per_block`, and pairs of blocks joined by equality, so that a task
+    meets two blocks however many rows a key has. What is done with the pairs is up to the caller: filter or aggregate them.
+    """
+    most = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
+    blocks = -(-most // per_block)
+    block = F.pmod(F.xxhash64("file_id", "speaker"), F.lit(blocks)).cast("int")
+    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("file_id", "speaker", "vector")]
+    a = rows.select(*keys, *side("a"), block.alias("i"), F.explode(F.sequence(block, F.lit(blocks - 1))).alias("j"))
+    b = rows.select(*keys, *side("b"), block.alias("j"), F.explode(F.sequence(F.lit(0), block)).alias("i"))
+    return a.join(b, [*keys, "i", "j"]).where("a_file_id <> b_file_id AND (i < j OR a_file_id < b_file_id)").drop("i", "j")
+
+
+def _unit(rows: DataFrame) -> DataFrame:
+    n = norm("vector")
+    return rows.withColumn("vector", F.transform("vector", lambda x: x / F.greatest(n, F.lit(1e-12))))
 
-def clusters(pooled: DataFrame, scope: str, cut: float = 0.35) -> DataFrame:
-    """(scope, file_id, speaker, cluster): one grouped kernel for each scope, a collection whose speakers are clustered together."""
 
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["file_id", "speaker"])
-        label = average_linkage(np.array(p["vector"].tolist()), p["file_id"].to_numpy(), cut)
-        return pd.DataFrame({scope: p[scope], "file_id": p["file_id"], "speaker": p["speaker"], "cluster": label})
+def _merged(sums: DataFrame, merges: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts and vector sums once two clusters of each merge are one: a group has at most two rows."""
+    to = F.coalesce("a", "cluster").alias("cluster")
+    moved = sums.join(merges, (sums["scope"] == merges["m_scope"]) & (sums["cluster"] == merges["b"]), "left").select(*[to if k == "cluster" else k for k in keys], "n", "v")
+    return moved.groupBy(*keys).agg(F.sum("n").alias("n"), F.collect_list("v").alias("vs")).select(*keys, "n", F.reduce(F.slice("vs", 2, 1), F.col("vs")[0], lambda s, v: F.zip_with(s, v, lambda x, y: x + y)).alias("v"))
 
-    return pooled.groupBy(scope).applyInPandas(kernel, f"{scope} long, file_id long, speaker long, cluster long")
 
+def _merges(links: DataFrame, totals: DataFrame, parts: DataFrame, cut: float) -> DataFrame:
+    """Linked clusters (m_scope, a, b) at most `cut` apart of which each is the other's nearest; equal distances go by name.
 
-def spread(pair: DataFrame, members: DataFrame) -> DataFrame:
-    """Least, mean and greatest cross-file distance inside each cluster (scope-free members: file_id, speaker, cluster)."""
-    m = {x: members.select(F.col("file_id").alias(f"{x}f"), F.col("speaker").alias(f"{x}s"), F.col("cluster").alias(f"{x}c")) for x in "ab"}
-    j = pair.join(m["a"], (F.col("a_file") == F.col("af")) & (F.col("a_speaker") == F.col("as"))).join(m["b"], (F.col("b_file") == F.col("bf")) & (F.col("b_speaker") == F.col("bs"))).where("ac = bc")
-    return j.groupBy(F.col("ac").alias("cluster")).agg(F.min("distance").alias("least"), F.avg("distance").alias("mean"), F.max("distance").alias("most"), F.count("*").alias("pairs"))
+    The mean distance follows from sums of vectors, as the sum of all dot products is the dot product of the sums.
+    Pairs of one file count as far apart, so their share is taken out and replaced.
+    """
+    far = max(cut + 1, 2.0)
+    of = lambda df, x, *more: df.select(F.col("scope").alias(f"{x}_scope"), F.col("cluster").alias(f"{x}_c"), F.col("n").alias(f"{x}_n"), F.col("v").alias(f"{x}_v"), *[F.col(c).alias(f"{x}_{c}") for c in more])
+    at = lambda x, end: (F.col("scope") == F.col(f"{x}_scope")) & (F.col(end) == F.col(f"{x}_c"))
+    key = ["scope", "a", "b"]
+    shared = links.join(of(parts, "p", "file_id"), at("p", "a")).join(of(parts, "q", "file_id"), at("q", "b") & (F.col("p_file_id") == F.col("q_file_id")))
+    shared = shared.groupBy(*key).agg(F.sum(F.col("p_n") * F.col("q_n")).alias("same"), F.sum(dot("p_v", "q_v")).alias("same_dot"))
+    shared = shared.select(*[F.col(k).alias(f"s_{k}") for k in key], "same", "same_dot")
+    all_ = links.join(of(totals, "p"), at("p", "a")).join(of(totals, "q"), at("q", "b"))
+    all_ = all_.join(shared, (F.col("scope") == F.col("s_scope")) & (F.col("a") == F.col("s_a")) & (F.col("b") == F.col("s_b")), "left")
+    n, same, same_dot = F.col("p_n") * F.col("q_n"), F.coalesce("same", F.lit(0)), F.coalesce("same_dot", F.lit(0.0))
+    d = F.round((n - same - (dot("p_v", "q_v") - same_dot) + same * far) / n, 12)
+    near = all_.select("scope", F.struct(d.alias("d"), "a", "b").alias("l")).where(F.col("l.d") <= cut)
+    best = near.select("scope", "l", F.explode(F.array("l.a", "l.b")).alias("end")).groupBy("scope", "end").agg(F.min("l").alias("l"))
+    return best.groupBy("scope", "l").count().where("count = 2").select(F.col("scope").alias("m_scope"), "l.a", "l.b")
+
+
+def clusters(pooled: DataFrame, scope: str, cut: float = 0.35) -> DataFrame:
+    """(scope, file_id, speaker, cluster): average linkage of each scope's speakers, who are all different (file_id, speaker).
+
+    The nearest clusters by mean cosine distance merge until it exceeds the cut; pairs of one file count as far apart. A
+    cluster is named by its smallest member, "file_id/speaker"; an empty table gives none. Clusters at most the cut apart have two
+    members at most the cut apart, so only clusters linked by such a pair are compared. In each round all clusters
+    that are each other's nearest merge, which with mean distances gives what merging one pair after the other gives.
+    What a round leaves (links, one vector sum a cluster and file) is written to the shared folder.
+    """
+    rows = stored(_unit(pooled.select(F.col(scope).alias("scope"), "file_id", "speaker", "vector")))
+    node = F.struct("file_id", "speaker")
+    ends = [F.struct(F.col(f"{x}_file_id").alias("file_id"), F.col(f"{x}_speaker").alias("speaker")) for x in "ab"]
+    close = meetings(rows, ["scope"]).where(F.round(1 - dot("a_vector", "b_vector"), 12) <= cut)
+    links = stored(close.select("scope", F.least(*ends).alias("a"), F.greatest(*ends).alias("b")))
+    parts = rows.select("scope", node.alias("cluster"), "file_id", F.lit(1).cast("long").alias("n"), F.col("vector").alias("v"))
+    totals = parts.drop("file_id")
+    names = rows.select("scope", node.alias("node"), node.alias("cluster"))
+    while True:
+        merges = stored(_merges(links, totals, parts, cut))
+        if merges.isEmpty():
+            return names.select(F.col("scope").alias(scope), "node.file_id", "node.speaker", F.concat_ws("/", "cluster.file_id", "cluster.speaker").alias("cluster"))
+        to = merges.select("m_scope", F.col("b").alias("gone"), F.col("a").alias("to"))
+        moved = links
+        for end in ("a", "b"):
+            moved = moved.join(to, (F.col("scope") == F.col("m_scope")) & (F.col(end) == F.col("gone")), "left").withColumn(end, F.coalesce("to", end)).drop("m_scope", "gone", "to")
+        links = stored(moved.where("a <> b").select("scope", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        parts = stored(_merged(parts, merges, ["scope", "cluster", "file_id"]))
+        totals = stored(_merged(totals, merges, ["scope", "cluster"]))
+        names = stored(names.join(to, (F.col("scope") == F.col("m_scope")) & (F.col("cluster") == F.col("gone")), "left").select("scope", "node", F.coalesce("to", "cluster").alias("cluster")))
+
+
+def spread(members: DataFrame, keys: list[str]) -> DataFrame:
+    """Least, mean and greatest distance of members (keys, file_id, speaker, vector) of different files, in each cluster."""
+    d = 1 - dot("a_vector", "b_vector")
+    pair = meetings(_unit(members), keys).select(*keys, d.alias("distance"))
+    return pair.groupBy(*keys).agg(F.min("distance").alias("least"), F.avg("distance").alias("mean"), F.max("distance").alias("most"), F.count("*").alias("pairs"))

@@ -8,6 +8,7 @@ from ..functions import text as tx
 from ..operators import asr, chunking, kernels
 from ..operators import transcripts as tr
 from ..sources.adapters import SEG, read, seg
+from ..sources.sinks import shared_folder
 from ..streaming import events as st
 
 Q, SQL = {}, {}
@@ -139,7 +140,7 @@ def _stream(spark, build, d, mode, keys):
     """Runs a stream over all there is into Parquet, and reads what it said last of each key."""
     events = spark.readStream.schema(read(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    folder = st.shared_folder(spark)
+    folder = shared_folder(spark)
     st.to_parquet(build(events), f"{folder}/out", f"{folder}/state", mode).awaitTermination()
     return st.latest(spark.read.parquet(f"{folder}/out"), keys)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import search as sr
 from ..operators import speakers as sp
 from ..sources.adapters import SPEAKER_VEC, TOKEN, read, speaker_vec, token
+from ..sources.sinks import stored
 
 Q, SQL = {}, {}
 
@@ -94,7 +95,7 @@ def dense_max_sim(spark, d):
 def retrieval_evaluation(spark, d):
     v = speaker_vec(spark, d)
     q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("question"), F.col("vector").alias("qv"), F.col("speaker").alias("target"))
-    hits = v.crossJoin(F.broadcast(q)).where("vec_id <> question").select("question", "speaker", "vec_id", F.round(sp.dot("qv", "vector"), 9).alias("score"))
+    hits = sr.in_blocks(q, v, "question", "vec_id").where("vec_id <> question").select("question", "speaker", "vec_id", F.round(sp.dot("qv", "vector"), 9).alias("score"))
     top = sr.capped(hits, "question", [F.desc("score"), F.col("vec_id")], 10).select("question", F.col("nth").alias("rank"), F.col("speaker").alias("doc"))
     return sr.evaluate(top, q.select("question", F.col("target").alias("doc")), [1, 5, 10]).withColumns({c: F.round(c, 6) for c in ("recall", "mrr")})
 
@@ -121,6 +122,6 @@ def speaker_clusters(spark, d):
 
 @query()
 def speaker_cluster_spread(spark, d):
-    p = sp.pool(speaker_vec(spark, d), ["speaker", "file_id"])
-    c = sp.clusters(p.withColumn("scope", F.lit(0).cast("long")), "scope", cut=0.8)
-    return sp.spread(sp.pairs(p, 0.35), c).withColumns({x: F.round(x, 5) for x in ("least", "mean", "most")})
+    p = stored(sp.pool(speaker_vec(spark, d), ["speaker", "file_id"]))
+    c = sp.clusters(p.withColumn("scope", F.lit(0).cast("long")), "scope", cut=0.8).drop("scope")
+    return sp.spread(p.join(c, ["file_id", "speaker"]), ["cluster"]).withColumns({x: F.round(x, 5) for x in ("least", "mean", "most")})

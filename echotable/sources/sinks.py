@@ -3,11 +3,30 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir; only a local session that names none gets its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="echotable-")
+    return f"{found}/echotable-tables/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read again: what is built on it depends on the files alone."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def publish(df: DataFrame, root: str, version: str) -> str:
     """Writes a version and then moves the pointer to it, so that readers see the old table or the new one."""
     path = f"{root}/versions/{version}"

@@ -5,8 +5,6 @@ Late data: rows more than the watermark behind the latest event are dropped.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,16 +19,6 @@ def source(spark: SparkSession, folder: str, files_at_once: int = 8) -> DataFram
     return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_at_once).parquet(folder)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only a local session that names none gets its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="echotable-")
-    return f"{found}/echotable-streams/{uuid.uuid4().hex}"
-
-
 def to_parquet(stream: DataFrame, folder: str, checkpoint: str, mode: str):
     """Runs stream over all there is; each batch is a folder of its own, which a batch that is run again overwrites."""
     write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/batch={n}")

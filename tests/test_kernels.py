@@ -85,11 +85,52 @@ def test_windows_advance_and_cover():
         assert all(n <= 10 or j - i == 1 for i, j, n in w)
 
 
-def test_average_linkage():
-    v = np.array([[1, 0], [0.99, 0.05], [0, 1], [1, 0.01]])
-    assert speakers.average_linkage(v, np.array([0, 1, 2, 3]), 0.35).tolist() == [0, 0, 1, 0]
-    # two of one file stay apart
-    assert len(set(speakers.average_linkage(v[:2], np.array([0, 0]), 0.35).tolist())) == 2
+def one_after_the_other(rows, cut):
+    """Average linkage by its definition: the two clusters with the least mean distance merge, until it exceeds the cut."""
+    vectors = {(f, s): np.array(v) / np.linalg.norm(v) for _, f, s, v in rows}
+    far = max(cut + 1, 2.0)
+    d = lambda a, b: far if a[0] == b[0] else 1 - vectors[a] @ vectors[b]
+    groups = [[k] for k in sorted(vectors)]
+    while len(groups) > 1:
+        mean, a, b = min((np.mean([d(x, y) for x in groups[a] for y in groups[b]]), a, b) for b in range(len(groups)) for a in range(b))
+        if mean > cut:
+            break
+        groups[a] += groups.pop(b)
+    return {(f, s): "{}/{}".format(*min(g)) for g in groups for f, s in g}
+
+
+def test_clusters(spark):
+    schema = "scope long, file_id long, speaker long, vector array<double>"
+    r = np.random.default_rng(5)
+    rows = []
+    for scope in (0, 1):
+        centres = r.normal(size=(4, 6))
+        rows += [(scope, f, s, (centres[s] + r.normal(size=6) * 0.7).tolist()) for f in range(7) for s in range(4) if r.random() < 0.8]
+    rows += [(2, 0, 0, [1.0, 0.0]), (2, 0, 1, [1.0, 0.01]), (3, 0, 0, [1.0, 0.0]), (3, 1, 0, [0.99, 0.05]), (3, 2, 0, [0.0, 1.0]), (3, 3, 0, [1.0, 0.01])]
+    for cut in (0.35, 0.8):
+        got = {(x["scope"], x["file_id"], x["speaker"]): x["cluster"] for x in speakers.clusters(spark.createDataFrame(rows, schema), "scope", cut).collect()}
+        want = {(k, *m): c for k in range(4) for m, c in one_after_the_other([x for x in rows if x[0] == k], cut).items()}
+        assert got == want
+        # two of one file stay apart
+        assert got[2, 0, 0] != got[2, 0, 1]
+    assert speakers.clusters(spark.createDataFrame([], schema), "scope").collect() == []
+
+
+def test_meetings_and_spread(spark):
+    r = np.random.default_rng(6)
+    rows = [(k % 2, f, s, r.normal(size=3).tolist()) for k, (f, s) in enumerate((f, s) for f in range(8) for s in range(3))]
+    df = spark.createDataFrame(rows, "cluster long, file_id long, speaker long, vector array<double>")
+    want = {}
+    for i, (c, f, s, v) in enumerate(rows):
+        for c2, f2, s2, v2 in rows[:i]:
+            if c == c2 and f != f2:
+                want.setdefault(c, []).append(1 - np.dot(v, v2) / np.linalg.norm(v) / np.linalg.norm(v2))
+    for per_block in (2, 1000):
+        n = speakers.meetings(df, ["cluster"], per_block).groupBy("cluster").count().collect()
+        assert {x[0]: x[1] for x in n} == {c: len(x) for c, x in want.items()}
+    for x in speakers.spread(df, ["cluster"]).collect():
+        w = want[x["cluster"]]
+        assert np.allclose([x["least"], x["mean"], x["most"], x["pairs"]], [min(w), np.mean(w), max(w), len(w)])
 
 
 def test_union_of_intervals(spark):
