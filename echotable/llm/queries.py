@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, line_dedup, media, near_dedup, packing, quality, secrets, sharding, substring_dedup, toxicity
+from . import conversations, decontamination, exact_dedup, line_dedup, media, near_dedup, packing, quality, secrets, sharding, substring_dedup, toxicity, whitening
 from .base import table
 
 
@@ -51,13 +51,25 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(table(spark, sf_dir, "conversations"), damage=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_sharding, op4_substring_dedup, op5_secret_scan, op6_decontamination, op7_line_dedup, op8_media_chunks, op9_best_fit_packing, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_sharding, op4_substring_dedup, op5_secret_scan, op6_decontamination, op7_line_dedup, op8_media_chunks, op9_best_fit_packing, op10_minhash_near_dedup, op11_embedding_whitening, op12_exact_dedup, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The rows by their definitions, without the operators' filters: every window, every pair of lines, every shared shingle."""
-    return {"op4_substring_dedup": _OP4, "op7_line_dedup": _OP7, "op10_minhash_near_dedup": _OP10}
+    return {"op4_substring_dedup": _OP4, "op7_line_dedup": _OP7, "op10_minhash_near_dedup": _OP10, "op12_exact_dedup": _OP12, "op13_conversation_repair": _OP13}
 
 
 _OP4 = r"""WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
@@ -89,3 +101,27 @@ e AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, e.y FROM reach JOIN e ON e.x = reach.b),
 c AS (SELECT a, min(b) AS component FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id"""
+
+_OP12 = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM d WINDOW w AS (PARTITION BY t)"""
+
+# the checksum bit by bit; then, turn by turn, the cheapest and least audit (c, a) of each state with what it leaves (t)
+_OP13 = r"""WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+k AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT)), lambda acc, b: list_reduce([xor(acc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 20 AS kind FROM raw),
+m AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said, substr(role, 1, 1) AS r FROM m),
+f AS (SELECT *, said = '' AS blank, said <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS duplicate, lag(r) OVER (PARTITION BY conv_id ORDER BY i) AS p FROM o),
+g AS (SELECT *, NOT blank AND NOT duplicate AND right(said, 1) NOT IN ('.', '!', '?') AS truncated FROM f),
+z AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (p IS NOT NULL AND p || r NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM g GROUP BY conv_id),
+s AS (SELECT conv_id, 0::BIGINT AS i, {'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]} AS s0, {'c': 1000000000::BIGINT, 'a': '', 't': []::VARCHAR[]} AS s1, {'c': 1000000000::BIGINT, 'a': '', 't': []::VARCHAR[]} AS s2, {'c': 1000000000::BIGINT, 'a': '', 't': []::VARCHAR[]} AS s3 FROM z
+ UNION ALL SELECT conv_id, i, CASE WHEN end_here THEN e0 ELSE {'c': e0.c + 3, 'a': e0.a || 'D', 't': e0.t} END,
+  CASE WHEN end_here THEN e1 ELSE least({'c': e1.c + 3, 'a': e1.a || 'D', 't': e1.t}, {'c': e0.c + late + CASE WHEN must OR r <> 's' THEN 1000000000 ELSE 0 END, 'a': e0.a || 'K', 't': list_append(e0.t, role || ':' || text)}) END,
+  CASE WHEN end_here THEN e2 ELSE least({'c': e2.c + 3, 'a': e2.a || 'D', 't': e2.t},
+   {'c': e0.c + late + CASE WHEN must OR r <> 'u' THEN 1000000000 ELSE 0 END, 'a': e0.a || 'K', 't': list_append(e0.t, role || ':' || text)}, {'c': e1.c + late + CASE WHEN must OR r <> 'u' THEN 1000000000 ELSE 0 END, 'a': e1.a || 'K', 't': list_append(e1.t, role || ':' || text)}, {'c': e3.c + late + CASE WHEN must OR r <> 'u' THEN 1000000000 ELSE 0 END, 'a': e3.a || 'K', 't': list_append(e3.t, role || ':' || text)},
+   {'c': e0.c + 2 + late + CASE WHEN must THEN 1000000000 ELSE 0 END, 'a': e0.a || 'R', 't': list_append(e0.t, 'user:' || text)}, {'c': e1.c + 2 + late + CASE WHEN must THEN 1000000000 ELSE 0 END, 'a': e1.a || 'R', 't': list_append(e1.t, 'user:' || text)}, {'c': e3.c + 2 + late + CASE WHEN must THEN 1000000000 ELSE 0 END, 'a': e3.a || 'R', 't': list_append(e3.t, 'user:' || text)}) END,
+  CASE WHEN end_here THEN e3 ELSE least({'c': e3.c + 3, 'a': e3.a || 'D', 't': e3.t}, {'c': e2.c + late + CASE WHEN must OR r <> 'a' THEN 1000000000 ELSE 0 END, 'a': e2.a || 'K', 't': list_append(e2.t, role || ':' || text)}, {'c': e2.c + 2 + late + CASE WHEN must THEN 1000000000 ELSE 0 END, 'a': e2.a || 'R', 't': list_append(e2.t, 'assistant:' || text)}) END
+ FROM (SELECT *, least(w3, {'c': e2.c + 2, 'a': e2.a || 'I', 't': list_append(e2.t, 'assistant:')}) AS e3 FROM (SELECT *, least(w2, {'c': e0.c + 2, 'a': e0.a || 'I', 't': list_append(e0.t, 'user:')}, {'c': e1.c + 2, 'a': e1.a || 'I', 't': list_append(e1.t, 'user:')}, {'c': w3.c + 2, 'a': w3.a || 'I', 't': list_append(w3.t, 'user:')}) AS e2 FROM
+  (SELECT s.conv_id, s.i + 1 AS i, s0 AS e0, s1 AS e1, s2 AS w2, s3 AS w3, s.i = z.n AS end_here, coalesce(g.blank OR g.duplicate, true) AS must, coalesce(g.truncated, false)::BIGINT AS late, g.r, g.role, g.text FROM s JOIN z ON z.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM s.conv_id AND g.i = s.i + 1 WHERE s.i <= z.n)))),
+b AS (SELECT s.conv_id, least(s0, s3) AS x FROM s JOIN z ON z.conv_id IS NOT DISTINCT FROM s.conv_id WHERE s.i = z.n + 1)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(x.c, 0) AS cost, coalesce(x.a, '') AS audit, sha256(coalesce(array_to_string(x.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM c.conv_id"""

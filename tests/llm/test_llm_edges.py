@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from fixtures import EDGES, frame
 
-from echotable.llm import decontamination, line_dedup, media, near_dedup, packing, quality, secrets, sharding, substring_dedup, toxicity
+from echotable.llm import decontamination, exact_dedup, line_dedup, media, near_dedup, packing, quality, secrets, sharding, substring_dedup, toxicity
 
 LABELS = "doc_id long, quality int, toxic int"
 ITEMS = "item_id long, text string"
@@ -23,11 +23,12 @@ def run(name, df):
         "lines": lambda: line_dedup.dedup_lines(df),
         "media": lambda: media.media(df),
         "packing": lambda: packing.pack(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
+        "exact": lambda: exact_dedup.exact_duplicates(df),
         "near": lambda: near_dedup.near_duplicates(df, words=4),
     }[name]()
 
 
-NAMES = ["quality", "toxicity", "sharding", "substring", "secrets", "lines", "media", "packing", "near"]
+NAMES = ["quality", "toxicity", "sharding", "substring", "secrets", "lines", "media", "packing", "near", "exact"]
 
 
 @pytest.mark.parametrize("name", NAMES)
