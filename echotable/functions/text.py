@@ -70,11 +70,18 @@ def compatible(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+_MARKS = re.compile(r"^\W+|\W+$")
+
+
+def plain_word(w: str) -> str:
+    """Compatibility composition, case folded, marks at the edges cut (NFKC)."""
+    return _MARKS.sub("", unicodedata.normalize("NFKC", w).casefold())
+
+
 @F.pandas_udf(T.StringType())
 def folded(text: pd.Series) -> pd.Series:
     """Compatibility composition, case folded, marks at the edges of words cut (NFKC)."""
-    edge = re.compile(r"^\W+|\W+$")
-    return text.map(lambda t: " ".join(w for x in unicodedata.normalize("NFKC", t).casefold().split() if (w := edge.sub("", x))), na_action="ignore")
+    return text.map(lambda t: " ".join(w for x in unicodedata.normalize("NFKC", t).casefold().split() if (w := _MARKS.sub("", x))), na_action="ignore")
 
 
 def distance(a: list, b: list) -> int:

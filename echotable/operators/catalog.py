@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import stored
+
 
 def present(c: str | Column) -> Column:
     """The trimmed text, or null where it is blank."""
@@ -148,10 +150,14 @@ def uniform_sample(df: DataFrame, order: list[Column], k: int) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
-    """df with nth, its place from 0 in the order: ranges of the order are numbered by themselves and moved by the ranges before."""
-    ranged = df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
-    counts = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
-    base = counts.select(F.col("__range").alias("__r"), before.alias("__before"))
-    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
-    return ranged.withColumn("__own", own).join(F.broadcast(base), F.col("__range") == F.col("__r")).withColumn("nth", (F.col("__before") + F.col("__own")).cast("long")).drop("__range", "__r", "__before", "__own", "__n")
+    """df with nth, its place from 0 in the order.
+
+    Rows are dealt to ranges of the order and sorted there, with their place inside; they are written before ranges are counted, so that counts and
+    rows are of the same ranges. Rows that are equal in the order are numbered in any order.
+    """
+    inside = (1 << 33) - 1  # an increasing id has the partition above these bits and the place in it below
+    placed = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit(inside))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    base = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n")).select("__part", before.alias("__before"))
+    return placed.join(F.broadcast(base), part == F.col("__part")).withColumn("nth", (F.col("__before") + place).cast("long")).drop("__id", "__part", "__before")

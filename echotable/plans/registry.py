@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, language, records, retrieval, transcripts
+from . import archive, language, records, repeats, retrieval, transcripts
 
-MODULES = [transcripts, archive, retrieval, language, records]
+MODULES = [transcripts, archive, retrieval, language, records, repeats]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -29,6 +29,27 @@ SEG = """seg AS (SELECT sha256('conv-' || conv_id::VARCHAR) AS audio_hash, role
  turn * 5.0::DOUBLE + length(text) / 20.0::DOUBLE AS end_sec, text, text AS full_text FROM conversations)"""
 
 
+def takes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of three recognizers of each conversation: lines as they are; some said twice; some said twice, later, and some lost."""
+    t = read(spark, sf_dir, "conversations")
+    lines = t.select(F.sha2(F.concat(F.lit("conv-"), F.col("conv_id").cast("string")), 256).alias("audio_hash"), F.col("turn").cast("long").alias("turn"), F.posexplode(F.split("text", "\n", -1)).alias("i", "text"))
+    lines = lines.withColumn("start", F.col("turn") * F.lit(5.0) + F.col("i") * F.lit(0.5)).withColumn("end", F.col("start") + F.lit(0.25) + F.length("text") / F.lit(100.0))
+    nth, k, s, e = F.col("turn") + F.col("i"), (F.col("turn") * 1000 + F.col("i")) * 2, F.col("start"), F.col("end")
+    out = []
+    for model, twice, lost, late in (("plain", F.lit(False), F.lit(False), 0.0), ("stutter", nth % 3 == 0, F.lit(False), 0.0), ("lossy", nth % 6 == 0, nth % 7 == 5, 0.125)):
+        rows = lines.where(~lost).select("audio_hash", "text", k.alias("k"), (s + late).alias("s"), (e + late).alias("e"), twice.alias("twice"))
+        rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.when(F.col("twice"), 1).otherwise(0))))
+        middle = (F.col("s") + F.col("e")) / 2
+        out.append(rows.select("audio_hash", F.lit(model).alias("model_key"), (F.col("k") + F.col("part")).cast("long").alias("seg_idx"), F.when(F.col("part") == 1, middle).otherwise(F.col("s")).alias("start_sec"), F.when(F.col("twice") & (F.col("part") == 0), middle).otherwise(F.col("e")).alias("end_sec"), "text"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+TAKES = """said AS (SELECT sha256('conv-' || conv_id::VARCHAR) AS audio_hash, turn::BIGINT AS turn, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS text FROM conversations),
+ timed AS (SELECT *, turn * 5.0::DOUBLE + i * 0.5::DOUBLE AS s, turn * 5.0::DOUBLE + i * 0.5::DOUBLE + 0.25::DOUBLE + length(text) / 100.0::DOUBLE AS e, (turn * 1000 + i) * 2 AS k FROM said),
+ told AS (SELECT audio_hash, 'plain' AS model_key, k, s, e, text, 0 AS twice FROM timed UNION ALL SELECT audio_hash, 'stutter', k, s, e, text, ((turn + i) % 3 = 0)::INT FROM timed UNION ALL SELECT audio_hash, 'lossy', k, s + 0.125::DOUBLE, e + 0.125::DOUBLE, text, ((turn + i) % 6 = 0)::INT FROM timed WHERE (turn + i) % 7 <> 5),
+ takes AS (SELECT audio_hash, model_key, k + part AS seg_idx, CASE WHEN part = 1 THEN (s + e) / 2 ELSE s END AS start_sec, CASE WHEN twice = 1 AND part = 0 THEN (s + e) / 2 ELSE e END AS end_sec, text FROM (SELECT *, unnest(range(twice + 1)) AS part FROM told))"""
+
+
 def docseg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-blank lines of documents with their place."""
     t = read(spark, sf_dir, "documents")
