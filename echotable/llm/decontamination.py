@@ -8,8 +8,12 @@ nearby diagonals where words were put in or left out. A document holds an item i
 equal words is always hit, so a block of words replaced in a passage leaves its longer part to be found.
 
 Few hashes of documents are in the benchmark. A bitmap of fixed size that all tasks hold keeps most others out of
-the join; it has false positives and no false negatives, so it changes nothing but the work. A seed that very many items
-share, such as a common header, names none of them, unless such seeds cover as much of an item as makes it held.
+the join; it has false positives and no false negatives, so it changes nothing but the work.
+
+A seed that many items share, such as those of a common header, would pair each document that has it with all of them. Where
+such seeds cover so much of an item that they alone may make it held, they do name it. Of any other item a document must hold so many
+of the words that they leave out that one of its rarest is among them: it has to lie near the seed in the document. Seeds of the
+same items are one family, and a join on family and word finds these items; none is lost.
 
 With the masks below, of passages with words replaced at random at least 0.9 are found where a third of the words are
 replaced, from 20 words on; where 40 % are, from 37 words on. Replacing every second, third, fourth or fifth word hides none.
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import hashed, measured, mixed, only_ids, rows_of, stored, text_hash, without_ids, word_list
@@ -130,50 +134,112 @@ def overlap(words: np.ndarray, want: np.ndarray, shifts: list[int]) -> tuple[int
 FOUND = "doc_id long, row long, item_id long, first_word long, end_word long, n_equal long, n_item long"
 
 
+def _families(found: DataFrame, hot: int) -> DataFrame:
+    """h, family: hashes of more than `hot` items; those of the same items (told by their number and two sums of hashes) are a family."""
+    of = lambda seed: F.bit_xor(F.xxhash64("item", F.lit(seed)))
+    each = found.select("hash", "item").distinct().groupBy(F.col("hash").alias("h")).agg(F.count("*").alias("n"), of(1).alias("x"), of(2).alias("y"))
+    return each.where(F.col("n") > hot).select("h", F.xxhash64("n", "x", "y").alias("family"))
+
+
+def _probes(items: DataFrame, shared: DataFrame, lacking: DataFrame) -> DataFrame:
+    """family, w, item: of each item in `lacking` (of, at: the places that its common seeds cover, lacks: how many other words it needs) its rarest other words.
+
+    Of m other words k must agree, so that one of any m - k + 1 does.
+    """
+    words = items.select("item", F.posexplode("words").alias("at", "w"))
+    often = words.groupBy(F.col("w").alias("word")).agg(F.countDistinct("item").alias("often"))
+    other = words.join(lacking, F.col("item") == F.col("of")).where("NOT array_contains(covered, at)").join(often, F.col("w") == F.col("word"))
+    of_item = Window.partitionBy("item")
+    ranked = other.withColumns({"m": F.count("*").over(of_item), "nth": F.row_number().over(of_item.orderBy("often", "w", "at"))})
+    rare = ranked.where(F.col("nth") <= F.col("m") - F.col("lacks") + 1).select("item", "w").distinct()
+    return rare.join(shared.select(F.col("item").alias("of"), "family").distinct(), F.col("item") == F.col("of")).select("family", "w", "item")
+
+
+def _near(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """doc_id, row, family, w: the words near the seeds of a family, by places (id, id_row, family, lo, hi)."""
+    texts = docs.join(places, (F.col("doc_id") == F.col("id")) & (F.col("row") == F.col("id_row"))).select("doc_id", "row", "text", "family", "lo", "hi")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, row, text, family, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text", "family", "lo", "hi")), strict=True):
+                w = np.unique(_words(text)[max(lo, 0) : hi]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), x)) for x in (doc_id, row, family)] + [pa.array(w)], ["doc_id", "row", "family", "w"])
+
+    return texts.mapInArrow(read, "doc_id long, row long, family long, w long")
+
+
 def held(docs: DataFrame, benchmark: DataFrame, part: float, least: int, hot: int) -> DataFrame:
     """docs (doc_id, text, row), benchmark (item, text) -> FOUND."""
     items, n_items = measured(items_of(benchmark), n=F.count("*"), short=F.collect_set(F.when(F.size("words") < least, F.size("words"))))
     if not n_items["n"]:
         return docs.sparkSession.createDataFrame([], FOUND)
     found = stored(item_seeds(items, least))
-    each = found.select("hash", "item").distinct().groupBy(F.col("hash").alias("h")).agg(F.count("*").alias("n"))
-    common = stored(each.where(F.col("n") > hot))
-    # items that common seeds cover so far that they alone may make them held keep those seeds
-    covered = found.join(common, F.col("hash") == F.col("h")).select("item", F.explode(F.sequence("start", F.col("start") + F.col("span") - 1)).alias("at")).distinct().groupBy(F.col("item").alias("of")).agg(F.count("*").alias("words"))
-    sized = items.select("item", F.size("words").alias("size"))
-    keep = sized.join(covered, F.col("item") == F.col("of")).where(F.col("words") >= F.lit(part) * F.col("size")).select("of")
-    rare = found.join(common, F.col("hash") == F.col("h"), "left_anti").select("item", "hash", "start")
-    kept = found.join(common, F.col("hash") == F.col("h"), "left_semi").join(keep, F.col("item") == F.col("of"), "left_semi").select("item", "hash", "start")
-    found = stored(rare.union(kept).select(F.col("item"), F.col("hash").alias("h"), "start"))
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(found.withColumnRenamed("h", "hash")))
+    common, n_common = measured(_families(found, hot), n=F.count("*"))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(found))
     met = stored(hits(docs, bits, sorted(n_items["short"])))
-    diagonals = met.join(found, F.col("hash") == F.col("h")).groupBy("doc_id", "row", "item").agg(F.collect_set(F.col("pos") - F.col("start")).alias("shifts"))  # at most the words of both
-    wanted = diagonals.join(items.select(F.col("item").alias("of"), "words"), F.col("item") == F.col("of"))
-    per_doc, seen = measured(wanted.groupBy(F.col("doc_id").alias("id"), F.col("row").alias("id_row")).agg(F.collect_list(F.struct("item", "shifts", "words")).alias("wanted")), n=F.count("*"))
-    some = only_ids(docs, ["doc_id", "row"], per_doc, n=seen["n"])
-    some = some.join(per_doc, (F.col("doc_id") == F.col("id")) & (F.col("row") == F.col("id_row"))).select("doc_id", "row", "text", "wanted")
+    places = ["doc_id", "row", "item"]
+    named, shifts = found.select("item", F.col("hash").alias("h"), "start"), (F.col("pos") - F.col("start")).alias("shift")
+    if not n_common["n"]:
+        diagonals = met.join(named, F.col("hash") == F.col("h")).select(*places, shifts)
+    else:
+        shared = stored(found.join(common, F.col("hash") == F.col("h")).select("item", "h", "start", "span", "family"))
+        covered = shared.select("item", F.explode(F.sequence("start", F.col("start") + F.col("span") - 1)).alias("at")).groupBy(F.col("item").alias("of")).agg(F.collect_set("at").alias("covered"))  # at most the item's words
+        size = F.size("words")
+        needed = F.ceil(F.greatest(F.least(F.lit(least), size), F.lit(part) * size))
+        lacking = stored(items.join(covered, F.col("item") == F.col("of")).select("of", "covered", (needed - F.size("covered")).alias("lacks"), size.alias("size")))
+        keep = lacking.where("lacks <= 0").select("of")
+        direct = named.join(common, "h", "left_anti").unionByName(shared.join(keep, F.col("item") == F.col("of"), "left_semi").select("item", "h", "start"))
+        pairs = met.join(direct, F.col("hash") == F.col("h")).select(*places, shifts)
+        # the others of a family by a rare word near its seeds
+        longest = shared.join(lacking, F.col("item") == F.col("of")).groupBy("h").agg(F.first("family").alias("family"), F.max("size").alias("size"))
+        at = met.join(longest, F.col("hash") == F.col("h")).groupBy(F.col("doc_id").alias("id"), F.col("row").alias("id_row"), "family").agg(F.min(F.col("pos") - 2 * F.col("size")).alias("lo"), F.max(F.col("pos") + 2 * F.col("size")).alias("hi"))
+        probes = _probes(items, shared, lacking.where("lacks > 0"))
+        by_word = _near(docs, stored(at)).join(probes.withColumnRenamed("family", "f").withColumnRenamed("w", "v"), (F.col("family") == F.col("f")) & (F.col("w") == F.col("v"))).select(*places)
+        pairs = stored(pairs.unionByName(by_word.distinct(), allowMissingColumns=True))
+        # whatever a pair was found by, its common seeds give diagonals as well
+        seen_in = met.select(F.col("doc_id").alias("id"), F.col("row").alias("id_row"), "hash", "pos")
+        also = pairs.select(*places).distinct().join(shared.select(F.col("item").alias("of"), "h", "start"), F.col("item") == F.col("of"))
+        also = also.join(seen_in, (F.col("doc_id") == F.col("id")) & (F.col("row") == F.col("id_row")) & (F.col("h") == F.col("hash"))).select(*places, shifts)
+        diagonals = pairs.where("shift IS NOT NULL").unionByName(also)
+    diagonals = diagonals.groupBy(*places).agg(F.collect_set("shift").alias("shifts"))  # at most the words of both
+    wanted = stored(diagonals.join(items.select(F.col("item").alias("of"), "words"), F.col("item") == F.col("of")).drop("of"))
+    bits.unpersist()
+    return verified(docs, wanted, part, least)
+
+
+def verified(docs: DataFrame, wanted: DataFrame, part: float, least: int, together: int = 1000) -> DataFrame:
+    """docs and wanted (doc_id, row, item, shifts, words) -> FOUND, from a stream of each text followed by its items; a document with many items is dealt out."""
+    counts, seen = measured(wanted.groupBy(F.col("doc_id").alias("id"), F.col("row").alias("id_row")).agg(F.ceil(F.count("*") / together).cast("int").alias("shares")), n=F.count("*"))
+    on = (F.col("doc_id") == F.col("id")) & (F.col("row") == F.col("id_row"))
+    texts = only_ids(docs, ["doc_id", "row"], counts, n=seen["n"]).join(counts, on)
+    none = lambda t: F.lit(None).cast(t)
+    texts = texts.withColumn("nth", F.monotonically_increasing_id()).select("doc_id", "row", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), none("long").alias("item"), "nth", "text", none("array<long>").alias("shifts"), none("array<long>").alias("words"))
+    asked = wanted.join(counts, on).select("doc_id", "row", F.pmod(F.xxhash64("item"), "shares").cast("int").alias("share"), "item", none("long").alias("nth"), none("string").alias("text"), "shifts", "words")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows_of_text, words = None, 0, None  # rows that repeat an id and a text are found each
         for batch in batches:
             rows = []
-            for doc_id, row, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), batch.column("text"), batch.column("wanted").to_pylist(), strict=True):
-                words = _words(text.as_py())
-                for w in wanted:
-                    want = np.array(w["words"], np.int64).view(np.uint64)
-                    n, i, j = overlap(words, want, w["shifts"])
-                    if n >= min(least, len(want)) and n >= part * len(want):
-                        rows.append((doc_id, row, w["item"], i, j, n, len(want)))
+            for doc_id, row, share, item, text, shifts, want in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "share", "item", "text", "shifts", "words")), strict=True):
+                if item is None:
+                    rows_of_text = rows_of_text + 1 if key == (doc_id, row, share) else 1
+                    key, words = (doc_id, row, share), _words(text)
+                    continue
+                n, i, j = overlap(words, np.array(want, np.int64).view(np.uint64), shifts)
+                if n >= min(least, len(want)) and n >= part * len(want):
+                    rows += [(doc_id, row, item, i, j, n, len(want))] * rows_of_text
             columns = list(zip(*rows, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "row", "item_id", "first_word", "end_word", "n_equal", "n_item"])
 
-    return some.mapInArrow(verify, FOUND)
+    both = texts.unionByName(asked).repartition("doc_id", "row", "share").sortWithinPartitions("doc_id", "row", "share", F.col("item").asc_nulls_first())
+    return both.mapInArrow(verify, FOUND)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", part: float = 0.5, least: int = 12, hot: int = 100) -> DataFrame:
     """doc_id, item_id, first_word, end_word, n_equal, n_item: which documents hold which benchmark items.
 
     An item counts as held if at least `part` of its words, and `least` words or all of a shorter item, stand in the document
-    in place, words replaced, put in or left out aside. Case of A-Z doesn't count. A seed of more than `hot` items is common. Items and
+    in place, words replaced, put in or left out aside. Case of A-Z doesn't count. Seeds of more than `hot` items are joined in another way, to the same result. Items and
     documents without words, or with a null id, hold nothing. An item that repeats counts once; of an id with several texts each is an item. Rows that
     repeat are found each, rows of one id by their own text. Empty tables give no rows.
     """

@@ -1,6 +1,7 @@
 """The operators against plain versions of what they are to give."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -534,3 +535,45 @@ def test_decontamination_common_seeds(spark):
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), hot=10).collect()}
     short = {(d, i) for d in [*range(5), 50] for i in (90, 91, 92)}
     assert got == {(i, i) for i in range(5)} | short
+
+
+def test_decontamination_keeps_items_of_a_common_header(spark):
+    """Documents that hold 22 of 40 words of an item: a header that all items share, and words of its own that stand alone, so that no seed is theirs."""
+    header = "answer the following question in your own words as well you".split() + ["can"]  # 12 words
+    for n in (50, 150, 1500):
+        items = [(k, " ".join([*header, *(f"own{k}w{j}" for j in range(28))])) for k in range(n)]
+        docs = []
+        for k in range(20):
+            body = [f"own{k}w{j}" if j % 3 == 0 else f"else{k}x{j}" for j in range(28)]  # 10 of 28, none beside another
+            docs.append((k, " ".join(["before"] * 5 + header + body + ["after"] * 3)))
+        docs += [(100 + k, " ".join(header + [f"other{k}y{j}" for j in range(40)])) for k in range(50)]  # the header alone
+        got = {(r["doc_id"], r["item_id"], r["n_equal"]) for r in decontamination.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+        assert got == {(k, k, 22) for k in range(20)}, n
+
+
+def test_common_seeds_change_nothing(spark):
+    rng = random.Random(8)
+    vocabulary = [f"v{k}" for k in range(60)]
+    headers = [[rng.choice(vocabulary) for _ in range(rng.randrange(7, 14))] for _ in range(3)]
+    items = [(k, " ".join(rng.choice(headers) + [rng.choice(vocabulary) for _ in range(rng.randrange(6, 30))])) for k in range(60)]
+    docs = []
+    for d in range(120):
+        words = rng.choice(items)[1].split()
+        words = [w if rng.random() > 0.4 else rng.choice(vocabulary) for w in words]
+        at = rng.randrange(len(words))
+        docs.append((d, " ".join([rng.choice(vocabulary) for _ in range(rng.randrange(30))] + words[:at] + ["put", "in"] * rng.randrange(2) + words[at:])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = [sorted(tuple(r) for r in decontamination.contaminated(frame(spark, docs), bench, hot=hot).collect()) for hot in (10**9, 10, 1)]
+    assert found[0] == found[1] == found[2] and len(found[0]) > 40
+
+
+def test_a_document_with_many_items_is_dealt_out(spark):
+    docs = [(1, " . ".join(f"a{k} b{k} c{k} d{k} e{k} f{k} g{k}" for k in range(40)))] * 2 + [(2, "a1 b1 c1 d1 e1 f1 g1")]
+    items = [(k, f"a{k} b{k} c{k} d{k} e{k} f{k} g{k}") for k in range(40)]
+    rows = decontamination.rows_of(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text")
+    bench = decontamination._items(spark.createDataFrame(items, "item_id long, text string"), "item_id", "text")
+    words = decontamination.items_of(bench)
+    met = spark.createDataFrame([(1, k, [8 * k]) for k in range(40)] + [(2, 1, [0])], "id long, i long, shifts array<long>")
+    wanted = met.join(rows.select("doc_id", "row").distinct(), met.id == rows.doc_id).join(words, met.i == words.item).select("doc_id", "row", "item", "shifts", "words")
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontamination.verified(rows, wanted, 0.5, 12, together=3).collect())
+    assert got == sorted([(1, k) for k in range(40)] * 2 + [(2, 1)])
