@@ -181,12 +181,12 @@ def pack(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text
     A null or empty text is the end token alone. Repeated rows and null ids are packed like any others; an empty
     table gives no rows. Full pieces are sequences by themselves and take negative ids.
     """
-    pieces = stored(pieces_of(documents_of(docs, id_col, text_col), ranks, pattern, size, added))
+    pieces = stored(pieces_of(documents_of(docs, id_col, text_col), ranks, pattern, size, added).withColumn("nth", F.monotonically_increasing_id()))
     full = pieces.where(F.col("length") == size).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
     short = pieces.where(F.col("length") < size)
     cells = max(64, -(-short.count() // rows_per_cell))
-    short = short.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(cells)))
+    short = short.withColumn("cell", F.pmod(F.xxhash64("nth"), F.lit(cells)))
     counts = short.groupBy("length", "cell").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     bases = stored(counts.select(F.col("length").alias("b_length"), F.col("cell").alias("b_cell"), "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
@@ -203,7 +203,7 @@ def pack(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text
         nth = rank - ranks[at]
         return pd.DataFrame({"sequence_id": bins[at] + nth // each[at], "offset": offsets[at] + nth % each[at] * length})
 
-    within = Window.partitionBy("length", "cell").orderBy("doc_id", "piece", "ids_crc32")
+    within = Window.partitionBy("length", "cell").orderBy("nth")
     ranked = short.withColumn("rank", F.row_number().over(within).cast("long") - 1)
     ranked = ranked.join(bases, (F.col("length") == F.col("b_length")) & (F.col("cell") == F.col("b_cell")))
     ranked = ranked.withColumn("at", place("length", F.col("base") + F.col("rank")))

@@ -3,7 +3,7 @@
 Each document gets a key, the hash of its text, so that equal texts lie side by side. A sample drawn in
 proportion to size gives quantile boundaries of the keys; they cut the documents into many ranges of about equal
 bytes. A range that is overfull, because one text is repeated often or one document is large, is subdivided: each
-heavy key gets a range of its own, or several by document id when the key alone exceeds a shard's share. Ranges
+heavy key gets a range of its own, or several by row number when the key alone exceeds a shard's share. Ranges
 are then dealt to shards, largest first, to the shard with the fewest bytes.
 
 What the driver sees is bounded by the parameters: `ranges` splitters and the sizes of the ranges. Rows move once,
@@ -60,15 +60,16 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         (F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(1)).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
         F.xxhash64("text").alias("key"),
+        F.monotonically_increasing_id().alias("nth"),  # tells repeated rows apart once it is written
     )
     rows = stored(rows)
     spark = docs.sparkSession
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
 
-    # a size-weighted sample: a row comes in with probability size * sample / total, decided by a hash of its id
+    # a size-weighted sample: a row comes in with probability size * sample / total, decided by a hash of its number
     rate = sample / max(total, 1)
     p = F.least(F.lit(1.0), F.col("size") * F.lit(rate))
-    u = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "key"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    u = F.pmod(F.xxhash64(F.lit("sample"), "nth"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     drawn = rows.where(u < p).select("key", (F.col("size") / p).alias("weight"))
     order = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = F.floor(F.sum("weight").over(order) * F.lit(ranges / max(total, 1)))  # the sample is bounded, so one task sorts it
@@ -91,8 +92,8 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         keys = _longs(list(heavy))
         at = f"array_position({keys}, key)"
         first, parts = (_longs([v[i] for v in heavy.values()]) for i in (0, 1))
-        ranged = ranged.withColumn("rid", F.expr(f"CASE WHEN {at} > 0 THEN cast({first}[cast({at} - 1 AS int)] + pmod(xxhash64('part', doc_id), {parts}[cast({at} - 1 AS int)]) AS int) ELSE rid END"))
-    ranged = ranged.withColumn("cell", F.pmod(F.xxhash64(F.lit("cell"), "doc_id"), F.lit(cells)).cast("int"))
+        ranged = ranged.withColumn("rid", F.expr(f"CASE WHEN {at} > 0 THEN cast({first}[cast({at} - 1 AS int)] + pmod(xxhash64('part', nth), {parts}[cast({at} - 1 AS int)]) AS int) ELSE rid END"))
+    ranged = ranged.withColumn("cell", F.pmod(F.xxhash64(F.lit("cell"), "nth"), F.lit(cells)).cast("int"))
 
     # at most (ranges + heavy parts) * cells rows from here on
     per_cell = stored(ranged.groupBy("rid", "cell").agg(F.count("*").alias("n"), F.sum("size").alias("size")))
@@ -103,7 +104,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     before = Window.partitionBy("shard").orderBy("rid", "cell").rowsBetween(Window.unboundedPreceding, -1)
     placed = stored(placed.select(F.col("rid").alias("p_rid"), F.col("cell").alias("p_cell"), "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
 
-    within = Window.partitionBy("rid", "cell").orderBy("key", "doc_id", "text_crc32", "size")
+    within = Window.partitionBy("rid", "cell").orderBy("key", "doc_id", "nth")
     numbered = ranged.withColumn("rank", F.row_number().over(within) - 1)
     return numbered.join(F.broadcast(placed), (F.col("rid") == F.col("p_rid")) & (F.col("cell") == F.col("p_cell"))).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("base") + F.col("rank")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")

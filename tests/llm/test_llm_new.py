@@ -220,3 +220,36 @@ def test_repair_edges(spark):
     assert [tuple(r) for r in got] == [(gone, 0, 0, 0, 0, 0, 0, "", nothing)]
     nulls = conversations.repair(spark.createDataFrame([(None, None, None, None)] * 3, schema)).collect()
     assert [tuple(r) for r in nulls] == [(None, 0, 3, 0, 0, 2, 9, "DDD", nothing)]
+
+
+# repeated rows in bulk
+
+
+def test_sharding_splits_repeated_rows(spark):
+    from echotable.llm import sharding
+
+    rows = [(None, "the same text")] * 3000 + [(k, f"another text {k}") for k in range(1000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    sums, slots = {}, {}
+    for r in got:
+        sums[r["shard"]] = sums.get(r["shard"], 0) + r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(got) == len(rows) and len(sums) == 16 and max(sums.values()) < 1.15 * sum(sums.values()) / 16
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_packing_spreads_repeated_rows(spark):
+    import public_tokenizers
+
+    from echotable.llm import packing
+
+    rows = [(7, "so it goes on")] * 2000 + [(k, "word " * k) for k in range(1, 300)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    bins = {}
+    for r in got:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sum(r["doc_id"] == 7 for r in got) >= 2000
+    for b in bins.values():
+        b.sort()
+        assert b[0][0] == 0 and all(o + n == p for (o, n), (p, _) in zip(b, b[1:], strict=False)) and b[-1][0] + b[-1][1] <= 1024
+    assert len(bins) <= -(-sum(r["length"] for r in got) // 1024) * 11 // 9 + 1
