@@ -85,47 +85,20 @@ def severity(score: Column, coverage: Column) -> Column:
     return out.otherwise(F.when(score >= 3500, "medium").otherwise("low"))
 
 
-def match_words(left: list[tuple[float, float, str]], right: list[tuple[float, float, str]], tolerance: float) -> list[tuple[int, int]]:
-    """One-to-one pairs of equal words: a pointer walks along the right side, and each left word takes the nearest free of three around it."""
-    used, out, j = set(), [], 0
-    for i, (s, e, w) in enumerate(left):
-        while j + 1 < len(right) and right[j][0] < s - tolerance:
-            j += 1
-        best = None
-        for k in (j - 1, j, j + 1):
-            if 0 <= k < len(right) and k not in used and right[k][2] == w:
-                gap = abs(right[k][0] - s) + abs(right[k][1] - e)
-                if abs(right[k][0] - s) <= tolerance and (best is None or gap < best[0]):
-                    best = (gap, k)
-        if best:
-            used.add(best[1])
-            out.append((i, best[1]))
-    return out
-
-
-def word_matches(words: DataFrame, a: str, b: str, tolerance: float = 0.3) -> DataFrame:
-    """Words (audio_hash, model_key, word_start, word_end, word) of two models -> per recording how many match."""
-    left, right = words.where(words.model_key == a), words.where(words.model_key == b)
-
-    def kernel(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        side = lambda p: list(p.sort_values(["word_start", "word_end", "word"])[["word_start", "word_end", "word"]].itertuples(index=False, name=None))
-        n = len(match_words(side(x), side(y), tolerance))
-        key = (x if len(x) else y)["audio_hash"].iloc[0]
-        return pd.DataFrame([(key, len(x), len(y), n)], columns=["audio_hash", "left", "right", "matched"])
-
-    return left.groupBy("audio_hash").cogroup(right.groupBy("audio_hash")).applyInPandas(kernel, "audio_hash string, left long, right long, matched long")
-
-
 def pack_regions(regions: list[tuple[float, float]], most: float = 30.0) -> list[list[tuple[float, float]]]:
-    """Consecutive regions in bins of at most so many seconds of speech. No regions make one empty bin, and a first region beyond the limit leaves one before it."""
-    out: list[list[tuple[float, float]]] = [[]]
-    total = 0.0
-    for s, e in regions:
-        if total + e - s > most:
-            out.append([])
-            total = 0.0
-        out[-1].append((s, e))
-        total += e - s
+    """Consecutive regions in bins of at most so many seconds of speech. No regions make one empty bin, and a first region beyond the limit leaves one before it.
+
+    A bin ends where the running sum of its regions passes the limit; a region beyond the limit is a bin by itself.
+    """
+    seconds = np.array([e - s for s, e in regions])
+    out, at = [], 0
+    if not len(seconds) or seconds[0] > most:
+        out.append([])
+    while at < len(seconds):
+        over = np.flatnonzero(np.cumsum(seconds[at:]) > most)
+        end = at + max(1, int(over[0])) if len(over) else len(seconds)
+        out.append(regions[at:end])
+        at = end
     return out
 
 
@@ -206,30 +179,3 @@ def segments_of_words(words: DataFrame, gap: float, most: float) -> DataFrame:
         return pd.DataFrame([(*r[:3], round(r[3], 6), round(r[4], 6), " ".join(r[5])) for r in rows], columns=["audio_hash", "model_key", "ordinal", "start_sec", "end_sec", "text"])
 
     return words.groupBy("audio_hash", "model_key").applyInPandas(kernel, "audio_hash string, model_key string, ordinal long, start_sec double, end_sec double, text string")
-
-
-def overlap_sweep(a: list[tuple[float, float]], b: list[tuple[float, float]]) -> tuple[float, list[int], list[int]]:
-    """Shared seconds of two lists of spans and how many of the other list each one meets; the span that ends first makes way."""
-    i = j = 0
-    shared, met_a, met_b = 0.0, [0] * len(a), [0] * len(b)
-    while i < len(a) and j < len(b):
-        together = min(a[i][1], b[j][1]) - max(a[i][0], b[j][0])
-        if together > 0:
-            shared, met_a[i], met_b[j] = shared + together, met_a[i] + 1, met_b[j] + 1
-        if a[i][1] <= b[j][1]:
-            i += 1
-        else:
-            j += 1
-    return shared, met_a, met_b
-
-
-def word_overlaps(words: DataFrame, a: str, b: str) -> DataFrame:
-    """Per recording: seconds that words of two models share, and how many words meet none or several of the other's."""
-
-    def kernel(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["word_start", "word_end"])
-        side = lambda m: list(p.loc[p["model_key"] == m, ["word_start", "word_end"]].itertuples(index=False, name=None))
-        shared, met_a, met_b = overlap_sweep(side(a), side(b))
-        return pd.DataFrame([(key[0], shared, sum(n == 0 for n in met_a), sum(n > 1 for n in met_a), sum(n == 0 for n in met_b), sum(n > 1 for n in met_b))], columns=["audio_hash", "shared_sec", "left_none", "left_several", "right_none", "right_several"])
-
-    return words.where(F.col("model_key").isin(a, b)).groupBy("audio_hash").applyInPandas(kernel, "audio_hash string, shared_sec double, left_none long, left_several long, right_none long, right_several long")

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import compatible, query_tokens
+from ..sources.sinks import stored
+
 K1, B = 1.2, 0.75  # the published constants of full-text BM25
 
 
@@ -19,20 +22,14 @@ def lengths(tokens: DataFrame, doc: str) -> DataFrame:
     return tokens.groupBy(doc).agg(F.count("*").alias("length"))
 
 
-def statistics(sizes: DataFrame) -> tuple[int, float]:
-    """Documents and mean length of the whole index, whatever a search allows."""
-    r = sizes.agg(F.count("*"), F.coalesce(F.avg("length"), F.lit(0.0))).first()
-    return r[0], r[1]
-
-
 def bm25(postings: DataFrame, sizes: DataFrame, terms: list[str], doc: str) -> DataFrame:
-    """(doc, score, found) over documents with any of the terms; lower is better. Terms filter the postings before any shuffle."""
-    n, mean = statistics(sizes)
+    """(doc, score, found) over documents with any of the terms; lower is better. Terms filter the postings before any shuffle; the size of the whole index joins as one row."""
     hits = postings.where(F.col("term").isin(terms))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row a query term
-    idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    scored = hits.join(F.broadcast(df), "term").join(sizes, doc)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
+    whole = sizes.agg(F.count("*").cast("double").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean"))
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
+    scored = hits.join(F.broadcast(df), "term").join(sizes, doc).crossJoin(F.broadcast(whole))  # one row
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     return scored.groupBy(doc).agg((-F.sum(part)).alias("score"), F.count("*").alias("found"))
 
 
@@ -114,3 +111,110 @@ def evaluate(hits: DataFrame, targets: DataFrame, cutoffs: list[int]) -> DataFra
     each = targets.select("question").distinct().join(ranks, "question", "left").select("rank", F.explode(F.array(*map(F.lit, cutoffs))).alias("k"))
     hit = F.col("rank") <= F.col("k")
     return each.groupBy("k").agg(F.count("*").alias("questions"), F.avg(F.when(hit, 1.0).otherwise(0.0)).alias("recall"), F.avg(F.when(hit, 1.0 / F.col("rank")).otherwise(0.0)).alias("mrr"))
+
+
+# searches for many queries at once
+
+MODES = ("all", "any", "prefix", "phrase")
+
+
+def built(queries: DataFrame) -> DataFrame:
+    """queries (query, mode, text) -> query, mode, i, term: the words of a query, 32 at most, of two characters or more where they are beginnings.
+
+    A query without words, of a null text or of another mode than MODES has none, and finds nothing.
+    """
+    words = query_tokens(compatible("text"))
+    words = F.when(F.col("mode") == "prefix", F.filter(words, lambda w: F.length(w) >= 2)).otherwise(words)
+    return queries.where(F.col("mode").isin(*MODES)).select("query", "mode", F.posexplode(words).alias("i", "term"))
+
+
+def matches(queries: DataFrame, tokens: DataFrame, doc: str) -> DataFrame:
+    """queries as for `built`, tokens (doc, pos, term) -> query, unit, doc, tf: how often each unit of a query stands in a document.
+
+    A unit is a word, a beginning, or the whole phrase of a query. Beginnings are looked up among the distinct words of the index, by the
+    lengths that the queries have.
+    """
+    terms = stored(built(queries).withColumnRenamed("term", "wanted"))
+    starts = terms.where("mode = 'prefix'")
+    lengths_there = starts.agg(F.collect_set(F.length("wanted")).alias("lengths"))  # one row, of as many numbers as there are lengths of beginnings
+    words = tokens.select("term").distinct().crossJoin(F.broadcast(lengths_there))
+    words = words.select("term", F.explode(F.filter("lengths", lambda n: n <= F.length("term"))).alias("n")).select("term", F.substring("term", F.lit(1), F.col("n")).alias("start"))
+    by_start = words.join(starts, F.col("start") == F.col("wanted")).select("query", "mode", "i", "term")
+    sought = terms.where("mode <> 'prefix'").select("query", "mode", "i", F.col("wanted").alias("term")).unionByName(by_start).withColumnRenamed("term", "t")
+    at = tokens.join(sought, F.col("term") == F.col("t")).select("query", "mode", "i", doc, "pos")
+    n = terms.where("mode = 'phrase'").groupBy(F.col("query").alias("q")).agg(F.count("*").alias("n"))
+    runs = at.where("mode = 'phrase'").groupBy("query", doc, (F.col("pos") - F.col("i")).alias("start")).agg(F.count("*").alias("met"))
+    runs = runs.join(n, F.col("query") == F.col("q")).where("met = n").select("query", F.lit(0).alias("unit"), doc)
+    return at.where("mode <> 'phrase'").select("query", F.col("i").alias("unit"), doc).unionByName(runs).groupBy("query", "unit", doc).agg(F.count("*").alias("tf"))
+
+
+def found(queries: DataFrame, tokens: DataFrame, doc: str, eligible: DataFrame | None = None) -> DataFrame:
+    """query, doc, score, total: the documents that each query finds, the best with the lowest score, and how many of them there are.
+
+    All units must be there, or any in mode `any`. The score is BM25 of full-text search: a unit in half of the documents or more weighs next to nothing. Weights
+    come from all documents; `eligible` (doc) then says which may be found, and total counts those.
+    """
+    units = stored(matches(queries, tokens, doc))
+    sizes = lengths(tokens, doc)
+    whole = sizes.agg(F.count("*").cast("double").alias("docs"), F.avg("length").alias("mean"))
+    df = units.groupBy(F.col("query").alias("dq"), F.col("unit").alias("du")).agg(F.count("*").alias("df"))
+    need = built(queries).groupBy(F.col("query").alias("nq"), "mode").agg(F.count("*").alias("__n")).select("nq", F.when(F.col("mode").isin("any", "phrase"), 1).otherwise(F.col("__n")).alias("need"))
+    hits = units.join(eligible.select(F.col(doc).alias("__e")).distinct(), F.col(doc) == F.col("__e"), "left_semi") if eligible is not None else units
+    scored = hits.join(df, (F.col("query") == F.col("dq")) & (F.col("unit") == F.col("du"))).join(sizes, doc).crossJoin(F.broadcast(whole))  # one row
+    idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    out = scored.groupBy("query", doc).agg((-F.sum(part)).alias("score"), F.count("*").alias("met")).join(need, F.col("query") == F.col("nq")).where("met >= need")
+    totals = out.groupBy(F.col("query").alias("tq")).agg(F.count("*").alias("total"))
+    return out.select("query", doc, "score").join(totals, F.col("query") == F.col("tq")).drop("tq")
+
+
+def fetched(scored: DataFrame, allowed: Column, order: list[Column], limit: int, top_k: int, most: int = 1000) -> DataFrame:
+    """scored (query, ...) -> the allowed hits of each query among the best `fetched`, with rank among all, nth among the allowed, and `complete`.
+
+    A search takes max(top_k, limit) hits and, while fewer than `limit` of those taken are allowed and there may be more, twice as many, up to four times the
+    first number and `most`. One ranking gives what all these steps would: Spark keeps the last step's number for each query in each partition before it shuffles.
+    complete: `limit` hits are there, or the query has no hit that wasn't taken.
+    """
+    first = max(top_k, limit)
+    steps = [first]
+    last = max(first, min(most, 4 * first))
+    while steps[-1] < last:
+        steps.append(min(last, 2 * steps[-1]))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("rank") <= last)
+    ranked = ranked.withColumn("__ok", F.coalesce(allowed, F.lit(False)))
+    ok_in = [F.count(F.when(F.col("__ok") & (F.col("rank") <= k), 1)) for k in steps]
+    n = F.count("*")
+    taken = F.coalesce(*[F.when((ok >= limit) | (n < k), F.lit(k)) for k, ok in zip(steps, ok_in, strict=True)], F.lit(last))
+    per = ranked.groupBy(F.col("query").alias("__q")).agg(taken.alias("fetched"), ((ok_in[-1] >= limit) | (n < last)).alias("complete"))
+    out = ranked.join(per, F.col("query") == F.col("__q")).where(F.col("__ok") & (F.col("rank") <= F.col("fetched")))
+    out = out.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy("rank"))).where(F.col("nth") <= limit)
+    return out.drop("__ok", "__q")
+
+
+def in_context(hits: DataFrame, chunks: DataFrame, key: str, ordinal: str, text: str, n: int) -> DataFrame:
+    """hits with `context`: the texts of their chunk and of up to n before and after it in the same recording, parted by blank lines, and `neighbours`, how many those are.
+
+    hits need the columns key and ordinal; each place beside a hit is joined by equality. A hit without a chunk drops out.
+    """
+    h = hits.withColumn("__id", F.monotonically_increasing_id())
+    at = h.select("__id", F.col(key).alias("__k"), F.explode(F.sequence(F.col(ordinal) - n, F.col(ordinal) + n)).alias("__o"), F.col(ordinal).alias("__own"))
+    near = at.join(chunks.select(F.col(key).alias("__ck"), F.col(ordinal).alias("__co"), F.col(text).alias("__t")), (F.col("__k") == F.col("__ck")) & (F.col("__o") == F.col("__co")))
+    parts = F.sort_array(F.collect_list(F.struct("__o", "__t")))  # 2 n + 1 at most
+    joined = near.groupBy(F.col("__id").alias("__of")).agg(F.array_join(F.filter(parts["__t"], lambda t: F.trim(t) != ""), "\n\n").alias("context"), (F.count("*") - 1).alias("neighbours"), F.max(F.col("__o") == F.col("__own")).alias("__there"))
+    return h.join(joined.where("__there"), F.col("__id") == F.col("__of")).drop("__id", "__of", "__there")
+
+
+def target_rank(hits: DataFrame, targets: DataFrame) -> DataFrame:
+    """question, exact, audio: the best rank at which a hit (question, rank, chunk_id, audio_hash, start_sec, end_sec) meets a target (question, chunk_id, audio_hash, start_sec, end_sec) of its question, and at which it meets its recording.
+
+    A target with a chunk id is met by that chunk; one with a recording alone by any of its chunks, one with a time span as well by those that
+    share time with it. A question without a hit on target has nulls.
+    """
+    t = targets.select(F.col("question").alias("tq"), F.col("chunk_id").alias("t_chunk"), F.col("audio_hash").alias("t_hash"), F.col("start_sec").alias("t_start"), F.col("end_sec").alias("t_end"))
+    j = hits.join(t, F.col("question") == F.col("tq"))
+    spanless = F.col("t_start").isNull() | F.col("t_end").isNull()
+    shares = (F.least("end_sec", "t_end") - F.greatest("start_sec", "t_start")) > 0
+    same = F.coalesce(F.col("audio_hash") == F.col("t_hash"), F.lit(False))
+    exact = F.when(F.col("t_chunk").isNotNull(), F.col("chunk_id") == F.col("t_chunk")).otherwise(same & (spanless | shares))
+    best = j.groupBy("question").agg(F.min(F.when(exact, F.col("rank"))).alias("exact"), F.min(F.when(same, F.col("rank"))).alias("audio"))
+    return targets.select("question").distinct().join(best, "question", "left")

@@ -94,12 +94,6 @@ def repetition_scores(spark, d):
     return kernels.scores(kernels.repetitions(t)).join(n, F.col("doc_id") == F.col("id")).withColumn("severity", kernels.severity(F.col("score"), F.col("covered") / F.col("chars"))).select("doc_id", "score", "findings", "severity")
 
 
-@query()
-def word_match_pairs(spark, d):
-    w = tr.interpolated_words(seg(spark, d).withColumn("text", F.col("full_text")))
-    return kernels.word_matches(w, "user", "assistant", 2.0)
-
-
 @query()
 def review_spans(spark, d):
     return kernels.spans_of_segments(seg(spark, d))

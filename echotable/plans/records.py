@@ -338,8 +338,3 @@ def search_filters(spark, d):
 def segments_from_words(spark, d):
     w = tr.interpolated_words(seg(spark, d).where("model_key = 'assistant'"))
     return kernels.segments_of_words(w, 1.0, 12.0).withColumn("text", F.sha2("text", 256))
-
-
-@query()
-def word_overlaps(spark, d):
-    return kernels.word_overlaps(tr.interpolated_words(seg(spark, d)), "user", "assistant").withColumn("shared_sec", F.round("shared_sec", 6))

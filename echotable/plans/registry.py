@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, language, records, repeats, retrieval, transcripts
+from . import archive, language, records, repeats, retrieval, transcripts, upkeep
 
-MODULES = [transcripts, archive, retrieval, language, records, repeats]
+MODULES = [transcripts, archive, retrieval, language, records, repeats, upkeep]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

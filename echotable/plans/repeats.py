@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import alignment as al
 from ..operators import repeats as rp
 from ..sources.adapters import TAKES, read, takes
 
@@ -131,3 +132,36 @@ def repetition_confidence(spark, d):
 @query()
 def patch_candidates(spark, d):
     return rp.patch_candidates(takes(spark, d), [R])
+
+
+# words of two models
+
+
+def _timed(spark, d):
+    """The words of all takes, evenly timed over their segment."""
+    t = takes(spark, d).where("end_sec > start_sec").withColumn("ws", F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)))
+    w = t.select(R, "model_key", "start_sec", ((F.col("end_sec") - F.col("start_sec")) / F.nullif(F.size("ws"), F.lit(0))).alias("step"), F.posexplode("ws").alias("i", "word"))
+    return w.select(R, "model_key", "word", (F.col("start_sec") + F.col("step") * F.col("i")).alias("word_start"), (F.col("start_sec") + F.col("step") * (F.col("i") + 1)).alias("word_end"))
+
+
+WORDS = """wl AS (SELECT audio_hash, model_key, start_sec, end_sec, regexp_extract_all(text, '\\S+') AS ws FROM takes WHERE end_sec > start_sec),
+ wt AS (SELECT audio_hash, model_key, start_sec, (end_sec - start_sec) / len(ws) AS step, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM wl WHERE len(ws) > 0),
+ wo AS (SELECT audio_hash, model_key, word, start_sec + step * i AS s, start_sec + step * (i + 1) AS e FROM wt),
+ wa AS (SELECT *, row_number() OVER (PARTITION BY audio_hash ORDER BY s, e, word) - 1 AS n FROM wo WHERE model_key = 'plain'),
+ wb AS (SELECT *, row_number() OVER (PARTITION BY audio_hash ORDER BY s, e, word) - 1 AS n FROM wo WHERE model_key = 'lossy')"""
+# word by word, with the words taken so far
+GREEDY = """ct AS (SELECT * FROM (SELECT audio_hash, n, b, sum(b) OVER (PARTITION BY audio_hash ORDER BY t, b ROWS UNBOUNDED PRECEDING) AS j FROM (SELECT audio_hash, n, 0 AS b, s - 0.15 AS t FROM wa UNION ALL SELECT audio_hash, NULL, 1, s FROM wb)) WHERE b = 0),
+ cd AS (SELECT wa.audio_hash, wa.n, list({'score': abs(wa.s - wb.s) + abs(wa.e - wb.e), 'k': wb.n, 'same': (trim(lower(wa.word), '.,!?"''„():;[]{}<>…-–—') = trim(lower(wb.word), '.,!?"''„():;[]{}<>…-–—'))::INT}) AS cs FROM wa JOIN ct ON ct.audio_hash = wa.audio_hash AND ct.n = wa.n JOIN (SELECT *, unnest([n - 1, n, n + 1]) AS at_j FROM wb) wb ON wb.audio_hash = wa.audio_hash AND at_j = j AND abs(wa.s - wb.s) <= 0.15 AND abs(wa.e - wb.e) <= 0.15 GROUP BY ALL),
+ ix AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY audio_hash ORDER BY n) AS r FROM cd),
+ st AS (SELECT DISTINCT audio_hash, 0::BIGINT AS r, []::BIGINT[] AS used, 0::BIGINT AS m, 0::BIGINT AS same FROM wo
+  UNION ALL SELECT audio_hash, r, CASE WHEN best IS NULL THEN used ELSE list_append(list_filter(used, lambda u: u >= best.k - 3), best.k) END, m + (best IS NOT NULL)::BIGINT, same + coalesce(best.same, 0) FROM (SELECT st.audio_hash, ix.r, used, m, same, list_min(list_filter(cs, lambda c: NOT list_contains(used, c.k))) AS best FROM st JOIN ix ON ix.audio_hash = st.audio_hash AND ix.r = st.r + 1))"""
+
+
+@query(_with(TAKES, WORDS, GREEDY).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT audio_hash, (SELECT count(*) FROM wa WHERE wa.audio_hash = x.audio_hash) AS \"left\", (SELECT count(*) FROM wb WHERE wb.audio_hash = x.audio_hash) AS \"right\", max(m) AS matched, max(same) AS text_matched FROM st x WHERE audio_hash IN (SELECT audio_hash FROM wo WHERE model_key <> 'stutter') GROUP BY audio_hash")
+def word_match_pairs(spark, d):
+    return al.word_matches(_timed(spark, d), "plain", "lossy", 0.15)
+
+
+@query(_with(TAKES, WORDS, "pr AS (SELECT wa.audio_hash, wa.n AS x, wb.n AS y, least(wa.e, wb.e) - greatest(wa.s, wb.s) AS sec FROM wa JOIN wb ON wa.audio_hash = wb.audio_hash AND wa.s < wb.e AND wb.s < wa.e)") + """SELECT k.audio_hash, round(coalesce((SELECT sum(sec) FROM pr WHERE pr.audio_hash = k.audio_hash), 0), 6) AS shared_sec, """ + ", ".join(f"(SELECT count(*) FILTER ({cond}) FROM {w} LEFT JOIN (SELECT audio_hash AS h, {c}, count(*) AS met FROM pr GROUP BY ALL) ON h = {w}.audio_hash AND {c} = {w}.n WHERE {w}.audio_hash = k.audio_hash) AS {name}" for name, w, c, cond in (("left_none", "wa", "x", "met IS NULL"), ("left_several", "wa", "x", "met > 1"), ("right_none", "wb", "y", "met IS NULL"), ("right_several", "wb", "y", "met > 1"))) + " FROM (SELECT DISTINCT audio_hash FROM wo WHERE model_key <> 'stutter') k")
+def word_overlaps(spark, d):
+    return al.word_overlaps(_timed(spark, d), "plain", "lossy").withColumn("shared_sec", F.round("shared_sec", 6))

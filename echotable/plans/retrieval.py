@@ -125,3 +125,64 @@ def speaker_cluster_spread(spark, d):
     p = stored(sp.pool(speaker_vec(spark, d), ["speaker", "file_id"]))
     c = sp.clusters(p.withColumn("scope", F.lit(0).cast("long")), "scope", cut=0.8).drop("scope")
     return sp.spread(p.join(c, ["file_id", "speaker"]), ["cluster"]).withColumns({x: F.round(x, 5) for x in ("least", "mean", "most")})
+
+
+# searches for many queries: the first words of the turns of every fiftieth conversation, in the four modes, over all turns
+
+TURN = r"""turns AS (SELECT conv_id * 1000 + turn AS chunk_id, conv_id, turn::BIGINT AS turn, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM conversations),
+ tok AS (SELECT chunk_id, unnest(ws) AS term, generate_subscripts(ws, 1) - 1 AS pos FROM turns),
+ qs AS (SELECT chunk_id AS query, ['all', 'any', 'prefix', 'phrase'][1 + turn % 4] AS mode, CASE WHEN turn % 4 = 2 THEN [x[1:3] for x in ws[1:2] if length(x) >= 2] ELSE ws[1:2] END AS terms FROM turns WHERE conv_id % 50 = 0),
+ qt AS (SELECT query, mode, unnest(terms) AS term, generate_subscripts(terms, 1) - 1 AS i FROM qs),
+ un AS (SELECT query, i AS unit, chunk_id, count(*) AS tf FROM qt JOIN tok ON CASE WHEN mode = 'prefix' THEN starts_with(tok.term, qt.term) ELSE tok.term = qt.term END WHERE mode <> 'phrase' GROUP BY ALL
+  UNION ALL SELECT query, 0, chunk_id, count(*) FROM (SELECT query, chunk_id, pos - i AS start, count(*) AS met FROM qt JOIN tok ON tok.term = qt.term WHERE mode = 'phrase' GROUP BY ALL) r JOIN (SELECT query AS q, count(*) AS n FROM qt GROUP BY query) k ON q = query AND met = n GROUP BY query, chunk_id),
+ wh AS (SELECT count(*)::DOUBLE AS docs, avg(n) AS mean FROM (SELECT count(*) AS n FROM tok GROUP BY chunk_id)),
+ sz AS (SELECT chunk_id, count(*) AS length FROM tok GROUP BY chunk_id),
+ df AS (SELECT query, unit, count(*) AS df FROM un GROUP BY ALL),
+ sc AS (SELECT query, chunk_id, -sum(greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score, count(*) AS met FROM un JOIN df USING (query, unit) JOIN sz USING (chunk_id) CROSS JOIN wh WHERE chunk_id % 5 <> 0 GROUP BY query, chunk_id),
+ fd AS (SELECT query, chunk_id, round(score, 6) AS score, count(*) OVER (PARTITION BY query) AS total FROM sc JOIN (SELECT query, mode, count(*) AS n FROM qt GROUP BY ALL) USING (query) WHERE met >= CASE WHEN mode IN ('any', 'phrase') THEN 1 ELSE n END)"""
+
+
+def _found(spark, d):
+    t = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), "conv_id", F.col("turn").cast("long").alias("turn"), "text")
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    tokens = t.select("chunk_id", F.posexplode(words).alias("pos", "term"))
+    some = F.slice(words, 1, 2)
+    mode = F.element_at(F.array(*map(F.lit, sr.MODES)), (F.col("turn") % 4 + 1).cast("int"))
+    queries = t.where("conv_id % 50 = 0").select(F.col("chunk_id").alias("query"), mode.alias("mode"), F.array_join(F.when(F.col("turn") % 4 == 2, F.transform(some, lambda x: F.substring(x, 1, 3))).otherwise(some), " ").alias("text"))
+    return sr.found(queries, tokens, "chunk_id", t.where("chunk_id % 5 <> 0")).withColumn("score", F.round("score", 6)), t
+
+
+@query(_with(TURN) + "SELECT * FROM fd")
+def lexical_search(spark, d):
+    return _found(spark, d)[0]
+
+
+CONTEXT = "cx AS (SELECT query, s.chunk_id, s.total, nth, string_agg(t.text, chr(10) || chr(10) ORDER BY t.turn) FILTER (trim(t.text) <> '') AS context, count(*) - 1 AS neighbours FROM sel s JOIN turns o ON o.chunk_id = s.chunk_id JOIN turns t ON t.conv_id = o.conv_id AND t.turn BETWEEN o.turn - 1 AND o.turn + 1 GROUP BY ALL)"
+
+
+@query(_with(TURN, "cp AS (SELECT *, row_number() OVER (PARTITION BY query, chunk_id // 1000 ORDER BY score, chunk_id) AS mine FROM fd)", "rk AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score, chunk_id) AS nth FROM cp WHERE mine <= 2)", "sel AS (SELECT * FROM rk WHERE nth <= 5)", CONTEXT) + "SELECT query, chunk_id, total, nth, sha256(coalesce(context, '')) AS context_sha256, neighbours FROM cx")
+def lexical_results(spark, d):
+    hits, turns = _found(spark, d)
+    hits = hits.withColumn("conv_id", F.floor(F.col("chunk_id") / 1000)).withColumn("qc", F.struct("query", "conv_id"))
+    order = [F.col("score"), F.col("chunk_id")]
+    best = sr.capped(sr.capped(hits, "qc", order, 2).drop("nth", "qc"), "query", order, 5).withColumn("turn", F.col("chunk_id") % 1000)
+    out = sr.in_context(best, turns, "conv_id", "turn", "text", 1)
+    return out.select("query", "chunk_id", "total", F.col("nth").cast("long").alias("nth"), F.sha2("context", 256).alias("context_sha256"), "neighbours")
+
+
+@query(_with(SPEAKER_VEC, "q AS (SELECT vec_id AS query, vector AS qv FROM speaker_vec WHERE vec_id % 50 = 0)", "s AS (SELECT query, vec_id, speaker, round(list_dot_product(qv, vector), 9) AS score FROM speaker_vec JOIN q ON vec_id <> query)", "r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM s)", "c AS (SELECT query, count(*) FILTER (speaker % 4 = 1 AND rank <= 8) AS a, count(*) FILTER (speaker % 4 = 1 AND rank <= 16) AS b, count(*) FILTER (speaker % 4 = 1 AND rank <= 32) AS c, count(*) AS n FROM r GROUP BY query)", "f AS (SELECT query, CASE WHEN a >= 5 OR n < 8 THEN 8 WHEN b >= 5 OR n < 16 THEN 16 ELSE 32 END::BIGINT AS fetched, c >= 5 OR n < 32 AS complete FROM c)", "g AS (SELECT r.query, vec_id, rank, fetched, complete, row_number() OVER (PARTITION BY r.query ORDER BY rank) AS nth FROM r JOIN f ON f.query = r.query WHERE rank <= fetched AND speaker % 4 = 1)") + "SELECT query, vec_id, rank, fetched, complete, nth FROM g WHERE nth <= 5")
+def filtered_search(spark, d):
+    v = speaker_vec(spark, d)
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("vector").alias("qv"))
+    hits = sr.in_blocks(q, v, "query", "vec_id").where("vec_id <> query").select("query", "vec_id", "speaker", F.round(sp.dot("qv", "vector"), 9).alias("score"))
+    out = sr.fetched(hits, F.col("speaker") % 4 == 1, [F.desc("score"), F.col("vec_id")], 5, 8)
+    return out.select("query", "vec_id", F.col("rank").cast("long").alias("rank"), F.col("fetched").cast("long").alias("fetched"), "complete", F.col("nth").cast("long").alias("nth"))
+
+
+@query(_with(TURN, "rk AS (SELECT query, chunk_id, row_number() OVER (PARTITION BY query ORDER BY score, chunk_id) AS rank FROM fd)", "h AS (SELECT query AS question, rank, chunk_id, chunk_id // 1000 AS conv, (chunk_id % 1000) * 5.0::DOUBLE AS s, (chunk_id % 1000) * 5.0::DOUBLE + 7 AS e FROM rk WHERE rank <= 20)", "t AS (SELECT query AS question, CASE WHEN query % 3 = 0 THEN query + 1 END AS t_chunk, query // 1000 AS t_conv, CASE WHEN query % 3 = 1 THEN 4.0::DOUBLE END AS ts, CASE WHEN query % 3 = 1 THEN 8.0::DOUBLE END AS te FROM qs)") + "SELECT t.question, min(rank) FILTER (CASE WHEN t_chunk IS NOT NULL THEN chunk_id = t_chunk ELSE conv = t_conv AND (ts IS NULL OR least(e, te) > greatest(s, ts)) END) AS exact, min(rank) FILTER (conv = t_conv) AS audio FROM t LEFT JOIN h ON h.question = t.question GROUP BY t.question")
+def target_ranks(spark, d):
+    hits, turns = _found(spark, d)
+    turn, c = F.col("chunk_id") % 1000, F.col("chunk_id")
+    h = sr.capped(hits, "query", [F.col("score"), c], 20).select(F.col("query").alias("question"), F.col("nth").cast("long").alias("rank"), "chunk_id", F.floor(c / 1000).alias("audio_hash"), (turn * 5.0).alias("start_sec"), (turn * 5.0 + 7).alias("end_sec"))
+    t = turns.where("conv_id % 50 = 0").select(c.alias("question"), F.when(c % 3 == 0, c + 1).alias("chunk_id"), F.col("conv_id").alias("audio_hash"), F.when(c % 3 == 1, 4.0).alias("start_sec"), F.when(c % 3 == 1, 8.0).alias("end_sec"))
+    return sr.target_rank(h, t)

@@ -54,12 +54,6 @@ def test_split_at_gaps_covers_all_in_order():
         assert all(j - i == 1 or spans[j - 1][1] - spans[i][0] <= 30 for i, j in runs)
 
 
-def test_match_words_is_one_to_one():
-    left = [(0.0, 0.4, "a"), (0.5, 0.9, "a"), (1.0, 1.4, "b")]
-    right = [(0.1, 0.5, "a"), (1.1, 1.5, "b")]
-    assert kernels.match_words(left, right, 0.3) == [(0, 0), (2, 1)]
-
-
 def test_sentences():
     assert kernels.sentence_stats([(0, 1, "Hi."), (1, 2, "you"), (4, 5, "there")]) == (3, 3)
 
@@ -283,9 +277,7 @@ def test_severity_ladder(spark):
     assert got == ["none", "high", "high", "medium", "medium", "low", "medium", "low", "medium", "low"]
 
 
-def test_overlap_sweep_and_word_segments(spark):
-    assert kernels.overlap_sweep([(0, 2), (3, 4)], [(1, 3.5), (5, 6)]) == (1.5, [1, 1], [2, 0])
-    assert kernels.overlap_sweep([], [(0, 1)]) == (0.0, [], [0])
+def test_word_segments(spark):
     words = [("a", "m", 0, i, w, s, s + 0.4) for i, (w, s) in enumerate([("one", 0.0), ("two", 0.5), ("far", 3.0), ("last", 3.5)])]
     df = spark.createDataFrame(words, "audio_hash string, model_key string, seg_idx long, i long, word string, word_start double, word_end double")
     got = [(r["start_sec"], r["end_sec"], r["text"]) for r in kernels.segments_of_words(df, 1.0, 30.0).orderBy("ordinal").collect()]
