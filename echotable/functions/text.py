@@ -84,12 +84,22 @@ def folded(text: pd.Series) -> pd.Series:
     return text.map(lambda t: " ".join(w for x in unicodedata.normalize("NFKC", t).casefold().split() if (w := _MARKS.sub("", x))), na_action="ignore")
 
 
-def distance(a: list, b: list) -> int:
+def distance(a: list | str, b: list | str) -> int:
     """Levenshtein distance of two sequences, a whole column of the table at once.
 
     Neighbouring cells of a column differ by -1, 0 or 1. Two integers with a bit for each item of a hold where they rise
     and where they fall (Myers 1999, Hyyrö 2003), so an item of b costs a handful of operations on long integers.
     """
+    start, end = 0, 0
+    for x, y in zip(a, b):  # noqa: B905  equal ends cost nothing
+        if x != y:
+            break
+        start += 1
+    for x, y in zip(reversed(a[start:]), reversed(b[start:])):  # noqa: B905
+        if x != y:
+            break
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
     if not a or not b:
         return len(a) + len(b)
     where: dict = {}
@@ -113,6 +123,12 @@ def word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([distance((x or "").split(), (y or "").split()) for x, y in zip(a, b, strict=True)])
 
 
+@F.pandas_udf(T.LongType())
+def char_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Levenshtein distance of texts by code points; null where either is null."""
+    return pd.Series([None if x is None or y is None else distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """The ratio of matching blocks; the order of the two matters."""

@@ -16,7 +16,7 @@ def errors(df: DataFrame, reference: str, hypothesis: str) -> DataFrame:
     for name, f in (("raw", lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))), ("norm", tx.asr_normal)):
         r, h = f(F.col(reference)), f(F.col(hypothesis))
         words = F.when(r == "", 0).otherwise(F.size(F.split(r, " ")))
-        df = df.withColumns({f"{name}_word_errors": tx.word_distance(r, h), f"{name}_words": words.cast("long"), f"{name}_char_errors": F.levenshtein(r, h).cast("long"), f"{name}_chars": F.length(r).cast("long")})
+        df = df.withColumns({f"{name}_word_errors": tx.word_distance(r, h), f"{name}_words": words.cast("long"), f"{name}_char_errors": tx.char_distance(r, h), f"{name}_chars": F.length(r).cast("long")})
     return df
 
 

@@ -207,14 +207,14 @@ def in_context(hits: DataFrame, chunks: DataFrame, key: str, ordinal: str, text:
 def target_rank(hits: DataFrame, targets: DataFrame) -> DataFrame:
     """question, exact, audio: the best rank at which a hit (question, rank, chunk_id, audio_hash, start_sec, end_sec) meets a target (question, chunk_id, audio_hash, start_sec, end_sec) of its question, and at which it meets its recording.
 
-    A target with a chunk id is met by that chunk; one with a recording alone by any of its chunks, one with a time span as well by those that
-    share time with it. A question without a hit on target has nulls.
+    A target is met by its chunk, if it names one; if it names a recording, by any of its chunks, or, with a time span, by those that share time
+    with it. A question without a hit on target has nulls.
     """
     t = targets.select(F.col("question").alias("tq"), F.col("chunk_id").alias("t_chunk"), F.col("audio_hash").alias("t_hash"), F.col("start_sec").alias("t_start"), F.col("end_sec").alias("t_end"))
     j = hits.join(t, F.col("question") == F.col("tq"))
     spanless = F.col("t_start").isNull() | F.col("t_end").isNull()
     shares = (F.least("end_sec", "t_end") - F.greatest("start_sec", "t_start")) > 0
     same = F.coalesce(F.col("audio_hash") == F.col("t_hash"), F.lit(False))
-    exact = F.when(F.col("t_chunk").isNotNull(), F.col("chunk_id") == F.col("t_chunk")).otherwise(same & (spanless | shares))
+    exact = F.coalesce(F.col("chunk_id") == F.col("t_chunk"), F.lit(False)) | (same & (spanless | shares))
     best = j.groupBy("question").agg(F.min(F.when(exact, F.col("rank"))).alias("exact"), F.min(F.when(same, F.col("rank"))).alias("audio"))
     return targets.select("question").distinct().join(best, "question", "left")

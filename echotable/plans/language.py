@@ -47,7 +47,7 @@ ASCII = "translate(text, 'éèêëàâçôûùîïöäüßñóíáúÉÈÊÀÇÔ
 def asr_character_errors(spark, d):
     x = F.regexp_replace(F.translate("text", "éèêëàâçôûùîïöäüßñóíáúÉÈÊÀÇÔÖÄÜÑÓÍÁÚ", "eeeeaacouuiioausnoiauEEEACOOAUNOIAU"), r"[^\x20-\x7E]", "")
     t = read(spark, d, "conversations").select("role", x.alias("x")).withColumn("y", F.replace("x", F.lit("th"), F.lit("z")))
-    t = t.withColumns({"errors": F.levenshtein("x", "y"), "chars": F.length("x")})
+    t = t.withColumns({"errors": tx.char_distance("x", "y"), "chars": F.length("x")})
     return t.groupBy("role").agg(F.count("*").alias("n"), F.sum("errors").alias("errors"), F.sum("chars").alias("chars"), asr.rate("errors", "chars").alias("cer"))
 
 

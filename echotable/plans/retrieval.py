@@ -179,10 +179,10 @@ def filtered_search(spark, d):
     return out.select("query", "vec_id", F.col("rank").cast("long").alias("rank"), F.col("fetched").cast("long").alias("fetched"), "complete", F.col("nth").cast("long").alias("nth"))
 
 
-@query(_with(TURN, "rk AS (SELECT query, chunk_id, row_number() OVER (PARTITION BY query ORDER BY score, chunk_id) AS rank FROM fd)", "h AS (SELECT query AS question, rank, chunk_id, chunk_id // 1000 AS conv, (chunk_id % 1000) * 5.0::DOUBLE AS s, (chunk_id % 1000) * 5.0::DOUBLE + 7 AS e FROM rk WHERE rank <= 20)", "t AS (SELECT query AS question, CASE WHEN query % 3 = 0 THEN query + 1 END AS t_chunk, query // 1000 AS t_conv, CASE WHEN query % 3 = 1 THEN 4.0::DOUBLE END AS ts, CASE WHEN query % 3 = 1 THEN 8.0::DOUBLE END AS te FROM qs)") + "SELECT t.question, min(rank) FILTER (CASE WHEN t_chunk IS NOT NULL THEN chunk_id = t_chunk ELSE conv = t_conv AND (ts IS NULL OR least(e, te) > greatest(s, ts)) END) AS exact, min(rank) FILTER (conv = t_conv) AS audio FROM t LEFT JOIN h ON h.question = t.question GROUP BY t.question")
+@query(_with(TURN, "rk AS (SELECT query, chunk_id, row_number() OVER (PARTITION BY query ORDER BY score, chunk_id) AS rank FROM fd)", "h AS (SELECT query AS question, rank, chunk_id, chunk_id // 1000 AS conv, (chunk_id % 1000) * 5.0::DOUBLE AS s, (chunk_id % 1000) * 5.0::DOUBLE + 7 AS e FROM rk WHERE rank <= 20)", "t AS (SELECT query AS question, CASE WHEN query % 3 = 0 THEN query + 1 END AS t_chunk, CASE WHEN query % 3 <> 0 THEN query // 1000 END AS t_conv, CASE WHEN query % 3 = 1 THEN 4.0::DOUBLE END AS ts, CASE WHEN query % 3 = 1 THEN 8.0::DOUBLE END AS te FROM qs)") + "SELECT t.question, min(rank) FILTER (chunk_id = t_chunk OR (conv = t_conv AND (ts IS NULL OR least(e, te) > greatest(s, ts)))) AS exact, min(rank) FILTER (conv = t_conv) AS audio FROM t LEFT JOIN h ON h.question = t.question GROUP BY t.question")
 def target_ranks(spark, d):
     hits, turns = _found(spark, d)
     turn, c = F.col("chunk_id") % 1000, F.col("chunk_id")
     h = sr.capped(hits, "query", [F.col("score"), c], 20).select(F.col("query").alias("question"), F.col("nth").cast("long").alias("rank"), "chunk_id", F.floor(c / 1000).alias("audio_hash"), (turn * 5.0).alias("start_sec"), (turn * 5.0 + 7).alias("end_sec"))
-    t = turns.where("conv_id % 50 = 0").select(c.alias("question"), F.when(c % 3 == 0, c + 1).alias("chunk_id"), F.col("conv_id").alias("audio_hash"), F.when(c % 3 == 1, 4.0).alias("start_sec"), F.when(c % 3 == 1, 8.0).alias("end_sec"))
+    t = turns.where("conv_id % 50 = 0").select(c.alias("question"), F.when(c % 3 == 0, c + 1).alias("chunk_id"), F.when(c % 3 != 0, F.col("conv_id")).alias("audio_hash"), F.when(c % 3 == 1, 4.0).alias("start_sec"), F.when(c % 3 == 1, 8.0).alias("end_sec"))
     return sr.target_rank(h, t)
