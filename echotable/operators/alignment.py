@@ -38,7 +38,7 @@ def matched(words: DataFrame, keys: list[str], a: str, b: str, tolerance: float
     """keys, a_nth, b_nth, score, same: one-to-one pairs, the words of a in order taking the free candidate of the least score, of equal ones the earlier.
 
     Words of a that no other word can take a candidate from are settled as they are. The others are runs of neighbours whose candidates touch;
-    only within such a run does the order count, so a run is what one task looks at.
+    only within such a run does the order count, so some runs are what one task looks at.
     """
     found = candidates(words, keys, a, b, tolerance)
     order = Window.partitionBy(*keys).orderBy("a_nth")
@@ -63,7 +63,8 @@ def matched(words: DataFrame, keys: list[str], a: str, b: str, tolerance: float
                 done = x
         return p.iloc[keep][[*keys, "a_nth", "b_nth", "score", "same"]]
 
-    others = found.where("size > 1").groupBy(*keys, "run").applyInPandas(settle, alone.schema)
+    # runs have no candidate in common, so some of them together are settled as each by itself
+    others = found.where("size > 1").groupBy(*keys, F.floor(F.col("run") / 256).alias("runs")).applyInPandas(settle, alone.schema)
     return alone.unionByName(others)
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import accumulate
 from typing import Protocol
 
 import pandas as pd
@@ -27,6 +28,37 @@ def count_tokens(text: str) -> int:
     return max(1, len(_TOKEN.findall(text)))
 
 
+count_tokens.additive = True
+
+
+class Vocabulary:
+    """Counts the tokens of a tokenizer file, which each task reads once; at least one.
+
+    additive: tokens don't reach over a blank, so that those of texts joined by blanks are those of the first and of each other one with a blank before it.
+    """
+
+    def __init__(self, path: str, additive: bool = True):
+        self.path, self.additive, self._read = path, additive, None
+
+    def __call__(self, text: str) -> int:
+        if self._read is None:
+            from tokenizers import Tokenizer
+
+            self._read = Tokenizer.from_file(self.path)
+        return max(1, len(self._read.encode(text, add_special_tokens=False).ids))
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_read": None}
+
+
+def joined_counts(texts: list[str], count: TokenCounter) -> Callable[[int, int], int]:
+    """(i, j) -> tokens of texts i to j - 1 joined by blanks: by running sums where the counter allows it, else counted anew."""
+    if not getattr(count, "additive", False) or any(t != t.strip() or not t for t in texts):
+        return lambda i, j: count(" ".join(texts[i:j]))
+    first, rest = [count(t) for t in texts], [0, *accumulate(count(" " + t) for t in texts)]
+    return lambda i, j: first[i] + rest[j] - rest[i + 1]
+
+
 def split_text(text: str, most: int, count: TokenCounter = count_tokens) -> list[str]:
     """Parts of at most `most` tokens: at sentence ends, else at commas, else at dashes, else between words."""
     if count(text) <= most:
@@ -62,7 +94,7 @@ def windows(segments: list[tuple[float, float, str]], least: int, most: int, ove
     of its last segments as fit the overlap, but always moves on. A last chunk under `least` joins the one before if that fits.
     """
     texts = [s[2] for s in segments]
-    tokens = lambda i, j: count(" ".join(texts[i:j]))
+    tokens = joined_counts(texts, count)
     out: list[tuple[int, int, int]] = []
     i, n = 0, len(texts)
     while i < n:

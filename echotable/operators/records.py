@@ -89,13 +89,29 @@ def sentences(segments: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("per_minute", F.when(F.col("seconds") > 0, F.col("sentences") / (F.col("seconds") / 60)).otherwise(0.0))
 
 
-def nearest_region(words: DataFrame, regions: DataFrame, keys: list[str]) -> DataFrame:
-    """Each word's region of its group: the first that holds its middle, else the nearest. Groups are bounded chunks of time."""
-    j = words.join(regions.select(*keys, "region", "lo", "hi"), keys)
-    middle = (F.col("word_start") + F.col("word_end")) / 2
-    away = F.greatest(F.lit(0.0), F.col("lo") - middle, middle - F.col("hi"))
-    ids = [c for c in words.columns]
-    return j.groupBy(*ids).agg(F.min(F.struct(away.alias("away"), "region")).alias("m")).select(*ids, "m.region", "m.away")
+def nearest_region(words: DataFrame, regions: DataFrame, keys: list[str], width: float = 30.0) -> DataFrame:
+    """Each word's region of its keys and how far away it is: the first that holds the word's middle, else the nearest, of two as near the first.
+
+    Regions that hold a middle are joined on bins of time. Of those before it the one that ends last counts, of those behind it the one that
+    begins first; both are running extremes over words and regions in one order of time. A word of keys without regions, or without times, drops out.
+    """
+    w = words.where(F.col("word_start").isNotNull() & F.col("word_end").isNotNull()).withColumn("__m", (F.col("word_start") + F.col("word_end")) / 2)
+    r = regions.where(F.col("hi") >= F.col("lo")).select(*keys, "region", "lo", "hi")
+    bin_of = lambda c: F.floor(c / F.lit(width))
+    binned = r.withColumn("__bin", F.explode(F.sequence(bin_of(F.col("lo")), bin_of(F.col("hi")))))
+    held = w.withColumn("__bin", bin_of(F.col("__m"))).join(binned, [*keys, "__bin"]).where("__m BETWEEN lo AND hi").select(*words.columns, "region", F.lit(0.0).alias("away"))
+    null = lambda t: F.lit(None).cast(t)
+    kind, names = dict(r.dtypes)["region"], [c for c in words.columns if c not in keys]
+    empty = [null(t).alias(c) for c, t in words.dtypes if c not in keys]
+    beside = []
+    for edge, ahead in (("hi", False), ("lo", True)):
+        of = F.struct((F.col(edge) if ahead else -F.col(edge)).alias("far"), F.col("region").alias("region"))
+        rows = r.select(*keys, F.col(edge).alias("__t"), F.lit(0).alias("__w"), of.alias("__r"), *empty).unionByName(w.select(*keys, F.col("__m").alias("__t"), F.lit(1).alias("__w"), null(f"struct<far:double,region:{kind}>").alias("__r"), *names))
+        order = Window.partitionBy(*keys).orderBy(F.desc("__t") if ahead else F.asc("__t"), "__w").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        near = rows.withColumn("__best", F.min("__r").over(order)).where("__w = 1 AND __best IS NOT NULL")
+        beside.append(near.select(*words.columns, F.col("__best.region").alias("region"), (F.col("__best.far") - F.col("__t") if ahead else F.col("__best.far") + F.col("__t")).alias("away")))
+    every = held.unionByName(beside[0]).unionByName(beside[1])
+    return every.groupBy(*words.columns).agg(F.min(F.struct("away", "region")).alias("m")).select(*words.columns, "m.region", "m.away")
 
 
 def overlap_texts(spans: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:

@@ -118,9 +118,9 @@ def listener_visibility(spark, d):
     return j.groupBy("o_custkey").agg(F.count("*").alias("recordings"), F.count(F.when(F.col("o_orderstatus") == "F", 1)).alias("verified"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def unassigned_recordings(spark, d):
-    c, o = read(spark, d, "customer"), read(spark, d, "orders")
+    c, o = read(spark, d, "customer"), read(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey", "c_name")
 
 

@@ -62,17 +62,24 @@ def dev_split(spark, d):
     return asr.split_dev(read(spark, d, "conversations"), "conv_id", 0.1, 7)
 
 
+def _tokens():
+    """Counts tokens of a public vocabulary."""
+    import public_tokenizers
+
+    return chunking.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query()
 def token_chunks(spark, d):
     s = tr.segments_chunkable(seg(spark, d).withColumn("text", F.col("full_text")))
-    c = chunking.chunks(s, 40, 60, 10)
+    c = chunking.chunks(s, 180, 260, 40, _tokens())
     return c.withColumn("chunk_id", chunking.chunk_id(F.lit("archive"), F.col("model_key"), "v1")).drop("text")
 
 
 @query()
 def chunk_token_audit(spark, d):
     s = tr.segments_chunkable(seg(spark, d).withColumn("text", F.col("full_text")))
-    return chunking.token_audit(chunking.chunks(s, 40, 60, 10), ["model_key"], "token_count", 40, 60)
+    return chunking.token_audit(chunking.chunks(s, 180, 260, 40, _tokens()), ["model_key"], "token_count", 180, 260)
 
 
 @query("WITH c AS (SELECT p_size AS config, avg(p_retailprice) AS p95, count(*) AS chunks, max(p_retailprice) / 10000 AS recall, (p_size % 5) / 200.0::DOUBLE AS overflow, p_size::DOUBLE AS build_sec FROM part GROUP BY p_size), f AS (SELECT *, max((overflow <= 0.01)::INT) OVER () AS a FROM c), g AS (SELECT * FROM f WHERE overflow <= 0.01 OR a = 0) SELECT config, round(p95, 6) AS p95, chunks, round(recall, 6) AS recall FROM g WHERE recall >= (SELECT max(recall) FROM g) - 0.02 ORDER BY g.p95, build_sec, chunks, config LIMIT 1")

@@ -161,3 +161,40 @@ def test_words_between_any_white_space(spark):
 
 def test_plain_word():
     assert [plain_word(w) for w in ("ﬁn,", "Straße!", "--", "(Étude)")] == ["fin", "strasse", "", unicodedata.normalize("NFC", "étude")]
+
+
+def test_nearest_region_equals_trying_all(spark):
+    from echotable.operators import records
+
+    rng = random.Random(9)
+    place = lambda: rng.choice([rng.uniform(-20, 100), float(rng.randrange(60))])
+    regions = [(k, i, s, s + rng.choice([0.0, 1.0, 5.0, 45.0])) for k in range(4) for i in range(rng.choice([0, 1, 12])) for s in [place()]]
+    words = [(k, n, s, s + rng.choice([0.0, 0.5, 2.0])) for k in range(5) for n in range(40) for s in [place()]]
+    want = {}
+    for k, n, s, e in words:
+        m = (s + e) / 2
+        near = [(round(max(0.0, lo - m, m - hi), 9), i) for q, i, lo, hi in regions if q == k]
+        if near:
+            want[k, n] = min(near)
+    got = records.nearest_region(spark.createDataFrame(words, "k int, n int, word_start double, word_end double"), spark.createDataFrame(regions, "k int, region int, lo double, hi double"), ["k"])
+    assert {(r["k"], r["n"]): (round(r["away"], 9), r["region"]) for r in got.collect()} == want and len(want) > 60
+
+
+def test_fillers_and_tokens(spark):
+    import public_tokenizers
+
+    from echotable.functions import text as tx
+    from echotable.operators import chunking
+
+    said = {"Ehm? Ano.": "Ano.", "ano, hm?": "ano?", "tak / eee": "tak", "no, ehm, ne": "no, ne", "„hm“ a": "a", "(ehm) dobře": "dobře", "ehmm hm-hm mhm.": "ehmm hm-hm", "Ano,  EHM  !": "Ano!"}
+    df = spark.createDataFrame([(k,) for k in said], "t string")
+    assert {r["t"]: r["o"] for r in df.select("t", tx.without_fillers(F.col("t")).alias("o")).collect()} == said
+    rng, count = random.Random(2), chunking.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["".join(rng.choice(["a", "bc", " ", ".", "'s", "é", "1", "\n", "😀", "-- "]) for _ in range(rng.randrange(1, 30))).strip() or "x" for _ in range(60)]
+    for counter in (count, chunking.count_tokens):
+        tokens = chunking.joined_counts(texts, counter)
+        for _ in range(200):
+            i, j = sorted(rng.sample(range(len(texts) + 1), 2))
+            assert tokens(i, j) == counter(" ".join(texts[i:j]))
+    a, b = "abcdefgh" * 30, "abxdefgh" * 29 + "zz"
+    assert spark.createDataFrame([(a, b), (a, a), (None, b), ("", "ab")], "a string, b string").select(tx.char_distance("a", "b")).collect() == spark.createDataFrame([(a, b), (a, a), (None, b), ("", "ab")], "a string, b string").select(F.levenshtein("a", "b").cast("long")).collect()
