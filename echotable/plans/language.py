@@ -148,7 +148,7 @@ def _stream(spark, build, d, mode, keys):
 
 @query("SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def stream_hourly(spark, d):
-    return _stream(spark, st.tumbling, d, "complete", ["start", "event_type"]).withColumn("total", F.round("total", 6))
+    return _stream(spark, st.tumbling, d, "update", ["start", "event_type"]).withColumn("total", F.round("total", 6))
 
 
 @query("WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM e) SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", user_id, count(*) AS n FROM r GROUP BY user_id, run")

@@ -324,16 +324,6 @@ def distinct_albums(spark, d):
     return read(spark, d, "part").select(F.trim("p_type").alias("album")).where("album <> ''").distinct()
 
 
-@query("SELECT c_custkey, c_name FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey IN (0, 2) AND c_acctbal >= 100 AND contains(lower(c_name), '1') AND c_mktsegment IS NOT NULL")
-def search_filters(spark, d):
-    wanted = {"n_regionkey": [0, 2], "least": 100, "name": "1", "segment": None}
-    t = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).where("c_mktsegment IS NOT NULL")
-    rules = {"n_regionkey": lambda v: F.col("n_regionkey").isin(v), "least": lambda v: F.col("c_acctbal") >= v, "name": lambda v: F.contains(F.lower("c_name"), F.lit(v)), "segment": lambda v: F.col("c_mktsegment") == v}
-    for k, v in wanted.items():
-        t = t if v is None else t.where(rules[k](v))
-    return t.select("c_custkey", "c_name")
-
-
 @query()
 def segments_from_words(spark, d):
     w = tr.interpolated_words(seg(spark, d).where("model_key = 'assistant'"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import canonical as cn
+from ..operators import filters as fl
 from ..operators import integrity as ig
 from ..operators import records as rc
 from ..operators import silence, validation
@@ -180,3 +182,76 @@ def stream_playback(spark, d):
     folder = shared_folder(spark)
     st.to_parquet(playback.playback_steps(ticks), f"{folder}/out", f"{folder}/state", "update").awaitTermination()
     return st.latest(spark.read.parquet(f"{folder}/out"), ["player", "nth"]).withColumns({c: F.round(c, 6) for c in ("start_sec", "end_sec")})
+
+
+# filters: every condition over all entries, the rows of each setting as how many they are and the sum of their keys
+
+ENTRIES = """en AS (SELECT o_orderkey AS k, o_orderstatus <> 'P' AS is_actionable, o_orderkey % 3 <> 0 AS is_published, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 2 = 0 END AS verified, CASE WHEN o_orderkey % 11 = 0 THEN ' ' WHEN o_orderkey % 13 <> 0 THEN o_orderpriority END AS artist, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey % 4 END AS album_id, o_orderkey * 37 % 6000 AS sec, o_orderkey % 17 = 0 AS bad, CASE WHEN o_orderkey % 4 <> 0 THEN o_custkey % 9 END AS recorder_id, CASE WHEN o_orderkey % 6 <> 0 THEN o_custkey % 25 END AS location_id, CASE WHEN o_orderkey % 8 <> 0 THEN (o_orderkey % 3)::INT END AS part, CASE WHEN o_orderkey % 9 <> 0 THEN year(o_orderdate) END AS y, CASE WHEN o_orderkey % 10 <> 0 THEN month(o_orderdate) END AS m, day(o_orderdate) AS d, o_orderkey % 4 AS dup FROM orders)"""
+SETTINGS = [
+    ({}, "true"),
+    ({"status": "ready"}, "is_actionable AND is_published"),
+    ({"status": "incomplete", "actionable_only": True}, "NOT (is_actionable AND is_published)"),
+    ({"actionable_only": True}, "is_actionable"),
+    ({"verified": True}, "verified"),
+    ({"verified": False}, "NOT coalesce(verified, false)"),
+    ({"artist": "HIGH"}, "contains(lower(artist), 'high')"),
+    ({"artist": fl.EMPTY}, "coalesce(trim(artist), '') = ''"),
+    ({"album": 2}, "album_id = 2"),
+    ({"album": fl.EMPTY}, "album_id IS NULL"),
+    ({"duration": "short"}, "NOT bad AND sec < 1800"),
+    ({"duration": "medium"}, "NOT bad AND sec >= 1800 AND sec < 3600"),
+    ({"duration": "long"}, "NOT bad AND sec >= 3600"),
+    ({"recorder": 3, "location": fl.EMPTY}, "recorder_id = 3 AND location_id IS NULL"),
+    ({"recorder": fl.EMPTY, "location": 7}, "recorder_id IS NULL AND location_id = 7"),
+    ({"part": 1}, "part = 1"),
+    ({"part": fl.EMPTY}, "part IS NULL"),
+    ({"year": 1995}, "y = 1995"),
+    ({"year": 1995, "month": 3}, "y = 1995 AND m = 3"),
+    ({"year": 1995, "month": 3, "day": 8}, "y = 1995 AND m = 3 AND d = 8"),
+    ({"year": 1995, "day": 8}, "y = 1995"),
+    ({"month": 3}, "true"),
+    ({"year": fl.EMPTY}, "y IS NULL"),
+    ({"duplicates": 0}, "dup = 0"),
+]
+
+
+@query(_with(ENTRIES) + " UNION ALL ".join(f"SELECT {i} AS setting, count(*) AS n, coalesce(sum(k), 0)::BIGINT AS keys FROM en WHERE {cond}" for i, (_, cond) in enumerate(SETTINGS)))
+def catalog_filters(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    at = k * 37 % 6000
+    stamp = F.format_string("%02d:%02d:%02d", F.floor(at / 3600), F.floor(at / 60) % 60, at % 60)
+    e = read(spark, d, "orders").select(
+        k.alias("k"), (F.col("o_orderstatus") != "P").alias("is_actionable"), (k % 3 != 0).alias("is_published"), F.when(k % 7 != 0, k % 2 == 0).alias("verified"), F.when(k % 11 == 0, " ").when(k % 13 != 0, F.col("o_orderpriority")).alias("artist"),
+        F.when(k % 5 != 0, c % 4).alias("album_id"), F.when(k % 17 == 0, "unknown").otherwise(stamp).alias("duration"), F.when(k % 4 != 0, c % 9).alias("recorder_id"), F.when(k % 6 != 0, c % 25).alias("location_id"), F.when(k % 8 != 0, (k % 3).cast("int")).alias("part"),
+        F.when(k % 9 != 0, F.year("o_orderdate")).alias("date_year"), F.when(k % 10 != 0, F.month("o_orderdate")).alias("date_month"), F.dayofmonth("o_orderdate").alias("date_day"), (k % 4).alias("duplicate_count"),
+    )
+    out = [fl.entries(e, **want).agg(F.lit(i).alias("setting"), F.count("*").alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("keys")) for i, (want, _) in enumerate(SETTINGS)]
+    for part in out[1:]:
+        out[0] = out[0].unionByName(part)
+    return out[0]
+
+
+FOUND = """rc AS (SELECT o_orderkey AS h, o_custkey % 9 AS rec, o_orderkey % 2 = 0 AS ok FROM orders), lk AS (SELECT o_orderkey AS h, o_custkey AS ev, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1 AS prim FROM orders WHERE o_orderkey % 5 <> 0 UNION ALL SELECT o_orderkey, o_custkey + 1, o_orderkey % 4 = 0 FROM orders WHERE o_orderkey % 7 = 0), ev AS (SELECT c_custkey AS ev, c_nationkey AS loc, 1990 + c_custkey % 7 AS y FROM customer)"""
+_PRIMARY = "(NOT EXISTS (SELECT 1 FROM lk WHERE lk.h = rc.h) OR EXISTS (SELECT 1 FROM lk WHERE lk.h = rc.h AND prim))"
+_EVENT = "EXISTS (SELECT 1 FROM lk JOIN ev USING (ev) WHERE lk.h = rc.h AND {})"
+SEARCHES = [
+    ({}, _PRIMARY),
+    ({"secondary": True, "verified": True}, "ok"),
+    ({"hashes": [1, 2, 3, 7, 14, 32]}, "h IN (1, 2, 3, 7, 14, 32)"),
+    ({"event_ids": [1, 4, 7, 8]}, _PRIMARY + " AND " + _EVENT.format("ev IN (1, 4, 7, 8)")),
+    ({"locations": [3, 9], "years": [1991, 1994], "secondary": True}, _EVENT.format("loc IN (3, 9) AND y IN (1991, 1994)")),
+    ({"recorders": [2], "verified": False}, _PRIMARY + " AND rec = 2 AND NOT ok"),
+]
+
+
+@query(_with(FOUND) + " UNION ALL ".join(f"SELECT {i} AS setting, h AS audio_hash FROM rc WHERE {cond}" for i, (_, cond) in enumerate(SEARCHES)))
+def search_filters(spark, d):
+    o, k, c = read(spark, d, "orders"), F.col("o_orderkey"), F.col("o_custkey")
+    recordings = o.select(k.alias("audio_hash"), (c % 9).alias("recorder_id"), (k % 2 == 0).alias("verified"))
+    own = o.where("o_orderkey % 5 <> 0").select(k.alias("audio_hash"), c.alias("event_id"), (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) == 1).alias("is_primary"))
+    links = own.unionByName(o.where("o_orderkey % 7 = 0").select(k.alias("audio_hash"), (c + 1).alias("event_id"), (k % 4 == 0).alias("is_primary")))
+    events = read(spark, d, "customer").select(F.col("c_custkey").alias("event_id"), F.col("c_nationkey").alias("location_id"), (1990 + F.col("c_custkey") % 7).alias("date_year"))
+    out = [fl.searchable(recordings, links, events, **want).select(F.lit(i).alias("setting"), "audio_hash") for i, (want, _) in enumerate(SEARCHES)]
+    for part in out[1:]:
+        out[0] = out[0].unionByName(part)
+    return out[0]
