@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import plain_word
+
 
 def repeats(items: list | np.ndarray, size: int) -> list[tuple[int, int]]:
     """(start, times) of blocks of `size` items that follow themselves; the search goes on behind a find. Long lists are best given as numbers.
@@ -45,41 +49,64 @@ def distinct_findings(found: list[tuple[int, int, int]], share: float = 0.8) ->
     return kept
 
 
-FOUND = "doc_id long, unit string, start long, size long, times long, impact long, chars long"
+FOUND = "doc_id long, unit string, start long, size long, times long, impact long, chars long, char_start long, char_end long, snippet string"
+SHOWN = 80
+
+
+def parts_of(text: str, unit: str) -> tuple[list[str], list[tuple[int, int]]]:
+    """The units of a text as they are compared, with their places: characters, words without case and edge marks, or lines that aren't blank without case and edge blanks."""
+    if unit == "char":
+        return list(text), [(i, i + 1) for i in range(len(text))]
+    found = [(m.start(), m.end()) for m in re.finditer(r"\S+" if unit == "word" else r"[^\n]*\S[^\n]*", text)]
+    plain = plain_word if unit == "word" else lambda x: x.strip().lower()
+    return [plain(text[a:b]) for a, b in found], found
 
 
-def repetitions(texts: DataFrame, units: dict[str, tuple[int, int]] | None = None) -> DataFrame:
-    """Repeated blocks of characters, words and lines of each (doc_id, text), after suppression; impact is times * characters, weighted 1, 2, 3."""
+def repetitions(texts: DataFrame, units: dict[str, tuple[int, int]] | None = None, key: str = "doc_id") -> DataFrame:
+    """Repeated blocks of characters, words and lines of each (key, text), after suppression; impact is times * characters, weighted 1, 2, 3.
+
+    chars are the characters of all repetitions, char_start and char_end their place, snippet what stands there. A block with a word of marks alone doesn't count.
+    """
     units = units or {"char": (2, 32), "word": (1, 8), "line": (1, 16)}
     weight = {"char": 1, "word": 2, "line": 3}
 
     def kernel(parts):
         for p in parts:
             rows = []
-            for doc_id, text in zip(p["doc_id"], p["text"], strict=True):
+            for doc_id, text in zip(p[key], p["text"], strict=True):
                 text = text or ""
                 for unit, (lo, hi) in units.items():
-                    said = {"char": lambda t: list(t), "word": lambda t: t.lower().split(), "line": lambda t: [x.strip().lower() for x in t.split("\n") if x.strip()]}[unit](text)
+                    said, places = parts_of(text, unit)
                     items = pd.factorize(np.array(said, object))[0] if said else np.zeros(0, int)
-                    found = [(s, size, times) for size in range(lo, hi + 1) for s, times in repeats(items, size)]
-                    ends = np.cumsum([0, *(len(x) for x in said)])
+                    marks = np.cumsum([0, *(not x for x in said)])
+                    found = [(s, size, times) for size in range(lo, hi + 1) for s, times in repeats(items, size) if marks[s + size] == marks[s]]
+                    ends = np.cumsum([0, *(b - a for a, b in places)])
                     for s, z, t in distinct_findings(found):
-                        chars = int(ends[s + z] - ends[s])
-                        rows.append((doc_id, unit, s, z, t, weight[unit] * t * max(1, chars), t * chars))
-            yield pd.DataFrame(rows, columns=["doc_id", "unit", "start", "size", "times", "impact", "chars"])
+                        chars, a, b = int(ends[s + z] - ends[s]), places[s][0], places[s + z * t - 1][1]
+                        shown = " ".join(text[a : a + 2 * SHOWN].split()) if b - a > 2 * SHOWN else " ".join(text[a:b].split())
+                        rows.append((doc_id, unit, s, z, t, weight[unit] * t * max(1, chars), t * chars, a, b, shown if len(shown) <= SHOWN else shown[:SHOWN].rstrip() + "…"))
+            yield pd.DataFrame(rows, columns=[key, *(x.split()[0] for x in FOUND.split(", ")[1:])])
+
+    return texts.select(key, "text").mapInPandas(kernel, f"{key} {texts.schema[key].dataType.simpleString()}, " + FOUND.partition(", ")[2])
+
 
-    return texts.select("doc_id", "text").mapInPandas(kernel, FOUND)
+def scores(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Findings -> key, score (sum of impacts), findings, covered (characters in repeats)."""
+    return found.groupBy(key).agg(F.sum("impact").alias("score"), F.count("*").alias("findings"), F.sum("chars").alias("covered"))
 
 
-def scores(found: DataFrame) -> DataFrame:
-    """Findings -> doc_id, score (sum of impacts), findings, covered (characters in repeats)."""
-    return found.groupBy("doc_id").agg(F.sum("impact").alias("score"), F.count("*").alias("findings"), F.sum("chars").alias("covered"))
+def model_totals(scored: DataFrame, model: str) -> DataFrame:
+    """scored (model, score, findings, covered, chars) of texts -> per model: texts, score, findings, ratio (characters in repeats to all), and how many texts there are of each severity."""
+    level = F.coalesce(severity(F.coalesce("score", F.lit(0)), F.coalesce("covered", F.lit(0)) / F.nullif("chars", F.lit(0))), F.lit("none"))
+    counts = [F.count(F.when(F.col("__level") == name, 1)).alias(name) for name in ("none", "low", "medium", "high")]
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return scored.withColumn("__level", level).groupBy(model).agg(F.count("*").alias("texts"), total("score").alias("score"), total("findings").alias("findings"), (total("covered") / F.nullif(total("chars"), F.lit(0))).alias("ratio"), *counts)
 
 
 def severity(score: Column, coverage: Column) -> Column:
-    """None, low, medium or high: by the share of the text in repeats first, then by score."""
+    """None, low, medium or high: by the share of the text in repeats first, then by score; by score alone where the share isn't known."""
     # fixed values: shares, and the scores that part the level from the one above
-    out = F.when(score == 0, "none").when(coverage >= 0.08, "high")
+    out = F.when(score == 0, "none").when(coverage.isNull(), F.when(score >= 3000, "high").when(score >= 1000, "medium").otherwise("low")).when(coverage >= 0.08, "high")
     for share, more, least, less in ((0.03, "high", 2000, "medium"), (0.015, "medium", 500, "low"), (0.005, "medium", 1500, "low")):
         out = out.when(coverage >= share, F.when(score >= least, more).otherwise(less))
     return out.otherwise(F.when(score >= 3500, "medium").otherwise("low"))

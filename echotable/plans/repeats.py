@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import alignment as al
+from ..operators import kernels
 from ..operators import repeats as rp
 from ..sources.adapters import TAKES, read, takes
 
@@ -134,6 +135,17 @@ def patch_candidates(spark, d):
     return rp.patch_candidates(takes(spark, d), [R])
 
 
+@query()
+def repetition_totals(spark, d):
+    """How much each model repeats itself, over the texts of its transcripts."""
+    t = takes(spark, d)
+    lines = F.sort_array(F.collect_list(F.struct("seg_idx", "text")))["text"]
+    texts = t.groupBy(R, "model_key").agg(F.array_join(lines, "\n").alias("text")).withColumn("key", F.concat_ws("/", R, "model_key"))
+    found = kernels.scores(kernels.repetitions(texts, key="key"), "key")
+    scored = texts.select(F.col("key").alias("k"), "model_key", F.length("text").alias("chars")).join(found, F.col("k") == F.col("key"), "left")
+    return kernels.model_totals(scored, "model_key").withColumn("ratio", F.round("ratio", 6))
+
+
 # words of two models
 
 

@@ -198,3 +198,17 @@ def test_fillers_and_tokens(spark):
             assert tokens(i, j) == counter(" ".join(texts[i:j]))
     a, b = "abcdefgh" * 30, "abxdefgh" * 29 + "zz"
     assert spark.createDataFrame([(a, b), (a, a), (None, b), ("", "ab")], "a string, b string").select(tx.char_distance("a", "b")).collect() == spark.createDataFrame([(a, b), (a, a), (None, b), ("", "ab")], "a string, b string").select(F.levenshtein("a", "b").cast("long")).collect()
+
+
+def test_findings_name_their_places(spark):
+    from echotable.operators import kernels
+
+    text = "So it, it IT! is -- -- here\n\nthe end\n The End \nabababab"
+    got = [r.asDict() for r in kernels.repetitions(spark.createDataFrame([("a", text), ("b", None), ("c", "nothing twice")], "k string, text string"), key="k").collect()]
+    assert {r["k"] for r in got} == {"a"}
+    assert all(" ".join(text[r["char_start"] : r["char_end"]].split()) == r["snippet"] for r in got)
+    said = {(r["unit"], r["snippet"], r["times"]) for r in got}
+    assert {("word", "it, it IT!", 3), ("line", "the end The End", 2), ("char", "abababab", 4)} <= said and not any(r["unit"] == "word" and "--" in r["snippet"] for r in got)
+    scored = spark.createDataFrame([("m", 5000, 3, 100, 1000), ("m", None, None, None, 50), ("n", 600, 1, 2, 100), ("n", 1500, 1, 2, None)], "model string, score long, findings long, covered long, chars long")
+    totals = {r["model"]: tuple(r)[1:] for r in kernels.model_totals(scored, "model").collect()}
+    assert totals == {"m": (2, 5000, 3, 100 / 1050, 1, 0, 0, 1), "n": (2, 2100, 2, 0.04, 0, 0, 2, 0)}
