@@ -6,10 +6,15 @@ commands that would delete give plans.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..sources.sinks import stored
 
@@ -94,9 +99,31 @@ def elect(links: DataFrame, live: DataFrame, group: str, member: str, order: lis
 
 
 def fingerprint(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """SHA-256 of the sorted rows of each key as JSON, by line."""
-    row = F.to_json(F.struct(*columns))
-    return df.groupBy(*keys).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), "\n"), 256).alias("fingerprint"))
+    """keys, fingerprint: SHA-256 of the sorted rows of each key as JSON, by line.
+
+    A digest reads its rows one after the other, so a key is one task's work; it holds one row at a time, Spark sorts them.
+    """
+    rows = df.select(*keys, F.to_json(F.struct(*columns)).alias("__row"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, digest = None, None
+        for batch in batches:
+            done = []
+            for *now, row in zip(*(batch.column(c).to_pylist() for c in [*keys, "__row"]), strict=True):
+                if digest is None or now != key:
+                    if digest is not None:
+                        done.append([*key, digest.hexdigest()])
+                    key, digest = now, hashlib.sha256(row.encode())
+                else:
+                    digest.update(b"\n" + row.encode())
+            yield told(done)
+        if digest is not None:
+            yield told([[*key, digest.hexdigest()]])
+
+    kinds = to_arrow_schema(T.StructType([rows.schema[k] for k in keys]))
+    told = lambda done: pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, t in enumerate([*kinds.types, pa.string()])], [*keys, "fingerprint"])
+    out = T.StructType([*[rows.schema[k] for k in keys], T.StructField("fingerprint", T.StringType())])
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "__row").mapInArrow(read, out)
 
 
 def seconds_of(text: Column) -> Column:
