@@ -88,3 +88,16 @@ def word_overlaps(words: DataFrame, a: str, b: str, keys: tuple[str, ...] = ("au
         counts = side.select(*keys, f"{x}_nth").join(met, [*keys, f"{x}_nth"], "left").groupBy(*keys).agg(F.count(F.when(F.col("met").isNull(), 1)).alias(f"{name}_none"), F.count(F.when(F.col("met") > 1, 1)).alias(f"{name}_several"))
         out = out.join(counts, keys, "left")
     return out.fillna(0)
+
+
+def word_speakers(words: DataFrame, turns: DataFrame, keys: list[str], epsilon: float = 1e-6, width: float = 30.0) -> DataFrame:
+    """words (keys, word_start, word_end, ...) with the speaker of the turn (keys, start_sec, end_sec, speaker) that holds them: the first by start, end and name, null where none does.
+
+    Either bound may be missed by epsilon. Turns lie in the bins that they touch, a word in the bin of its start.
+    """
+    w = words.withColumn("__id", F.monotonically_increasing_id()).withColumn("__bin", F.floor(F.col("word_start") / width))
+    bins = F.sequence(F.floor((F.col("start_sec") - epsilon) / width), F.floor((F.col("end_sec") + epsilon) / width))
+    t = turns.where("end_sec >= start_sec").select(*[F.col(k).alias(f"t_{k}") for k in keys], "start_sec", "end_sec", "speaker", F.explode(bins).alias("t_bin"))
+    on = [F.col(k).eqNullSafe(F.col(f"t_{k}")) for k in keys] + [F.col("__bin") == F.col("t_bin"), F.col("start_sec") <= F.col("word_start") + epsilon, F.col("end_sec") >= F.col("word_end") - epsilon]
+    found = w.join(t, on).groupBy("__id").agg(F.min_by("speaker", F.struct("start_sec", "end_sec", "speaker")).alias("speaker"))
+    return w.join(found, "__id", "left").drop("__id", "__bin")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .catalog import numbered
+from .catalog import fingerprint, numbered
 
 
 def errors(df: DataFrame, reference: str, hypothesis: str) -> DataFrame:
@@ -43,3 +43,35 @@ def worst(scored: DataFrame, key: str) -> DataFrame:
     """Hypotheses, highest word error rate first, ties by key."""
     wer = F.col("norm_word_errors") / F.nullif(F.col("norm_words"), F.lit(0))
     return scored.withColumn("wer", F.round(wer, 4)).orderBy(F.desc_nulls_last("wer"), key)
+
+
+def report(rows: DataFrame, system: str, hypothesis: str | None = None) -> DataFrame:
+    """rows (audio, text, machine_text, duration, and a hypothesis) -> one row: what a system scored on them, what the machine text scored, and a fingerprint of the rows.
+
+    The fingerprint covers audio, text and machine text of all rows. Without a hypothesis the scores are null, and so are the machine's where no row has machine text.
+    """
+    scores = ("rows", "words", "raw_wer", "norm_wer", "norm_cer")
+
+    def scored(df: DataFrame, column: str) -> DataFrame:
+        e = errors(df.withColumn("hyp", F.col(column)).where(F.col("hyp").isNotNull()), "text", "hyp")
+        return e.agg(F.count("*").alias("rows"), F.sum("raw_words").alias("words"), rate("raw_word_errors", "raw_words").alias("raw_wer"), rate("norm_word_errors", "norm_words").alias("norm_wer"), rate("norm_char_errors", "norm_chars").alias("norm_cer"))
+
+    whole = rows.agg(F.count("*").alias("rows"), F.round(F.coalesce(F.sum("duration"), F.lit(0.0)) / 3600, 3).alias("hours"), F.count_if(F.col("machine_text").isNull()).alias("rows_without_machine_text"))
+    digest = fingerprint(rows.select(F.lit(1).alias("one"), "audio", "text", "machine_text"), ["one"], ["audio", "text", "machine_text"]).select(F.col("fingerprint").alias("rows_sha256"))
+    none = [F.lit(None).cast("double").alias(f"system_{c}") for c in scores]
+    own = scored(rows, hypothesis).select(*[F.col(c).cast("double").alias(f"system_{c}") for c in scores]) if hypothesis else whole.select(*none)
+    machine = scored(rows, "machine_text").select(*[F.col(c).cast("double").alias(f"machine_{c}") for c in scores])
+    # one row each; rows without any have no digest
+    return whole.select(F.lit(system).alias("system"), "*").join(digest, F.lit(True), "left").crossJoin(F.broadcast(own)).crossJoin(F.broadcast(machine))
+
+
+def compared(reports: DataFrame) -> DataFrame:
+    """Reports of the same rows -> a table: the machine's scores first, then each system's by name. Reports of other rows, or with another machine's scores, fail the read."""
+    scores = ("rows", "words", "raw_wer", "norm_wer", "norm_cer")
+    of = lambda side: F.struct(*[F.col(f"{side}_{c}").alias(c) for c in scores])
+    same = reports.agg(F.count_distinct(F.coalesce("rows_sha256", F.lit(""))).alias("kinds"), F.count_distinct(F.when(F.col("machine_rows") > 0, of("machine").cast("string"))).alias("machines"))
+    fault = F.when(F.col("kinds") > 1, "reports of different rows").when(F.col("machines") > 1, "reports with different machine scores")
+    sound = F.when(fault.isNull(), F.lit(True)).otherwise(F.raise_error(fault).cast("boolean"))
+    lines = reports.select("system", F.explode(F.array(F.struct(F.lit(1).alias("nth"), F.col("system").alias("name"), of("system").alias("s")), F.struct(F.lit(0).alias("nth"), F.lit("machine").alias("name"), of("machine").alias("s")))).alias("l"))
+    lines = lines.select("l.nth", F.col("l.name").alias("system"), "l.s.*").where("rows > 0").distinct()
+    return lines.crossJoin(F.broadcast(same)).where(sound).select("nth", "system", *scores).orderBy("nth", "system")

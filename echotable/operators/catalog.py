@@ -188,3 +188,15 @@ def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
     base = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n")).select("__part", before.alias("__before"))
     return placed.join(F.broadcast(base), part == F.col("__part")).withColumn("nth", (F.col("__before") + place).cast("long")).drop("__id", "__part", "__before")
+
+
+def batches(df: DataFrame, order: list[Column], size: int) -> DataFrame:
+    """df with batch: rows 0 to size - 1 of the order are batch 0, and so on; the last one may be smaller."""
+    return numbered(df, order).withColumn("batch", F.floor(F.col("nth") / size)).drop("nth")
+
+
+def nested(parents: DataFrame, children: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
+    """parents with `items`, the JSON array of their children's columns in order; an empty one for a parent without. The children of one parent are put together in one task."""
+    one = F.struct(F.col(order).alias("__o"), F.struct(*columns).alias("c"))
+    c = children.select(F.col(key).alias("__k"), one.alias("__c")).groupBy("__k").agg(F.to_json(F.transform(F.sort_array(F.collect_list("__c")), lambda x: x["c"])).alias("items"))
+    return parents.join(c, F.col(key) == F.col("__k"), "left").drop("__k").withColumn("items", F.coalesce("items", F.lit("[]")))

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import time as tm
+from ..operators import alignment as al
+from ..operators import asr, chunking
 from ..operators import canonical as cn
+from ..operators import catalog as ct
+from ..operators import corpus as cp
 from ..operators import filters as fl
 from ..operators import integrity as ig
 from ..operators import records as rc
@@ -255,3 +260,65 @@ def search_filters(spark, d):
     for part in out[1:]:
         out[0] = out[0].unionByName(part)
     return out[0]
+
+
+# corpora, reports, schedules
+
+
+@query(_with(SEG, "w AS (SELECT audio_hash, seg_idx, start_sec + 0.25 AS ws, start_sec + 0.75 AS we FROM seg WHERE model_key = 'user')") + "SELECT w.audio_hash, w.seg_idx, (SELECT arg_min(model_key, {'s': start_sec, 'e': end_sec, 'm': model_key}) FROM seg t WHERE t.audio_hash = w.audio_hash AND t.end_sec >= t.start_sec AND start_sec <= ws + 1e-6 AND end_sec >= we - 1e-6) AS speaker FROM w")
+def word_speakers(spark, d):
+    s = seg(spark, d)
+    words = s.where("model_key = 'user'").select("audio_hash", "seg_idx", (F.col("start_sec") + 0.25).alias("word_start"), (F.col("start_sec") + 0.75).alias("word_end"))
+    turns = s.select("audio_hash", "start_sec", "end_sec", F.col("model_key").alias("speaker"))
+    return al.word_speakers(words, turns, ["audio_hash"]).select("audio_hash", "seg_idx", "speaker")
+
+
+@query("SELECT r_regionkey, r_name, coalesce((SELECT to_json(list({'n_nationkey': n_nationkey, 'n_name': n_name} ORDER BY n_nationkey))::VARCHAR FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey % 4 = 3), '[]') AS items FROM region")
+def nested_export(spark, d):
+    children = read(spark, d, "nation").where("n_nationkey % 4 = 3").withColumnRenamed("n_regionkey", "r_regionkey")
+    return ct.nested(read(spark, d, "region").select("r_regionkey", "r_name"), children, "r_regionkey", "n_nationkey", ["n_nationkey", "n_name"])
+
+
+@query("SELECT n_name AS location, count(c_custkey) AS events FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 5000 GROUP BY n_name")
+def events_per_location(spark, d):
+    c = read(spark, d, "customer").where("c_acctbal > 5000")
+    return read(spark, d, "nation").join(c, F.col("n_nationkey") == F.col("c_nationkey"), "left").groupBy(F.col("n_name").alias("location")).agg(F.count("c_custkey").alias("events"))
+
+
+@query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1) // 64 AS batch FROM orders")
+def batch_windows(spark, d):
+    o = read(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return ct.batches(o, [F.col("o_totalprice"), F.col("o_orderkey")], 64).select("o_orderkey", "batch")
+
+
+@query("SELECT event_type, " + ", ".join(f"count(*) FILTER (ts >= {start}) AS n_{name}" for name, start in (("24h", "last - INTERVAL 24 HOUR"), ("7d", "last - INTERVAL 168 HOUR"), ("30d", "last - INTERVAL 720 HOUR"), ("12m", "date_trunc('day', last) - INTERVAL 12 MONTH"))) + " FROM events, (SELECT max(ts) AS last FROM events) GROUP BY event_type")
+def period_counts(spark, d):
+    e = read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    e = e.crossJoin(F.broadcast(e.agg(F.max("ts").alias("last"))))  # one row
+    return e.groupBy("event_type").agg(*[F.count_if(F.col("ts") >= tm.period_start(p, F.col("last"))).alias(f"n_{p}") for p in tm.PERIODS])
+
+
+@query("WITH h AS (SELECT o_orderkey, o_orderdate, sha256(o_orderkey::VARCHAR) AS x FROM orders), t AS (SELECT o_orderkey, o_orderdate, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(x, ''), lambda c: (strpos('0123456789abcdef', c) - 1)::BIGINT)), lambda a, b: (a * 16 + b) % 7) AS turn FROM h) SELECT o_orderkey, turn = (date_diff('day', DATE '0001-01-01', o_orderdate::DATE) + 1) % 7 AS due FROM t")
+def hash_schedule(spark, d):
+    return read(spark, d, "orders").select("o_orderkey", tm.due(F.col("o_orderkey"), 7, F.to_date("o_orderdate")).alias("due"))
+
+
+def _rows(spark, d):
+    """Chunks with a text, what a machine heard and what a system made of it."""
+    t = read(spark, d, "conversations").withColumn("k", F.col("conv_id") * 1000 + F.col("turn"))
+    loud = F.upper(F.substring("text", 1, 20))
+    return t.select(F.concat(F.lit("audio/"), F.col("k").cast("string")).alias("audio"), "text", F.when(F.col("k") % 5 != 0, F.concat(loud, F.expr("substring(text, 21)"))).alias("machine_text"), (F.length("text") / 20.0).alias("duration"), F.replace("text", F.lit("the "), F.lit("")).alias("one"), F.replace("text", F.lit("e"), F.lit("a")).alias("two"))
+
+
+@query()
+def asr_comparison(spark, d):
+    rows = _rows(spark, d)
+    return asr.compared(asr.report(rows, "one", "one").unionByName(asr.report(rows, "two", "two")))
+
+
+@query()
+def chunk_corpus(spark, d):
+    s = seg(spark, d).where("model_key = 'assistant'").groupBy("audio_hash").agg(F.sort_array(F.collect_list(F.struct(F.col("start_sec").alias("start"), F.col("end_sec").alias("end"), "text"))).alias("segments"))
+    odd = F.substring("audio_hash", 1, 1).isin("0", "1")
+    t = s.select(F.when(odd, "short").otherwise(F.col("audio_hash")).alias("audio_hash"), F.concat(F.lit("w/"), F.col("audio_hash")).alias("path"), "segments")
+    return cp.build(t, "archive", "assistant", "v1", count=chunking.count_tokens)[1]
