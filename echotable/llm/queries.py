@@ -68,7 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """The rows by their definitions, without the operators' filters: every window, every pair of lines, every shared shingle."""
+    """The rows by their definitions: every window, every shared shingle, every text; pairs of lines by their halves, of which two lines at distance one share one."""
     return {"op4_substring_dedup": _OP4, "op7_line_dedup": _OP7, "op10_minhash_near_dedup": _OP10, "op12_exact_dedup": _OP12, "op13_conversation_repair": _OP13}
 
 
