@@ -34,7 +34,7 @@ FILLERS = ("ehm", "eee", "hm", "mhm")
 
 
 def without_fillers(text: Column, fillers: tuple[str, ...] = FILLERS) -> Column:
-    """Without filler words and the marks right behind them, pairs of marks left empty, and the spaces all that leaves.
+    """Without filler words and the marks right behind them, pairs of marks left empty, blanks before marks, and the spaces all that leaves.
 
     A filler that closes a sentence takes the comma or slash before it instead, and leaves the sentence its end.
     """
@@ -43,6 +43,7 @@ def without_fillers(text: Column, fillers: tuple[str, ...] = FILLERS) -> Column:
     out = F.regexp_replace(text, rf"(?iU)\s*[,/]\s*{one}\s*(?=[.…?!]|$)", "")
     out = F.regexp_replace(out, rf"(?iU){one}[,.…?!:;/]*", " ")
     out = F.regexp_replace(out, r"(?U)\(\s*\)|\[\s*\]|\"\s*\"|„\s*“|“\s*”|‚\s*‘|‘\s*’", " ")
+    out = F.regexp_replace(out, r"(?U)\s+([,.!?;:])", "$1")
     return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
 
 
