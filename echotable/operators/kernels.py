@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -53,13 +54,18 @@ FOUND = "doc_id long, unit string, start long, size long, times long, impact lon
 SHOWN = 80
 
 
-def parts_of(text: str, unit: str) -> tuple[list[str], list[tuple[int, int]]]:
-    """The units of a text as they are compared, with their places: characters, words without case and edge marks, or lines that aren't blank without case and edge blanks."""
+def parts_of(text: str, unit: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(units as numbers that are equal where the units are, -1 for one of marks alone, their starts, their ends): characters, words without case and edge marks, or lines that aren't blank without case and edge blanks."""
     if unit == "char":
-        return list(text), [(i, i + 1) for i in range(len(text))]
-    found = [(m.start(), m.end()) for m in re.finditer(r"\S+" if unit == "word" else r"[^\n]*\S[^\n]*", text)]
-    plain = plain_word if unit == "word" else lambda x: x.strip().lower()
-    return [plain(text[a:b]) for a, b in found], found
+        n = np.arange(len(text) + 1)
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64), n[:-1], n[1:]
+    found = np.array([m.span() for m in re.finditer(r"\S+" if unit == "word" else r"[^\n]*\S[^\n]*", text)], int).reshape(-1, 2)
+    plain, codes = known_word if unit == "word" else (lambda x: x.strip().lower()), {"": -1}
+    items = np.array([codes.setdefault(plain(text[a:b]), len(codes)) for a, b in found.tolist()], np.int64)
+    return items, found[:, 0], found[:, 1]
+
+
+known_word = functools.lru_cache(1 << 16)(plain_word)
 
 
 def repetitions(texts: DataFrame, units: dict[str, tuple[int, int]] | None = None, key: str = "doc_id") -> DataFrame:
@@ -76,13 +82,12 @@ def repetitions(texts: DataFrame, units: dict[str, tuple[int, int]] | None = Non
             for doc_id, text in zip(p[key], p["text"], strict=True):
                 text = text or ""
                 for unit, (lo, hi) in units.items():
-                    said, places = parts_of(text, unit)
-                    items = pd.factorize(np.array(said, object))[0] if said else np.zeros(0, int)
-                    marks = np.cumsum([0, *(not x for x in said)])
+                    items, starts, stops = parts_of(text, unit)
+                    marks = np.r_[0, np.cumsum(items < 0)]
                     found = [(s, size, times) for size in range(lo, hi + 1) for s, times in repeats(items, size) if marks[s + size] == marks[s]]
-                    ends = np.cumsum([0, *(b - a for a, b in places)])
+                    ends = np.r_[0, np.cumsum(stops - starts)]
                     for s, z, t in distinct_findings(found):
-                        chars, a, b = int(ends[s + z] - ends[s]), places[s][0], places[s + z * t - 1][1]
+                        chars, a, b = int(ends[s + z] - ends[s]), int(starts[s]), int(stops[s + z * t - 1])
                         shown = " ".join(text[a : a + 2 * SHOWN].split()) if b - a > 2 * SHOWN else " ".join(text[a:b].split())
                         rows.append((doc_id, unit, s, z, t, weight[unit] * t * max(1, chars), t * chars, a, b, shown if len(shown) <= SHOWN else shown[:SHOWN].rstrip() + "…"))
             yield pd.DataFrame(rows, columns=[key, *(x.split()[0] for x in FOUND.split(", ")[1:])])
