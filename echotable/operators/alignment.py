@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.sinks import stored
 from .repeats import overlap_pairs
 
 
@@ -14,24 +15,24 @@ def _side(words: DataFrame, keys: list[str], model: str, x: str) -> DataFrame:
     """The words of a model, numbered from 0 by start, end and word; a word without times isn't there."""
     w = words.where((F.col("model_key") == model) & F.col("word_start").isNotNull() & F.col("word_end").isNotNull())
     order = Window.partitionBy(*keys).orderBy("word_start", "word_end", "word")
-    return w.select(*keys, (F.row_number().over(order) - 1).cast("long").alias(f"{x}_nth"), F.col("word_start").alias(f"{x}_start"), F.col("word_end").alias(f"{x}_end"), F.col("word").alias(f"{x}_word"))
+    return w.select(*keys, (F.row_number().over(order) - 1).cast("long").alias(f"{x}_nth"), F.col("word_start").alias(f"{x}_start"), F.col("word_end").alias(f"{x}_end"), tx.word(F.col("word")).alias(f"{x}_word"))
 
 
 def candidates(words: DataFrame, keys: list[str], a: str, b: str, tolerance: float) -> DataFrame:
     """keys, a_nth, b_nth, score, same: for each word of a, of three words of b those whose start and end are at most the tolerance away.
 
     The three lie around the first word of b that doesn't start too early. How many do is a running count over the starts of both, in one order.
-    score is the sum of both differences; same, whether the words are alike.
+    score is the sum of both differences; same, whether the words are alike. Words look smaller to Spark than they are, so joins on them are merges: none is broadcast.
     """
     left, right = _side(words, keys, a, "a"), _side(words, keys, b, "b")
     events = left.select(*keys, (F.col("a_start") - tolerance).alias("t"), F.lit(0).alias("of_b"), "a_nth").unionByName(right.select(*keys, F.col("b_start").alias("t"), F.lit(1).alias("of_b"), F.lit(None).cast("long").alias("a_nth")))
     early = F.sum("of_b").over(Window.partitionBy(*keys).orderBy("t", "of_b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     first = events.withColumn("early", early).where("of_b = 0").select(*[F.col(k).alias(f"f_{k}") for k in keys], F.col("a_nth").alias("f_nth"), F.explode(F.array(*[F.col("early") + k for k in (-1, 0, 1)])).alias("at"))
-    near = left.join(first, [F.col(k).eqNullSafe(F.col(f"f_{k}")) for k in keys] + [F.col("a_nth") == F.col("f_nth")]).drop(*[f"f_{k}" for k in keys], "f_nth")
+    near = left.hint("merge").join(first, [F.col(k).eqNullSafe(F.col(f"f_{k}")) for k in keys] + [F.col("a_nth") == F.col("f_nth")]).drop(*[f"f_{k}" for k in keys], "f_nth")
     r = right.withColumnsRenamed({k: f"r_{k}" for k in keys})
     start, end = F.abs(F.col("a_start") - F.col("b_start")), F.abs(F.col("a_end") - F.col("b_end"))
-    j = near.join(r, [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in keys] + [F.col("at") == F.col("b_nth")]).where((start <= tolerance) & (end <= tolerance))
-    return j.select(*keys, "a_nth", "b_nth", (start + end).alias("score"), (tx.word(F.col("a_word")) == tx.word(F.col("b_word"))).alias("same"))
+    j = near.hint("merge").join(r, [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in keys] + [F.col("at") == F.col("b_nth")]).where((start <= tolerance) & (end <= tolerance))
+    return j.select(*keys, "a_nth", "b_nth", (start + end).alias("score"), (F.col("a_word") == F.col("b_word")).alias("same"))
 
 
 def matched(words: DataFrame, keys: list[str], a: str, b: str, tolerance: float = 0.1) -> DataFrame:
@@ -40,7 +41,7 @@ def matched(words: DataFrame, keys: list[str], a: str, b: str, tolerance: float
     Words of a that no other word can take a candidate from are settled as they are. The others are runs of neighbours whose candidates touch;
     only within such a run does the order count, so some runs are what one task looks at.
     """
-    found = candidates(words, keys, a, b, tolerance)
+    found = stored(candidates(words, keys, a, b, tolerance))  # read several times below
     order = Window.partitionBy(*keys).orderBy("a_nth")
     before, on = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     # a run starts where the candidates from here on lie behind all those before
@@ -48,8 +49,8 @@ def matched(words: DataFrame, keys: list[str], a: str, b: str, tolerance: float
     new = F.coalesce((F.min("low").over(on) > F.max("high").over(before)).cast("int"), F.lit(1))
     low = low.withColumn("new", new).withColumn("run", F.sum("new").over(Window.partitionBy(*keys).orderBy("a_nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     size = low.groupBy(*keys, "run").agg(F.count("*").alias("size"))
-    runs = low.select(*keys, "a_nth", "run").join(size, [*keys, "run"])
-    found = found.join(runs, [*keys, "a_nth"])
+    runs = low.select(*keys, "a_nth", "run").hint("merge").join(size, [*keys, "run"])
+    found = found.hint("merge").join(runs, [*keys, "a_nth"])
     best = F.row_number().over(Window.partitionBy(*keys, "a_nth").orderBy("score", "b_nth"))
     alone = found.where("size = 1").withColumn("best", best).where("best = 1").select(*keys, "a_nth", "b_nth", "score", "same")
 
@@ -73,7 +74,7 @@ def word_matches(words: DataFrame, a: str, b: str, tolerance: float = 0.1, keys:
     keys = list(keys)
     n = words.where(F.col("word_start").isNotNull() & F.col("word_end").isNotNull() & F.col("model_key").isin(a, b)).groupBy(*keys).agg(F.count(F.when(F.col("model_key") == a, 1)).alias("left"), F.count(F.when(F.col("model_key") == b, 1)).alias("right"))
     m = matched(words, keys, a, b, tolerance).groupBy(*keys).agg(F.count("*").alias("matched"), F.count(F.when(F.col("same"), 1)).alias("text_matched"))
-    return n.join(m, keys, "left").fillna(0, ["matched", "text_matched"])
+    return n.hint("merge").join(m, keys, "left").fillna(0, ["matched", "text_matched"])
 
 
 def word_overlaps(words: DataFrame, a: str, b: str, keys: tuple[str, ...] = ("audio_hash",), width: float = 10.0) -> DataFrame:
@@ -82,11 +83,11 @@ def word_overlaps(words: DataFrame, a: str, b: str, keys: tuple[str, ...] = ("au
     left, right = _side(words, keys, a, "a"), _side(words, keys, b, "b")
     pairs = overlap_pairs(left, right, keys, width, ("a_start", "a_end"), ("b_start", "b_end"))
     shared = pairs.groupBy(*keys).agg(F.sum(F.least("a_end", "b_end") - F.greatest("a_start", "b_start")).alias("shared_sec"))
-    out = words.where(F.col("model_key").isin(a, b)).select(*keys).distinct().join(shared, keys, "left")
+    out = words.where(F.col("model_key").isin(a, b)).select(*keys).distinct().hint("merge").join(shared, keys, "left")
     for side, x, name in ((left, "a", "left"), (right, "b", "right")):
         met = pairs.groupBy(*keys, f"{x}_nth").agg(F.count("*").alias("met"))
-        counts = side.select(*keys, f"{x}_nth").join(met, [*keys, f"{x}_nth"], "left").groupBy(*keys).agg(F.count(F.when(F.col("met").isNull(), 1)).alias(f"{name}_none"), F.count(F.when(F.col("met") > 1, 1)).alias(f"{name}_several"))
-        out = out.join(counts, keys, "left")
+        counts = side.select(*keys, f"{x}_nth").hint("merge").join(met, [*keys, f"{x}_nth"], "left").groupBy(*keys).agg(F.count(F.when(F.col("met").isNull(), 1)).alias(f"{name}_none"), F.count(F.when(F.col("met") > 1, 1)).alias(f"{name}_several"))
+        out = out.hint("merge").join(counts, keys, "left")
     return out.fillna(0)
 
 
