@@ -25,13 +25,14 @@ def overlap_pairs(left: DataFrame, right: DataFrame, keys: list[str], width: flo
     """Pairs of left (keys, a) and right (keys, b) rows whose half-open spans share something, each once. Names other than the keys must differ.
 
     A span lies in every bin of `width` that it touches; a pair is given in the bin where the later of the two begins. Spans with a null or without length meet nothing.
+    Both sides are sorted and merged: rows made by exploding look small to Spark, which would send them whole to the driver and to every task.
     """
     bin_of = lambda c: F.floor(c / F.lit(width))
     binned = lambda df, s: df.where(F.col(s[1]) > F.col(s[0])).withColumn("__bin", F.explode(F.sequence(bin_of(F.col(s[0])), bin_of(F.col(s[1])))))
     l, r = binned(left, a), binned(right, b).withColumnsRenamed({k: f"__{k}" for k in [*keys, "__bin"]})
     on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("__bin") == F.col("____bin")]
     on += [F.col(a[0]) < F.col(b[1]), F.col(b[0]) < F.col(a[1]), F.col("__bin") == bin_of(F.greatest(a[0], b[0]))]
-    return l.join(r, on).drop("__bin", "____bin", *[f"__{k}" for k in keys])
+    return l.hint("merge").join(r, on).drop("__bin", "____bin", *[f"__{k}" for k in keys])
 
 
 # places in texts

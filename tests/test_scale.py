@@ -21,3 +21,9 @@ def test_matched_words_are_not_broadcast(spark):
     df = al.word_matches(words(spark), "x", "y", 0.1)
     assert "Broadcast" not in plan(df) and "Broadcast" not in plan(al.candidates(words(spark), ["audio_hash"], "x", "y", 0.1))
     assert [tuple(r) for r in df.collect()] == [("r", 4, 4, 4, 4)]
+
+
+def test_overlapping_words_are_not_broadcast(spark):
+    df = al.word_overlaps(words(spark), "x", "y")
+    assert "Broadcast" not in plan(df)
+    assert [(r["left_none"], r["left_several"], r["right_none"], r["right_several"]) for r in df.collect()] == [(0, 3, 0, 3)]
