@@ -1,8 +1,12 @@
 """Steps that held back larger tables: how they are planned, and that they still give what plain versions give."""
 
+import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from echotable.operators import alignment as al
+from echotable.operators import search as sr
+from echotable.operators import speakers as sp
 
 WORDS = "audio_hash string, model_key string, word string, word_start double, word_end double"
 
@@ -27,3 +31,37 @@ def test_overlapping_words_are_not_broadcast(spark):
     df = al.word_overlaps(words(spark), "x", "y")
     assert "Broadcast" not in plan(df)
     assert [(r["left_none"], r["left_several"], r["right_none"], r["right_several"]) for r in df.collect()] == [(0, 3, 0, 3)]
+
+
+def vectors(spark, n=400):
+    rng = np.random.default_rng(1)
+    made = [[float(x) for x in rng.normal(size=8)] for _ in range(n)]
+    for i in range(100, 180):  # copies
+        made[i] = made[50]
+    made[7], made[150], made[151], made[152], made[153] = None, [1.0] * 7, [None] + [1.0] * 7, [float("inf")] * 8, [float("nan")] * 8
+    rows = [(i, i % 3, v) for i, v in enumerate(made)]
+    return spark.createDataFrame(rows, "vec_id long, file_id int, vector array<double>")
+
+
+def test_nearest_equals_all_pairs(spark):
+    v = vectors(spark)
+    q = v.where("vec_id % 50 = 0 OR vec_id = 7").select(F.col("vec_id").alias("query"), F.col("vector").alias("qv"))
+    every = q.crossJoin(v).where("vec_id <> query").withColumn("score", sp.dot("qv", "vector"))
+    found = sr.nearest(q, v, "query", "vec_id", 6)
+    assert "applyInArrow" in plan(found) or "FlatMapCoGroupsInArrow" in plan(found)
+    assert found.count() < every.count()
+    w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "vec_id")
+    top = lambda df: sorted(map(str, df.withColumn("nth", F.row_number().over(w)).where("nth <= 6").select("query", "nth", "vec_id", "file_id", "score").collect()))
+    assert top(found) == top(every)
+
+
+def test_max_sim_equals_all_pairs(spark):
+    v = vectors(spark)
+    q = v.where("vec_id % 50 = 0 OR vec_id = 7").select((F.col("vec_id") % 3).alias("question"), F.col("vec_id").alias("q_nth"), "vector")
+    for c in (v, v.where("vec_id < 150")):
+        m = q.withColumnRenamed("vector", "qv").crossJoin(c).groupBy("question", "q_nth", "file_id").agg(F.max(sp.dot("qv", "vector")).alias("m"))
+        want = m.groupBy("question", "file_id").agg(F.sum("m").alias("score"))
+        found = sr.max_sim(q, c, "question", "file_id")
+        assert "CoGroupsInArrow" in plan(found)
+        rows = lambda df: sorted(map(str, df.withColumn("score", F.round("score", 9)).select("question", "file_id", "score").collect()))
+        assert rows(found) == rows(want)
