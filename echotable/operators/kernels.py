@@ -22,14 +22,13 @@ def repeats(items: list | np.ndarray, size: int) -> list[tuple[int, int]]:
     if len(items) < 2 * size:
         return []
     items = items if isinstance(items, np.ndarray) else pd.factorize(np.array(items, object))[0]
-    edge = np.flatnonzero(np.diff(np.r_[False, items[:-size] == items[size:], False]))
+    same, run = (items[:-size] == items[size:]).tobytes(), b"\1" * size
     out, at = [], 0
-    for start, end in edge.reshape(-1, 2).tolist():
-        start = max(start, at)
-        if end - start >= size:
-            times = (end - start) // size + 1
-            out.append((start, times))
-            at = start + times * size
+    while (start := same.find(run, at)) >= 0:
+        end = same.find(b"\0", start + size)
+        times = ((end if end >= 0 else len(same)) - start) // size + 1
+        out.append((start, times))
+        at = start + times * size
     return out
 
 
@@ -50,6 +49,7 @@ def distinct_findings(found: list[tuple[int, int, int]], share: float = 0.8) ->
     return kept
 
 
+ROWS = 4096  # findings that a task holds before it gives them on
 FOUND = "doc_id long, unit string, start long, size long, times long, impact long, chars long, char_start long, char_end long, snippet string"
 SHOWN = 80
 
@@ -58,10 +58,10 @@ def parts_of(text: str, unit: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(units as numbers that are equal where the units are, -1 for one of marks alone, their starts, their ends): characters, words without case and edge marks, or lines that aren't blank without case and edge blanks."""
     if unit == "char":
         n = np.arange(len(text) + 1)
-        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64), n[:-1], n[1:]
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32), n[:-1], n[1:]
     found = np.array([m.span() for m in re.finditer(r"\S+" if unit == "word" else r"[^\n]*\S[^\n]*", text)], int).reshape(-1, 2)
     plain, codes = known_word if unit == "word" else (lambda x: x.strip().lower()), {"": -1}
-    items = np.array([codes.setdefault(plain(text[a:b]), len(codes)) for a, b in found.tolist()], np.int64)
+    items = np.array([codes.setdefault(plain(text[a:b]), len(codes)) for a, b in found.tolist()], np.int32)
     return items, found[:, 0], found[:, 1]
 
 
@@ -77,8 +77,9 @@ def repetitions(texts: DataFrame, units: dict[str, tuple[int, int]] | None = Non
     weight = {"char": 1, "word": 2, "line": 3}
 
     def kernel(parts):
+        table = lambda rows: pd.DataFrame(rows, columns=[key, *(x.split()[0] for x in FOUND.split(", ")[1:])])
+        rows = []
         for p in parts:
-            rows = []
             for doc_id, text in zip(p[key], p["text"], strict=True):
                 text = text or ""
                 for unit, (lo, hi) in units.items():
@@ -90,7 +91,10 @@ def repetitions(texts: DataFrame, units: dict[str, tuple[int, int]] | None = Non
                         chars, a, b = int(ends[s + z] - ends[s]), int(starts[s]), int(stops[s + z * t - 1])
                         shown = " ".join(text[a : a + 2 * SHOWN].split()) if b - a > 2 * SHOWN else " ".join(text[a:b].split())
                         rows.append((doc_id, unit, s, z, t, weight[unit] * t * max(1, chars), t * chars, a, b, shown if len(shown) <= SHOWN else shown[:SHOWN].rstrip() + "…"))
-            yield pd.DataFrame(rows, columns=[key, *(x.split()[0] for x in FOUND.split(", ")[1:])])
+                if len(rows) >= ROWS:  # many small tables instead of one of a whole batch of texts
+                    yield table(rows)
+                    rows = []
+        yield table(rows)
 
     return texts.select(key, "text").mapInPandas(kernel, f"{key} {texts.schema[key].dataType.simpleString()}, " + FOUND.partition(", ")[2])
 

@@ -1,10 +1,13 @@
 """Steps that held back larger tables: how they are planned, and that they still give what plain versions give."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from echotable.operators import alignment as al
+from echotable.operators import kernels
 from echotable.operators import search as sr
 from echotable.operators import speakers as sp
 
@@ -65,3 +68,33 @@ def test_max_sim_equals_all_pairs(spark):
         assert "CoGroupsInArrow" in plan(found)
         rows = lambda df: sorted(map(str, df.withColumn("score", F.round("score", 9)).select("question", "file_id", "score").collect()))
         assert rows(found) == rows(want)
+
+
+def test_findings_leave_a_task_in_small_tables():
+    class Texts:
+        """Runs the kernel on one batch, as a task would."""
+
+        schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+        select = lambda self, *names: self
+        mapInPandas = lambda self, kernel, schema: [len(p) for p in kernel(iter([pd.DataFrame({"doc_id": range(6000), "text": ["so so on and on and on"] * 6000})]))]
+
+    sizes = kernels.repetitions(Texts())
+    assert sum(sizes) >= 6000 and max(sizes) < kernels.ROWS + 10
+
+
+def test_repeats_equal_a_plain_search():
+    def plain(items, size):
+        out, at = [], 0
+        while at + 2 * size <= len(items):
+            times = 1
+            while items[at : at + size] == items[at + times * size : at + (times + 1) * size]:
+                times += 1
+            out += [(at, times)] if times > 1 else []
+            at += times * size if times > 1 else 1
+        return out
+
+    rng = np.random.default_rng(2)
+    for n in range(300):
+        items = rng.integers(0, 1 + n % 3, n % 50).tolist()
+        for size in range(1, 9):
+            assert kernels.repeats(items, size) == kernels.repeats(np.array(items, np.int32), size) == plain(items, size)
