@@ -98,3 +98,36 @@ def test_repeats_equal_a_plain_search():
         items = rng.integers(0, 1 + n % 3, n % 50).tolist()
         for size in range(1, 9):
             assert kernels.repeats(items, size) == kernels.repeats(np.array(items, np.int32), size) == plain(items, size)
+
+
+def test_hits_of_many_queries(spark):
+    docs = [(1000 * k + t, " ".join(f"w{(k * t + j) % 7}" for j in range(t % 5 + 1))) for k in range(1, 12) for t in range(9)]
+    tokens = spark.createDataFrame(docs, "doc long, text string").select("doc", F.posexplode(F.split("text", " ")).alias("pos", "term"))
+    asked = [(k, sr.MODES[k % 4], f"w{k % 7} w{(k + 1) % 7}") for k in range(40)]
+    queries, eligible = spark.createDataFrame(asked, "query long, mode string, text string"), tokens.where("doc % 3 <> 0").select("doc")
+    texts, n = [(d, t.split()) for d, t in docs], len(docs)
+    mean = sum(len(w) for _, w in texts) / n
+    want = []
+    for query, mode, text in asked:
+        terms = text.split()
+        count = {"prefix": lambda w, u: sum(x.startswith(u) for x in w), "phrase": lambda w, u: sum(w[i : i + 2] == terms for i in range(len(w)))}.get(mode, lambda w, u: w.count(u))
+        units, hits = [0] if mode == "phrase" else terms, []
+        tf = {u: {d: c for d, w in texts if (c := count(w, u))} for u in units}
+        for d, w in texts:
+            met = [u for u in units if d in tf[u]]
+            if d % 3 and len(met) >= (1 if mode == "any" else len(units)):
+                hits.append((round(-sum(max(np.log((n - len(tf[u]) + 0.5) / (len(tf[u]) + 0.5)), 1e-6) * tf[u][d] * 2.2 / (tf[u][d] + 1.2 * (0.25 + 0.75 * len(w) / mean)) for u in met), 6), d))
+        want += [(query, d, s, len(hits)) for s, d in sorted(hits)]
+    got = sr.found(queries, tokens, "doc", eligible)
+    assert [tuple(r) for r in got.orderBy("query", "score", "doc").collect()] == want
+    assert "Window" not in plan(got) and "CoGroupsInArrow" in plan(got)
+    # the best, at most two of a group
+    best, seen, taken = [], {}, {}
+    for q, d, s, total in want:
+        g = q, d // 1000
+        seen[g] = seen.get(g, 0) + 1
+        if seen[g] <= 2 and taken.get(q, 0) < 3:
+            taken[q] = taken.get(q, 0) + 1
+            best.append((q, d, s, total, taken[q]))
+    top = sr.best_found(queries, tokens, "doc", 3, eligible, F.floor(F.col("doc") / 1000), 2)
+    assert [tuple(r) for r in top.orderBy("query", "nth").select("query", "doc", "score", "total", "nth").collect()] == best
