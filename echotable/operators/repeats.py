@@ -7,6 +7,7 @@ a recording of any length is dealt over many tasks; a pair is given in one of th
 from __future__ import annotations
 
 import math
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from ..sources.sinks import stored
 from . import intervals as iv
 from .kernels import repeats
 
@@ -46,9 +48,41 @@ def word_offsets(df: DataFrame, keys: list[str], text: str = "text") -> DataFram
     return parts.select(*keys, F.col("nth").cast("long").alias("nth"), word.alias("word"), (end - F.length(word)).alias("char_start"), end.alias("char_end"))
 
 
-def segment_offsets(segments: DataFrame, keys: list[str]) -> DataFrame:
+_WORDS = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())]))
+
+
+@F.pandas_udf(_WORDS)
+def _marked(texts: pd.Series) -> pd.Series:
+    """Words that the next word of the text repeats, from the start of the first to the end of the second, and at the ends of the list the text's first and last word."""
+
+    def one(text: str | None) -> list[tuple[str, int, int]]:
+        w = [(m.group(), m.start(), m.end()) for m in re.finditer(r"\S+", text or "")]
+        return [w[0], *((a[0], a[1], b[2]) for a, b in zip(w, w[1:], strict=False) if a[0] == b[0]), w[-1]] if w else []
+
+    return texts.map(one)
+
+
+def doubled_words(segments: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, char_start, char_end: words said twice running in the text of all segments, in order of seg_idx, from the start of the first to the end of the second.
+
+    Words meet inside their segment; only the first and the last of each segment go to a window, so that words aren't shuffled.
+    """
+    marked = segments.select(*keys, "seg_idx", F.length("text").alias("said"), _marked(F.col("text")).alias("w"))
+    order = Window.partitionBy(*keys).orderBy("seg_idx")
+    before = F.sum(F.coalesce("said", F.lit(0)) + 1).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    placed = marked.withColumn("char_lo", F.coalesce(before, F.lit(0)).cast("long")).where(F.size("w") > 0)
+    first, last = F.get("w", F.lit(0)), F.element_at("w", -1)
+    after = Window.partitionBy(*keys).orderBy("char_lo")
+    placed = placed.withColumns({"next_word": F.lead(first["word"]).over(after), "next_hi": F.lead(F.col("char_lo") + first["hi"]).over(after)})
+    inside = F.transform(F.slice("w", 2, F.size("w") - 2), lambda x: F.struct((F.col("char_lo") + x["lo"]).alias("char_start"), (F.col("char_lo") + x["hi"]).alias("char_end")))
+    across = F.when(last["word"] == F.col("next_word"), F.array(F.struct((F.col("char_lo") + last["lo"]).alias("char_start"), F.col("next_hi").alias("char_end"))))
+    spans = F.concat(inside, F.coalesce(across, F.slice(inside, 1, 0)))
+    return placed.select(*keys, F.explode(spans).alias("s")).select(*keys, "s.char_start", "s.char_end")
+
+
+def segment_offsets(segments: DataFrame, keys: list[str], length: Column | None = None) -> DataFrame:
     """segments with char_lo and char_hi, their places in the text of all segments of the keys, in order of seg_idx, joined by line breaks."""
-    said = F.coalesce(F.length("text"), F.lit(0))
+    said = F.coalesce(F.length("text") if length is None else length, F.lit(0))
     before = F.coalesce(F.sum(said + 1).over(Window.partitionBy(*keys).orderBy("seg_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return segments.withColumn("char_lo", before.cast("long")).withColumn("char_hi", F.col("char_lo") + said)
 
@@ -58,7 +92,8 @@ def time_spans(chars: DataFrame, segments: DataFrame, keys: list[str], width: in
 
     Time runs evenly over a segment's characters. Segments without text or time, and parts without length, give nothing.
     """
-    s = segment_offsets(segments.select(*keys, "seg_idx", "start_sec", "end_sec", "text"), keys).where("end_sec > start_sec").drop("text")
+    s = segments.select(*keys, "seg_idx", "start_sec", "end_sec", F.length("text").alias("__said"))
+    s = segment_offsets(s, keys, F.col("__said")).where("end_sec > start_sec").drop("__said")
     j = overlap_pairs(chars, s, keys, width, ("char_start", "char_end"), ("char_lo", "char_hi"))
     at = lambda c: F.col("start_sec") + (c - F.col("char_lo")) / (F.col("char_hi") - F.col("char_lo")) * (F.col("end_sec") - F.col("start_sec"))
     j = j.withColumns({"time_start": at(F.greatest("char_start", "char_lo")), "time_end": at(F.least("char_end", "char_hi"))})
@@ -78,9 +113,17 @@ def words_at(points: DataFrame, segments: DataFrame, words: DataFrame, keys: lis
     outside of segments, and those in segments without words, drop out.
     """
     s = segment_offsets(segments.select(*keys, "seg_idx", "text"), keys)
+    # segments that no point lies in have nothing to give: neither their texts nor their words go on
+    at = points.select(*keys, "char_pos", (F.col("char_pos") + 1).alias("char_next"))
+    bounds = segment_offsets(segments.select(*keys, "seg_idx", F.length("text").alias("said")), keys, F.col("said"))
+    met = overlap_pairs(at, bounds.select(*keys, "seg_idx", "char_lo", "char_hi"), keys, width, ("char_pos", "char_next"), ("char_lo", "char_hi"))
+    met = stored(met.select(*keys, "seg_idx").distinct())
+    names = {k: f"m_{k}" for k in [*keys, "seg_idx"]}
+    some = lambda df: df.join(met.withColumnsRenamed(names), [F.col(k).eqNullSafe(F.col(v)) for k, v in names.items()], "left_semi")
+    s, words = some(s), some(words.select(*keys, "seg_idx", "word_idx", "word"))
     names = {k: f"s_{k}" for k in [*keys, "seg_idx"]}
     of = [F.col(k).eqNullSafe(F.col(v)) for k, v in names.items()]
-    w = words.select(*keys, "seg_idx", "word_idx", "word").join(s.withColumnsRenamed(names), of).drop(*names.values())
+    w = words.hint("merge").join(s.withColumnsRenamed(names), of).drop(*names.values())
     found = F.expr("position(word, text)") - 1
     w = w.withColumns({"w_lo": F.when(found >= 0, F.col("char_lo") + found), "first_word": F.min("word_idx").over(Window.partitionBy(*keys, "seg_idx"))})
     w = w.withColumn("w_hi", F.col("w_lo") + F.length("word"))

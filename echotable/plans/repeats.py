@@ -84,12 +84,7 @@ def word_places(spark, d):
 
 def _doubled(spark, d):
     """Character spans of words said twice running, in the whole text of each model."""
-    t = takes(spark, d)
-    offsets = rp.segment_offsets(t, [R, "model_key"]).select(R, "model_key", F.col("seg_idx").alias("in_seg"), "char_lo", "text")
-    w = rp.word_offsets(offsets, [R, "model_key", "in_seg", "char_lo"]).withColumns({"a": F.col("char_lo") + F.col("char_start"), "b": F.col("char_lo") + F.col("char_end")})
-    order = Window.partitionBy(R, "model_key").orderBy("a")
-    w = w.withColumns({"next_word": F.lead("word").over(order), "next_b": F.lead("b").over(order)})
-    return w.where("word = next_word").select(R, "model_key", F.col("a").cast("long").alias("char_start"), F.col("next_b").cast("long").alias("char_end"))
+    return rp.doubled_words(takes(spark, d), [R, "model_key"])
 
 
 OFFSETS = """off AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY audio_hash, model_key ORDER BY seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_lo FROM takes),

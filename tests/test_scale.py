@@ -1,5 +1,7 @@
 """Steps that held back larger tables: how they are planned, and that they still give what plain versions give."""
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Window
@@ -8,6 +10,7 @@ from pyspark.sql import types as T
 
 from echotable.operators import alignment as al
 from echotable.operators import kernels
+from echotable.operators import repeats as rp
 from echotable.operators import search as sr
 from echotable.operators import speakers as sp
 
@@ -131,3 +134,13 @@ def test_hits_of_many_queries(spark):
             best.append((q, d, s, total, taken[q]))
     top = sr.best_found(queries, tokens, "doc", 3, eligible, F.floor(F.col("doc") / 1000), 2)
     assert [tuple(r) for r in top.orderBy("query", "nth").select("query", "doc", "score", "total", "nth").collect()] == best
+
+
+def test_doubled_words_and_their_confidences(spark):
+    texts = {0: "a a  b", 1: "b c c c", 2: None, 3: " ", 4: "c d", 5: "d"}
+    s = spark.createDataFrame([("r", k, float(k), k + 1.0, t) for k, t in texts.items()], "rec string, seg_idx long, start_sec double, end_sec double, text string")
+    found = rp.doubled_words(s, ["rec"])
+    whole = "\n".join(t or "" for t in texts.values())
+    places = [m.span() for m in re.finditer(r"\S+", whole)]
+    want = [("r", a, d) for (a, b), (c, d) in zip(places, places[1:]) if whole[a:b] == whole[c:d]]
+    assert sorted(map(tuple, found.collect())) == want
