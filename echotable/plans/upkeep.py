@@ -43,8 +43,13 @@ def _with(*parts: str) -> str:
 
 
 def _synced(spark, d):
-    lines = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("quantity"))
-    chunks = lambda s: s.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("audio_hash", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("chunk_id"), "quantity")
+    lines = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+
+    def chunks(s):  # lines meet their orders first and are summed where they lie then, all of an order in one task
+        j = s.select("audio_hash", "o_orderkey").hint("merge").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+        sums = j.groupBy("audio_hash", "l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("quantity"))
+        return sums.select("audio_hash", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("chunk_id"), "quantity")
+
     a = catalog_a(spark, d).select(F.col("hash").alias("audio_hash"), F.col("status").alias("fingerprint"), "o_orderkey")
     b = catalog_b(spark, d).select(F.col("hash").alias("audio_hash"), F.concat("status", F.when(F.col("o_orderkey") % 4 == 0, "").otherwise("x")).alias("fingerprint"), "o_orderkey")
     root = shared_folder(spark)

@@ -84,3 +84,26 @@ def test_follows_a_stream(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
         sy.follow(stream, root, chunks, "s", f"{tmp_path}/check").awaitTermination()
         assert held(spark, root) == [{"a": "newer", "b": "two"}, {"a": "newer", "c": "three"}][i]
+
+
+def test_packed_keys_come_back(spark):
+    keys = ["", "0", "00", "0a", "0A", "a", "ab cd", "é", "0" * 64, "deadbeef", "\x01\x00", None]
+    rows = spark.createDataFrame([(k,) for k in keys], "k string").withColumn("p", sy.packed(F.col("k"))).withColumn("b", sy.unpacked(F.col("p"))).collect()
+    assert all(r["k"] == r["b"] for r in rows) and len({bytes(r["p"]) for r in rows if r["k"] is not None}) == len(keys) - 1
+    assert {r["k"]: len(r["p"]) for r in rows if r["k"]}["0" * 64] == 33
+
+
+def test_sources_are_read_once(spark, tmp_path):
+    """What a run finds to do is written once: before, each of its steps read and shuffled all sources anew."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def marked(text):
+        seen.add(1)
+        return f"f {text}"
+
+    for batch, said in (("1", {"a": "one two", "b": "three"}), ("2", {"a": "one two", "b": "three more", "c": "new"}), ("3", {"a": "one two", "b": "three more", "c": "new"})):
+        before = seen.value
+        sy.sync(spark, str(tmp_path), sources(spark, said).withColumn("fingerprint", marked("text")), chunks, "s", batch)
+        assert seen.value - before == len(said)
+    assert held(spark, str(tmp_path)) == {"a": "one two", "b": "three more", "c": "new"}
