@@ -291,3 +291,41 @@ def test_dev_split_counts(spark):
     rows = asr.split_dev(df, "k", 0.1, 7).collect()
     assert len(rows) == 101 and sum(r["split"] == "dev" for r in rows) == 11
     assert {r["split"] for r in asr.split_dev(df.where("k < 1"), "k", 0.1, 7).collect()} == {"train"}
+
+
+def test_words_are_counted_once():
+    """Before, each text was encoded three times whole, whatever words it shared with others."""
+    import public_tokenizers
+
+    rng, calls = random.Random(3), []
+
+    class Counted(chunking.Vocabulary):
+        def __call__(self, text):
+            calls.append(text)
+            return super().__call__(text)
+
+    plain = chunking.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = ["a", "bc", " ", "  ", ".", "'s", "é", "1", "\n", "\t", "\x1c", "\u3000", "😀", " -- ", " <|endoftext|>", "…"]
+    for counter in (plain, chunking.count_tokens):
+        by = chunking.ByWords(counter)
+        for _ in range(2000):
+            text = "".join(rng.choice(pieces) for _ in range(rng.randrange(0, 20)))
+            assert by(text) == counter(text) and by.spaced(text) == counter(" " + text), repr(text)
+    words = [f"w{i}" for i in range(50)]
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(40)]
+    by = chunking.ByWords(Counted(plain.path))
+    rows = [(float(i), i + 1.0, t) for i, t in enumerate(q for t in texts for q in chunking.split_text(t, 100, by))]
+    assert chunking.windows(rows, 180, 260, 40, by) == chunking.windows(rows, 180, 260, 40, plain)
+    assert len(calls) <= 2 * len(words)
+
+
+def test_chunks_of_recordings_in_one_task(spark):
+    """Many recordings that lie in one task stay apart, each in order of its time."""
+    rows = [(f"r{k % 7}", f"m{k % 2}", k, float(k % 13), k % 13 + 2.0, f"word{k} and {k} more") for k in range(200)]
+    df = spark.createDataFrame(rows, "audio_hash string, model_key string, seg_idx long, start_sec double, end_sec double, text string")
+    want = set()
+    for key in {r[:2] for r in rows}:
+        said = [r[3:] for r in sorted((r for r in rows if r[:2] == key), key=lambda r: (r[3], r[2]))]
+        want |= {(*key, k, said[i][0], max(r[1] for r in said[i:j]), " ".join(r[2] for r in said[i:j]), n, n > 20) for k, (i, j, n) in enumerate(chunking.windows(said, 12, 20, 5))}
+    got = [tuple(r) for r in chunking.chunks(df.coalesce(1), 12, 20, 5).collect()]
+    assert set(got) == want and len(got) == len(want) > 14
