@@ -68,6 +68,12 @@ def parts_of(text: str, unit: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 known_word = functools.lru_cache(1 << 16)(plain_word)
 
 
+def word_numbers(text: str) -> np.ndarray:
+    """Words as numbers that are equal where the words are but for case and edge marks; -1 for one of marks alone."""
+    codes = {"": -1}
+    return np.array([codes.setdefault(known_word(w), len(codes)) for w in text.split()], np.int32)
+
+
 def repetitions(texts: DataFrame, units: dict[str, tuple[int, int]] | None = None, key: str = "doc_id") -> DataFrame:
     """Repeated blocks of characters, words and lines of each (key, text), after suppression; impact is times * characters, weighted 1, 2, 3.
 

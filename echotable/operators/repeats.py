@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 from ..functions import text as tx
 from ..sources.sinks import stored
 from . import intervals as iv
-from .kernels import repeats
+from .kernels import repeats, word_numbers
 
 #: What the reports call white space.
 SPACE = "\\x09-\\x0D\\x1C-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
@@ -248,8 +249,11 @@ def repetition_score(texts: pd.Series) -> pd.Series:
     """The sum of times * length over repeated blocks of one to eight words; a word's case, form and edge marks don't count, blocks with a word of marks alone count nothing."""
 
     def score(text: str | None) -> float:
-        words = [tx.plain_word(w) for w in (text or "").split()]
-        return float(sum(times * size for size in range(1, 9) for start, times in repeats(words, size) if all(words[start : start + size])))
+        items = word_numbers(text or "")
+        if len(set(items.tolist())) == len(items):  # no word stands there twice
+            return 0.0
+        marks = np.r_[0, np.cumsum(items < 0)]
+        return float(sum(times * size for size in range(1, 9) for start, times in repeats(items, size) if marks[start + size] == marks[start]))
 
     return texts.map(score)
 
@@ -274,7 +278,7 @@ def patch_candidates(segments: DataFrame, keys: list[str], min_overlap: float =
     enough = usable.groupBy(*keys).agg(F.countDistinct("model_key").alias("__models")).where(F.col("__models") >= min_models).drop("__models")
     usable = usable.join(enough, keys, "left_semi")
     spans = repeated_spans(usable, [*keys, "model_key"]).select(*keys, F.col("model_key").alias("source_model"), F.col("start_sec").alias("lo"), F.col("end_sec").alias("hi"))
-    told = texts_of_spans(spans, usable, keys).withColumn("score", repetition_score("said"))
+    told = stored(texts_of_spans(spans, usable, keys).withColumn("score", repetition_score("said")))  # read three times below
     span = [*keys, "source_model", "lo", "hi"]
     source = told.where("model_key = source_model AND score > 0").select(*span, F.col("said").alias("source_text"), F.col("score").alias("source_score"))
     others = told.where("model_key <> source_model").join(source, span)

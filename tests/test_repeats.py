@@ -4,6 +4,7 @@ import difflib
 import random
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from echotable.functions.text import plain_word
@@ -180,6 +181,17 @@ def test_nearest_region_equals_trying_all(spark):
     assert {(r["k"], r["n"]): (round(r["away"], 9), r["region"]) for r in got.collect()} == want and len(want) > 60
 
 
+def test_scores_take_each_word_once(spark, monkeypatch):
+    """The score of texts by the plain version. Before, a text's words were numbered anew for each of eight sizes, and texts that say nothing twice searched as well."""
+    from echotable.operators import kernels
+
+    rng, anew = random.Random(5), []
+    texts = [" ".join(rng.choice(["so", "So,", "it", "--", "it!", "…"]) for _ in range(rng.randrange(0, 30))) for _ in range(300)] + ["all words differ here", "-- --", "", None]
+    want = [float(repetition(t or "")) for t in texts]
+    monkeypatch.setattr(kernels.pd, "factorize", lambda *a, **k: anew.append(a))
+    assert rp.repetition_score.func(pd.Series(texts)).tolist() == want and not anew and any(want)
+
+
 def test_fillers_and_tokens(spark):
     import public_tokenizers
 
