@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.sinks import stored
 from .catalog import fingerprint, numbered
 
 
@@ -50,6 +52,11 @@ def report(rows: DataFrame, system: str, hypothesis: str | None = None) -> DataF
 
     The fingerprint covers audio, text and machine text of all rows. Without a hypothesis the scores are null, and so are the machine's where no row has machine text.
     """
+    return reports(rows, {system: hypothesis})
+
+
+def reports(rows: DataFrame, systems: dict[str, str | None]) -> DataFrame:
+    """The reports of several systems (name -> hypothesis) on the same rows: what they share, the fingerprint and the machine's scores, is made once."""
     scores = ("rows", "words", "raw_wer", "norm_wer", "norm_cer")
 
     def scored(df: DataFrame, column: str) -> DataFrame:
@@ -58,15 +65,18 @@ def report(rows: DataFrame, system: str, hypothesis: str | None = None) -> DataF
 
     whole = rows.agg(F.count("*").alias("rows"), F.round(F.coalesce(F.sum("duration"), F.lit(0.0)) / 3600, 3).alias("hours"), F.count_if(F.col("machine_text").isNull()).alias("rows_without_machine_text"))
     digest = fingerprint(rows.select(F.lit(1).alias("one"), "audio", "text", "machine_text"), ["one"], ["audio", "text", "machine_text"]).select(F.col("fingerprint").alias("rows_sha256"))
-    none = [F.lit(None).cast("double").alias(f"system_{c}") for c in scores]
-    own = scored(rows, hypothesis).select(*[F.col(c).cast("double").alias(f"system_{c}") for c in scores]) if hypothesis else whole.select(*none)
     machine = scored(rows, "machine_text").select(*[F.col(c).cast("double").alias(f"machine_{c}") for c in scores])
-    # one row each; rows without any have no digest
-    return whole.select(F.lit(system).alias("system"), "*").join(digest, F.lit(True), "left").crossJoin(F.broadcast(own)).crossJoin(F.broadcast(machine))
+    none = [F.lit(None).cast("double").alias(f"system_{c}") for c in scores]
+    each = [(scored(rows, h).select(*[F.col(c).cast("double").alias(f"system_{c}") for c in scores]) if h else whole.select(*none)).select(F.lit(s).alias("system"), "*") for s, h in systems.items()]
+    own = reduce(DataFrame.unionByName, each)
+    # one row each but for the systems; rows without any have no digest
+    out = whole.join(digest, F.lit(True), "left").crossJoin(F.broadcast(own)).crossJoin(F.broadcast(machine))
+    return out.select("system", *whole.columns, "rows_sha256", *[f"system_{c}" for c in scores], *[f"machine_{c}" for c in scores])
 
 
 def compared(reports: DataFrame) -> DataFrame:
     """Reports of the same rows -> a table: the machine's scores first, then each system's by name. Reports of other rows, or with another machine's scores, fail the read."""
+    reports = stored(reports)  # a row each; it is read twice below
     scores = ("rows", "words", "raw_wer", "norm_wer", "norm_cer")
     of = lambda side: F.struct(*[F.col(f"{side}_{c}").alias(c) for c in scores])
     same = reports.agg(F.count_distinct(F.coalesce("rows_sha256", F.lit(""))).alias("kinds"), F.count_distinct(F.when(F.col("machine_rows") > 0, of("machine").cast("string"))).alias("machines"))
