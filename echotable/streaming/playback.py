@@ -2,49 +2,80 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STEPS = "player long, nth long, start_sec double, end_sec double, ticks long"
+#: What waits, and the last stretch of each player with the tick that ends it; `nobody` marks the null player, whose number is 0.
+TICK = np.dtype([("nobody", "?"), ("player", "<i8"), ("ms", "<i8"), ("tick", "<i8"), ("position", "<f8"), ("rate", "<f8")])
+STRETCH = np.dtype([("nobody", "?"), ("player", "<i8"), ("nth", "<i8"), ("start", "<f8"), ("end", "<f8"), ("ticks", "<i8"), ("position", "<f8"), ("rate", "<f8")])
 
 
-def goes_on(last: tuple[float, float], position: float, rate: float) -> bool:
-    """Whether a tick follows from the last (position, rate): forward, at the same rate, by no more than playing explains."""
-    return 0 <= position - last[0] <= 1.5 * max(1.0, rate) and rate == last[1]
+def goes_on(step: np.ndarray, rate: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Whether ticks follow from those before: a step forward, at the same rate, by no more than playing explains."""
+    return (step >= 0) & (step <= 1.5 * np.maximum(1.0, rate)) & (rate == before)
 
 
-def playback_steps(ticks: DataFrame, late: str = "10 seconds") -> DataFrame:
+def stretches(last: np.ndarray, ticks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Last stretches (one a player) and ticks that come after them -> the stretches that ticks began or went on with, and each player's last."""
+    n = last.size
+    rows = np.zeros(n + ticks.size, STRETCH)
+    rows[:n] = last
+    for name in ("nobody", "player", "position", "rate"):
+        rows[name][n:] = ticks[name]
+    rows["start"][n:] = rows["end"][n:] = ticks["position"]
+    rows["ticks"][n:] = 1
+    when = np.concatenate([np.full(n, np.iinfo("i8").min), ticks["ms"]])  # a last stretch comes before the ticks of its player
+    nth = np.concatenate([np.zeros(n, "i8"), ticks["tick"]])
+    order = np.lexsort((rows["rate"], rows["position"], nth, when, rows["player"], rows["nobody"]))
+    rows = rows[order]
+    other = np.append(True, (rows["player"][1:] != rows["player"][:-1]) | (rows["nobody"][1:] != rows["nobody"][:-1]))
+    on = ~other
+    on[1:] &= goes_on(np.diff(rows["position"]), rows["rate"][1:], rows["rate"][:-1])
+    begin = np.flatnonzero(~on)
+    end = np.append(begin[1:], rows.size) - 1
+    out = rows[end]
+    out["start"], out["end"], out["ticks"] = (f.reduceat(rows[c], begin) for f, c in ((np.minimum, "start"), (np.maximum, "end"), (np.add, "ticks")))
+    first = np.flatnonzero(other[begin])  # of each player
+    of = np.cumsum(other[begin]) - 1
+    out["nth"] = rows["nth"][begin[first]][of] + np.arange(begin.size) - first[of]
+    return out[order[end] >= n], out[np.append(first[1:], begin.size) - 1]
+
+
+def playback_steps(ticks: DataFrame, late: str = "10 seconds", buckets: int = 1024) -> DataFrame:
     """A stream of ticks (player, at timestamp, tick, position, rate) -> STEPS, in update mode: what a batch says last of (player, nth) holds.
 
     Ticks wait in the state until the watermark has passed them and are then taken in order of (at, tick), so that order of arrival doesn't matter. A tick behind
-    the watermark is dropped. A timer wakes a player whose waiting ticks the watermark passes although nothing new comes. What waits for a player
-    is bounded by what it can send in the time of `late`.
+    the watermark or without a time is dropped. A timer wakes players whose waiting ticks the watermark passes although nothing new comes. What waits for a
+    player is bounded by what it can send in the time of `late`.
+
+    Players share a state by a hash, as a state and a call of pandas for each of them would take far longer than their ticks. A checkpoint holds for one number of `buckets`.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, now = ([], None) if not state.exists else (json.loads(state.get[0]), json.loads(state.get[1]))
+        kept = state.get if state.exists else (b"", b"")
+        waiting, last = [np.frombuffer(kept[0], TICK)], np.frombuffer(kept[1], STRETCH)
         passed = state.getCurrentWatermarkMs()
         for part in parts:
-            at = part["at"].astype("int64") // (10**6 if str(part["at"].dtype).startswith("datetime64[ns") else 10**3)
-            waiting += [[int(a), int(t), float(p), float(r)] for a, t, p, r in zip(at, part["tick"], part["position"], part["rate"], strict=True)]
-        waiting.sort()
-        ready = [w for w in waiting if w[0] <= passed]
-        waiting = waiting[len(ready) :]
-        changed = {}
-        for _, _, position, rate in ready:
-            if now and goes_on((now["position"], now["rate"]), position, rate):
-                now |= {"start": min(now["start"], position), "end": max(now["end"], position), "ticks": now["ticks"] + 1}
-            else:
-                now = {"nth": now["nth"] + 1 if now else 0, "start": position, "end": position, "ticks": 1}
-            now |= {"position": position, "rate": rate}
-            changed[now["nth"]] = (key[0], now["nth"], now["start"], now["end"], now["ticks"])
-        state.update((json.dumps(waiting), json.dumps(now)))
-        if waiting:
-            state.setTimeoutTimestamp(max(waiting[0][0], passed + 1))
-        yield pd.DataFrame(list(changed.values()), columns=["player", "nth", "start_sec", "end_sec", "ticks"])
-
-    return ticks.withWatermark("at", late).groupBy("player").applyInPandasWithState(step, STEPS, "waiting string, now string", "update", GroupStateTimeout.EventTimeTimeout)
+            waiting.append(np.zeros(len(part), TICK))
+            for name in TICK.names:
+                waiting[-1][name] = part[name]
+        waiting = np.concatenate(waiting)
+        ready = waiting["ms"] <= passed
+        changed, last = stretches(last, waiting[ready]) if ready.any() else (last[:0], last)
+        waiting = waiting[~ready]
+        state.update((waiting.tobytes(), last.tobytes()))
+        if waiting.size:
+            state.setTimeoutTimestamp(max(int(waiting["ms"].min()), passed + 1))
+        player = pd.arrays.IntegerArray(changed["player"].copy(), changed["nobody"].copy())
+        yield pd.DataFrame({"player": player, "nth": changed["nth"], "start_sec": changed["start"], "end_sec": changed["end"], "ticks": changed["ticks"]})
+
+    # numbers without nulls, which pandas would make floats, and times that don't depend on the session's time zone
+    whole = [F.isnull("player").alias("nobody"), F.coalesce("player", F.lit(0)).cast("long").alias("player"), F.unix_millis("at").alias("ms"), F.coalesce("tick", F.lit(2**63 - 1)).alias("tick")]
+    rows = ticks.withWatermark("at", late).where("at IS NOT NULL").select(F.pmod(F.xxhash64("player"), F.lit(buckets)).alias("bucket"), "at", *whole, "position", "rate")
+    return rows.groupBy("bucket").applyInPandasWithState(step, STEPS, "waiting binary, last binary", "update", GroupStateTimeout.EventTimeTimeout)

@@ -114,6 +114,31 @@ def test_playback_as_a_stream_equals_the_batch(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 100
 
 
+def test_players_share_states(spark, tmp_path):
+    """Each player's state and call of pandas took far longer than its ticks. Times are the same in any session time zone; what has no number stays one stretch each."""
+    rng, start, rows = random.Random(8), datetime(2024, 1, 1), []
+    for player in [None, *range(0, 60 * 2**55, 2**55)]:
+        position = 0.0
+        for tick in range(40):
+            position += rng.choice([0.5, 1.0, 1.5, 1.0, -3.0, 9.0])
+            rows.append((player, start + timedelta(seconds=tick), tick + 2**60, rng.choice([None, *[position] * 9]), rng.choice([None, *[1.0] * 9, 2.0])))
+    schema, far = "player long, at timestamp, tick long, position double, rate double", [(-1, start + timedelta(days=1), 0, 0.0, 1.0)]
+    untimed = [(0, None, 5, 0.0, 1.0)]
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        for part in (rows[::2], rows[1::2] + untimed, far):
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            stream = playback.playback_steps(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "1 hour", 8)
+            q = st.to_parquet(stream, f"{tmp_path}/out", f"{tmp_path}/state", "update")
+            q.awaitTermination()
+            assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= 8
+        got = st.latest(spark.read.parquet(f"{tmp_path}/out"), ["player", "nth"]).select("player", "start_sec", "end_sec", "ticks").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    want = review.playback_steps(spark.createDataFrame(rows, schema)).select("player", "start_sec", "end_sec", "ticks").collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and sum(r["ticks"] for r in want) == 61 * 40 > len(want)
+
+
 def test_diarization_files(spark, tmp_path):
     good = {"start": 0, "end": 1.5, "speaker": "A "}
     bodies = {
