@@ -139,6 +139,28 @@ def test_players_share_states(spark, tmp_path):
     assert sorted(map(str, got)) == sorted(map(str, want)) and sum(r["ticks"] for r in want) == 61 * 40 > len(want)
 
 
+def test_users_share_states(spark, tmp_path):
+    rng, start, rows, want = random.Random(9), datetime(2024, 1, 1), [], {}
+    for user in [None, *range(2**60, 2**60 + 40)]:
+        last, n = None, 0
+        for k in range(30):
+            kind = rng.choice(["play", "pause", None])
+            rows.append((2**60 + k, start + timedelta(seconds=k // 2), user, kind))
+            n += kind is None or kind != last
+            last = kind
+        want[user] = n
+    schema = "event_id long, ts timestamp, user_id long, event_type string"
+    for part in (0, 1):
+        some = [r for r in rows if (r[0] % 2**60 >= 16) == part]
+        rng.shuffle(some)
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        q = st.to_parquet(st.plays(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), 8), f"{tmp_path}/out", f"{tmp_path}/state", "update")
+        q.awaitTermination()
+        assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= 8
+    got = st.latest(spark.read.parquet(f"{tmp_path}/out"), ["user_id"]).collect()
+    assert {r["user_id"]: r["plays"] for r in got} == want and len(got) == 41
+
+
 def test_diarization_files(spark, tmp_path):
     good = {"start": 0, "end": 1.5, "speaker": "A "}
     bodies = {
