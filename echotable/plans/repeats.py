@@ -144,9 +144,9 @@ def repetition_totals(spark, d):
 # words of two models
 
 
-def _timed(spark, d):
-    """The words of all takes, evenly timed over their segment."""
-    t = takes(spark, d).where("end_sec > start_sec").withColumn("ws", F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)))
+def _timed(segments):
+    """The words of segments, evenly timed over them."""
+    t = segments.where("end_sec > start_sec").withColumn("ws", F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)))
     w = t.select(R, "model_key", "start_sec", ((F.col("end_sec") - F.col("start_sec")) / F.nullif(F.size("ws"), F.lit(0))).alias("step"), F.posexplode("ws").alias("i", "word"))
     return w.select(R, "model_key", "word", (F.col("start_sec") + F.col("step") * F.col("i")).alias("word_start"), (F.col("start_sec") + F.col("step") * (F.col("i") + 1)).alias("word_end"))
 
@@ -166,9 +166,11 @@ GREEDY = """ct AS (SELECT * FROM (SELECT audio_hash, n, b, sum(b) OVER (PARTITIO
 
 @query(_with(TAKES, WORDS, GREEDY).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT audio_hash, (SELECT count(*) FROM wa WHERE wa.audio_hash = x.audio_hash) AS \"left\", (SELECT count(*) FROM wb WHERE wb.audio_hash = x.audio_hash) AS \"right\", max(m) AS matched, max(same) AS text_matched FROM st x WHERE audio_hash IN (SELECT audio_hash FROM wo WHERE model_key <> 'stutter') GROUP BY audio_hash")
 def word_match_pairs(spark, d):
-    return al.word_matches(_timed(spark, d), "plain", "lossy", 0.15)
+    # segments are shuffled, not their words; into as many parts as are set, as the size of segments says little about that of their words
+    together = takes(spark, d).where(F.col(R).isNotNull()).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), R)
+    return al.word_matches(_timed(together), "plain", "lossy", 0.15)
 
 
 @query(_with(TAKES, WORDS, "pr AS (SELECT wa.audio_hash, wa.n AS x, wb.n AS y, least(wa.e, wb.e) - greatest(wa.s, wb.s) AS sec FROM wa JOIN wb ON wa.audio_hash = wb.audio_hash AND wa.s < wb.e AND wb.s < wa.e)") + """SELECT k.audio_hash, round(coalesce((SELECT sum(sec) FROM pr WHERE pr.audio_hash = k.audio_hash), 0), 6) AS shared_sec, """ + ", ".join(f"(SELECT count(*) FILTER ({cond}) FROM {w} LEFT JOIN (SELECT audio_hash AS h, {c}, count(*) AS met FROM pr GROUP BY ALL) ON h = {w}.audio_hash AND {c} = {w}.n WHERE {w}.audio_hash = k.audio_hash) AS {name}" for name, w, c, cond in (("left_none", "wa", "x", "met IS NULL"), ("left_several", "wa", "x", "met > 1"), ("right_none", "wb", "y", "met IS NULL"), ("right_several", "wb", "y", "met > 1"))) + " FROM (SELECT DISTINCT audio_hash FROM wo WHERE model_key <> 'stutter') k")
 def word_overlaps(spark, d):
-    return al.word_overlaps(_timed(spark, d), "plain", "lossy").withColumn("shared_sec", F.round("shared_sec", 6))
+    return al.word_overlaps(_timed(takes(spark, d)), "plain", "lossy").withColumn("shared_sec", F.round("shared_sec", 6))

@@ -2,8 +2,10 @@
 
 import re
 
+import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,7 @@ from echotable.operators import kernels
 from echotable.operators import repeats as rp
 from echotable.operators import search as sr
 from echotable.operators import speakers as sp
+from echotable.plans import registry
 
 WORDS = "audio_hash string, model_key string, word string, word_start double, word_end double"
 
@@ -33,6 +36,60 @@ def test_matched_words_are_not_broadcast(spark):
     assert [tuple(r) for r in df.collect()] == [("r", 4, 4, 4, 4)]
 
 
+def test_words_are_matched_without_shuffling_them(spark, tmp_path):
+    rows = [(1, 0, "user", "so it was\nso it was"), (1, 1, "assistant", "it was so"), (None, 0, "user", "so it was"), (2, None, "user", "so it"), (3, 9, "user", " "), (4, 0, "user", None), (5, 5, "user", "once")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    df = registry.queries()["word_match_pairs"](spark, str(tmp_path))
+    shuffles = re.findall(r"Exchange hashpartitioning.*", plan(df))
+    assert len(shuffles) == 2 and "REPARTITION" in shuffles[1] and "MapInArrow" in plan(df)  # counts of recordings, segments
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert sorted(map(tuple, df.collect())) == sorted(duck.sql(registry.oracle_sql()["word_match_pairs"]).fetchall())
+
+
+def test_words_that_come_in_many_batches(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for rec in ("p", "q", "r", None, "s"):
+        for model in "xyz":
+            for _ in range({"r": 0, "s": 300}.get(rec, 90) if model == "y" else 120):
+                s = float(rng.choice([rng.uniform(0, 6), rng.integers(0, 24) / 4]))
+                rows.append((rec, model, str(rng.choice(["so", "So,", "it"])), s, s + float(rng.choice([0.1, 0.25]))))
+    rows += [("q", "x", "so", None, 1.0), ("q", "y", None, 1.0, 1.2), ("t", "z", "so", 0.0, 1.0), ("u", "y", "so", 0.0, 1.0)]
+    df = spark.createDataFrame(rows, WORDS)
+    every, pairs, counts = [], [], []
+    tolerance = 0.2
+    for rec in {r[0] for r in rows} - {"t"}:
+        a, b = (sorted((s, e, w or "") for r, m, w, s, e in rows if (r, m) == (rec, model) and s is not None) for model in "xy")
+        used, j, same = set(), 0, 0
+        for i, (s, e, w) in enumerate(a):
+            while j < len(b) and b[j][0] < s - tolerance:
+                j += 1
+            near = [(abs(s - b[k][0]) + abs(e - b[k][1]), k) for k in (j - 1, j, j + 1) if 0 <= k < len(b) and abs(s - b[k][0]) <= tolerance and abs(e - b[k][1]) <= tolerance]
+            every += [(rec, i, k) for _, k in near]
+            if free := [x for x in near if x[1] not in used]:
+                used.add(min(free)[1])
+                pairs.append((rec, i, *min(free)[::-1]))
+                same += w.lower().strip(",") == b[min(free)[1]][2].lower().strip(",")
+        counts.append((rec, len(a), len(b), len(used), same))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        order = lambda found: sorted(found, key=str)
+        assert order(map(tuple, al.candidates(df, ["audio_hash"], "x", "y", tolerance).select("audio_hash", "a_nth", "b_nth").collect())) == order(every)
+        assert order(map(tuple, al.matched(df, ["audio_hash"], "x", "y", tolerance).select("audio_hash", "a_nth", "b_nth", "score").collect())) == order(pairs) and len(pairs) > 100
+        assert order(map(tuple, al.word_matches(df, "x", "y", tolerance).collect())) == order(counts)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_few_words_of_a_long_recording_are_held():
+    start = np.arange(20000) * 0.1
+    for of_b in (np.zeros(20000, bool), np.ones(20000, bool), np.arange(20000) % 5 == 0):
+        t = pa.table({"of_b": of_b, "word_start": start, "word_end": start, "plain": ["so"] * 20000, "at": start - ~of_b * 0.2, "nth": np.arange(1, 20001), "b_early": np.cumsum(of_b)})
+        sizes = [(len(x[0]), len(x[3])) for x in al._settled(iter(t.to_batches(100)), 0.2)]
+        assert max(n for n, _ in sizes) < 120 and sum(n for _, n in sizes) == (~of_b).sum()
+
+
 def test_overlapping_words_are_not_broadcast(spark):
     df = al.word_overlaps(words(spark), "x", "y")
     assert "Broadcast" not in plan(df)
